@@ -10,9 +10,6 @@ KINDS = ["UNSPECIFIED", "INTERNAL", "SERVER", "CLIENT", "PRODUCER", "CONSUMER"]
 # Status codes by their numeric code.
 STATUSES = ["UNSET", "OK", "ERROR"]
 
-ATTR = "array<struct<key:string,value:string,type:string>>"
-
-
 def conclusion_to_result(conclusion: Column) -> Column:
     return F.when(conclusion == "timed_out", F.lit("error")).otherwise(conclusion)
 
@@ -56,39 +53,41 @@ def kind_from_text(kind: Column) -> Column:
     )
 
 
-def entry(key: Column | str, value: Column | str, kind: str = "STRING") -> Column:
-    """One typed attribute; a null value drops out in :func:`attrs_of`."""
-    key = F.lit(key) if isinstance(key, str) else key
+Entry = tuple[str, Column, str]
+
+
+def entry(key: str, value: Column | str, kind: str = "STRING") -> Entry:
+    """One typed attribute under a fixed key; a null value leaves it out."""
     value = F.lit(value) if isinstance(value, str) else value
-    return F.struct(
-        key.alias("key"), value.cast("string").alias("value"), F.lit(kind).alias("type")
-    )
+    return key, value.cast("string"), kind
 
 
-def present(entries: Column) -> Column:
-    return F.filter(entries, lambda e: e["value"].isNotNull())
+def attr_map(entries: list[Entry]) -> Column:
+    """Attribute map of entries with distinct keys."""
+    pairs = [c for key, value, _ in entries for c in (F.lit(key), value)]
+    return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
 
 
-def last_wins(entries: Column) -> Column:
-    """Keep the last entry of each key, so that maps build under any dedup policy."""
-    keys = F.transform(entries, lambda e: e["key"])
-    reverse = F.reverse(keys)
-    size = F.size(keys)
-    return F.filter(
-        entries, lambda e, i: size - F.array_position(reverse, e["key"]).cast("int") == i
-    )
+def type_map(entries: list[Entry]) -> Column:
+    """Types of the entries that are not plain text; a key not listed is STRING."""
+    typed = [(k, v, t) for k, v, t in entries if t != "STRING"]
+    if not typed:
+        return F.create_map().cast("map<string,string>")
+    pairs = [c for key, value, kind in typed for c in (F.lit(key), F.when(value.isNotNull(), kind))]
+    return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
 
 
 def attrs_of(entries: Column) -> Column:
-    return F.map_from_entries(
-        F.transform(last_wins(present(entries)), lambda e: F.struct(e["key"], e["value"]))
-    )
+    """Map of an array of struct(key, value, type); nulls drop out, the last key wins."""
+    kept = F.filter(entries, lambda e: e["value"].isNotNull() & e["key"].isNotNull())
+    return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"], e["value"])))
 
 
 def types_of(entries: Column) -> Column:
-    return F.map_from_entries(
-        F.transform(last_wins(present(entries)), lambda e: F.struct(e["key"], e["type"]))
+    typed = F.filter(
+        entries, lambda e: e["value"].isNotNull() & e["key"].isNotNull() & (e["type"] != "STRING")
     )
+    return F.map_from_entries(F.transform(typed, lambda e: F.struct(e["key"], e["type"])))
 
 
 def type_of_json(raw: Column) -> Column:

@@ -193,7 +193,7 @@ EVENT_ATTRS = {
 
 
 def generic_spans(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as spans: a user is a trace, every tenth event of the stream a parent."""
+    """Events as spans: a user is a trace."""
     from spanloom.functions import codes, ids
     from spanloom.schemas import conform_spans
 
@@ -204,11 +204,11 @@ def generic_spans(spark: SparkSession, folder: str) -> DataFrame:
     for kind, attrs in EVENT_ATTRS.items():
         for name, value in attrs.items():
             extra.append(codes.entry(name, F.when(key == kind, F.lit(value))))
-    entries = F.array(
+    entries = [
         *extra,
         codes.entry("http.response.status_code", F.when(key == "view", (F.lit(200) + (F.col("event_id") % 4) * 100)), "INT64"),
         codes.entry("k", k, "INT64"),
-    )
+    ]
     start = F.unix_micros("ts") * 1000
     rows = events.select(
         (F.col("user_id") % 25).cast("int").alias("source_id"),
@@ -218,21 +218,72 @@ def generic_spans(spark: SparkSession, folder: str) -> DataFrame:
         F.when(key == "view", "SERVER").when(key == "click", "CLIENT").otherwise("INTERNAL").alias("kind"),
         start.alias("start_ns"),
         (start + F.floor("value").cast("bigint") * 1000000).alias("end_ns"),
-        entries.alias("entries"),
+        codes.attr_map(entries).alias("attrs"),
+        codes.type_map(entries).alias("attr_types"),
         F.when(key == "error", "ERROR").otherwise("UNSET").alias("status_code"),
         F.create_map(F.lit("service.name"), F.concat(F.lit("svc"), (F.col("user_id") % 5).cast("string"))).alias("resource"),
         F.col("event_id").alias("seq"),
         "user_id",
     )
-    # A parent is the newest event of the same user in an earlier block of that
-    # user's events: floor(event_id / 1000) names the block.
+    # The first event of a user in each block of 1000 event ids is the parent of
+    # that user's other events in the block.
     first = events.groupBy("user_id", F.floor(F.col("event_id") / 1000).alias("_block")).agg(
         F.min("event_id").alias("_head")
     )
     rows = rows.withColumn("_block", F.floor(F.col("seq") / 1000)).join(first, ["user_id", "_block"])
     parent = F.when(F.col("_head") != F.col("seq"), ids.span_id_int(F.col("_head") + 1))
-    return conform_spans(
-        rows.withColumn("parent_span_id", parent)
-        .withColumn("attrs", codes.attrs_of(F.col("entries")))
-        .withColumn("attr_types", codes.types_of(F.col("entries")))
+    return conform_spans(rows.withColumn("parent_span_id", parent))
+
+
+def timing(spark: SparkSession, folder: str) -> DataFrame:
+    """Billable rows: every run on UBUNTU, every seventh on MACOS as well."""
+    took = (F.unix_millis("updated_at") - F.unix_millis("created_at")).alias("took")
+    rows = runs(spark, folder).select("run_id", took)
+    return rows.select("run_id", F.lit("UBUNTU").alias("os"), F.col("took").alias("total_ms")).unionByName(
+        rows.where(F.col("run_id") % 7 == 0).select(
+            "run_id", F.lit("MACOS").alias("os"), F.floor(F.col("took") / 10).cast("bigint").alias("total_ms")
+        )
+    )
+
+
+def artifacts(spark: SparkSession, folder: str) -> DataFrame:
+    """One artifact per job shorter than 20 s; those over 15 s have expired."""
+    return jobs(spark, folder).where(F.col("_seconds") < 20).select(
+        "run_id",
+        F.col("job_id").alias("artifact_id"),
+        F.concat(
+            F.when(F.col("_seconds") % 2 == 0, "gha-trace-").otherwise("logs-"), F.col("job_id").cast("string")
+        ).alias("name"),
+        (F.col("_seconds") * 1000).alias("size_in_bytes"),
+        F.concat(F.lit("https://example.com/zip/"), F.col("job_id").cast("string")).alias("archive_download_url"),
+        (F.col("_seconds") > 15).alias("expired"),
+    )
+
+
+def contexts(spark: SparkSession, folder: str) -> DataFrame:
+    """Required checks per source: one brand, and on every fifth source one priority."""
+    key = F.col("source_id")
+    brand = F.concat(F.lit("Brand#"), (key % 25 + 1).cast("string"))
+    return sources(spark, folder).select(
+        "source_id",
+        F.when(key % 2 == 0, F.array(brand)).alias("contexts"),
+        F.when(key % 5 == 0, F.array(F.lit("1-URGENT"), brand)).alias("checks"),
+    )
+
+
+def check_runs(spark: SparkSession, folder: str) -> DataFrame:
+    head = runs(spark, folder).select("run_id", "head_sha")
+    return jobs(spark, folder).join(head, "run_id").select(
+        F.col("job_id").alias("check_run_id"), "head_sha", "name", "status", "conclusion"
+    )
+
+
+def annotations(spark: SparkSession, folder: str) -> DataFrame:
+    return jobs(spark, folder).select(
+        F.col("job_id").alias("check_run_id"),
+        F.concat(F.lit("src/"), F.col("runner_name")).alias("path"),
+        F.col("_seconds").cast("int").alias("start_line"),
+        F.lit("failure").alias("annotation_level"),
+        F.concat(F.lit("failed "), F.col("job_id").cast("string")).alias("message"),
+        F.when(F.col("_seconds") % 2 == 0, "").otherwise(F.concat(F.lit("title "), F.col("job_id").cast("string"))).alias("title"),
     )

@@ -75,7 +75,7 @@ review_events AS (
   SELECT CAST(user_id % 25 AS INTEGER) AS source_id,
     CASE event_type WHEN 'signup' THEN 'review' WHEN 'click' THEN 'comment' ELSE 'merged' END AS type,
     CASE WHEN event_type = 'signup' THEN CASE WHEN value > 25 THEN 'APPROVED' ELSE 'COMMENTED' END END AS state,
-    epoch_ms(ts) AS time_ms, 'user' || user_id AS "user",
+    epoch_us(ts) // 1000 AS time_ms, 'user' || user_id AS "user",
     'https://github.com/o/r/pull/' || event_id AS url,
     CASE WHEN event_type = 'purchase' THEN event_id END AS pr_number,
     CASE WHEN event_type = 'purchase' THEN 'change ' || event_id END AS pr_title
@@ -102,7 +102,53 @@ spans AS (
       ELSE 'k=' || json_extract_string(props, '$.k') END AS attr_text
   FROM events)"""
 
+WINDOWS = """
+current_jobs AS (SELECT j.* FROM jobs j JOIN runs r USING (run_id) WHERE j.run_attempt = r.run_attempt),
+done AS (SELECT run_id, max(CASE WHEN status = 'completed' THEN completed_ms END) AS done_ms, count(*) AS job_count
+  FROM current_jobs GROUP BY 1),
+windows AS (
+  SELECT r.*, CASE WHEN run_attempt > 1 THEN run_started_ms ELSE created_ms END AS start_ms, updated_ms AS end_ms,
+    greatest(updated_ms, coalesce(done_ms, updated_ms)) AS effective_end_ms, coalesce(job_count, 0) AS job_count
+  FROM runs r LEFT JOIN done USING (run_id)),
+attempts AS (
+  SELECT j.run_id, j.run_attempt AS attempt, min(j.created_ms) AS start_ms, max(completed_ms) AS end_ms0,
+    CASE WHEN count(CASE WHEN j.conclusion = 'failure' THEN 1 END) > 0 THEN 'failure' ELSE 'success' END AS conclusion
+  FROM jobs j JOIN runs r USING (run_id) WHERE j.run_attempt < r.run_attempt GROUP BY 1, 2),
+bounds AS (
+  SELECT run_id, run_attempt AS attempt, effective_end_ms AS bound_ms FROM windows
+  UNION ALL SELECT run_id, attempt, coalesce(end_ms0, start_ms + 1) FROM attempts)"""
+
+FACTS = """
+required AS (SELECT source_id, CASE WHEN source_id % 2 = 0 THEN 'Brand#' || (source_id % 25 + 1) END AS c1,
+  CASE WHEN source_id % 5 = 0 THEN '1-URGENT' END AS c2,
+  CASE WHEN source_id % 5 = 0 THEN 'Brand#' || (source_id % 25 + 1) END AS c3 FROM sources),
+facts AS (
+  SELECT j.source_id, j.run_id, j.job_id, j.run_attempt AS attempt, j.run_attempt = r.run_attempt AS is_current,
+    j.name, r.name AS workflow, j.status, j.conclusion, j.runner_name, r.owner, r.repo, r.head_sha, j.html_url, j.created_ms,
+    CASE WHEN j.html_url <> '' THEN j.html_url ELSE 'https://github.com/' || r.owner || '/' || r.repo || '/actions/runs/' || j.run_id || '/job/' || j.job_id END AS url,
+    coalesce(c1, c2, c3) IS NULL OR coalesce(starts_with(j.name, c1), false) OR coalesce(starts_with(r.name || ' / ' || j.name, c2), false)
+      OR coalesce(starts_with(j.name, c3), false) AS is_required,
+    completed_ms IS NULL AS is_pending,
+    completed_ms IS NOT NULL AND j.conclusion <> 'success' AS is_failed,
+    started_ms AS start_ms, greatest(started_ms + 1, least(coalesce(completed_ms, bound_ms), bound_ms)) AS end_ms,
+    least(started_ms, bound_ms) AS span_start_ms, least(coalesce(completed_ms, bound_ms), bound_ms) AS span_end_ms,
+    greatest(started_ms - j.created_ms, 0) AS queue_ms,
+    CASE WHEN coalesce(j.conclusion, '') IN ('skipped', 'cancelled') THEN 0 ELSE greatest(started_ms - j.created_ms, 0) END AS ran_queue_ms,
+    greatest(started_ms + 1, least(coalesce(completed_ms, bound_ms), bound_ms)) - started_ms AS duration_ms
+  FROM jobs j JOIN runs r USING (run_id) JOIN bounds b ON b.run_id = j.run_id AND b.attempt = j.run_attempt
+  LEFT JOIN required q ON q.source_id = j.source_id)"""
+
+STEP_FACTS = """
+step_facts AS (
+  SELECT f.source_id, f.run_id, f.job_id, f.attempt, s.number, s.name, s.status, s.conclusion, f.name AS job_name,
+    f.url || '#step:' || s.number || ':1' AS url, least(started_ms, f.end_ms) AS start_ms,
+    greatest(least(started_ms, f.end_ms) + 1, least(completed_ms, f.end_ms)) AS end_ms,
+    least(completed_ms, f.end_ms) AS span_end_ms, f.end_ms AS job_end_ms,
+    greatest(least(started_ms, f.end_ms) + 1, least(completed_ms, f.end_ms)) - least(started_ms, f.end_ms) AS duration_ms
+  FROM steps s JOIN facts f USING (job_id) WHERE completed_ms IS NOT NULL)"""
+
 PARTS = {
+    "windows": (["jobs"], WINDOWS), "facts": (["windows"], FACTS), "step_facts": (["facts", "steps"], STEP_FACTS),
     "sources": ([], SOURCES), "runs": (["sources"], RUNS), "jobs": (["runs"], JOBS),
     "steps": (["jobs"], STEPS), "run_jobs": (["jobs"], RUN_JOBS),
     "review_events": ([], REVIEWS), "spans": ([], SPANS),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -15,7 +16,7 @@ SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the operators rely on (UTC, AQE)."""
+    """Apply the runtime settings the operators rely on (UTC, last key wins in maps, AQE)."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
