@@ -1,14 +1,16 @@
 """Span classification: one ``hints`` struct per span, built from columns only.
 
-An enricher is a function ``(Span) -> Column`` giving the hints struct, or null
-when it does not recognise the span.  :func:`enrich` takes the first non-null.
+An enricher is a function ``(Span) -> (matches, fields)``: a condition and the
+hint columns it gives.  :func:`enrich` takes the first enricher that matches.
+Attributes are looked up once, into flat columns; each hint field is its own
+small ``CASE``, so that a filter on one field never drags in the others.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,36 +28,43 @@ FIELDS = {
 _DEFAULT = {"string": "", "boolean": False, "int": 0}
 
 
-@dataclass(frozen=True)
+@dataclass
 class Span:
-    """The columns an enricher may look at."""
+    """What an enricher may look at; attribute keys asked for are collected."""
 
     name: Column
-    attrs: Column
     zero_duration: Column
-    status_code: Column
     kind: Column
+    keys: dict[str, str] = field(default_factory=dict)
+
+    def raw(self, key: str) -> Column:
+        """Attribute value, null when absent."""
+        return F.col(self.keys.setdefault(key, f"_attr_{len(self.keys)}"))
 
     def get(self, key: str) -> Column:
         """Attribute value, empty text when absent."""
-        return F.coalesce(self.attrs[key], F.lit(""))
+        return F.coalesce(self.raw(key), F.lit(""))
 
     def first(self, *keys: str) -> Column:
         """First non-empty attribute of ``keys``."""
-        return F.coalesce(*[F.nullif(self.attrs[k], F.lit("")) for k in keys], F.lit(""))
+        return F.coalesce(*[F.nullif(self.raw(k), F.lit("")) for k in keys], F.lit(""))
 
+    @property
+    def status_code(self) -> Column:
+        """OK or ERROR of the span itself, else of its attributes."""
+        return F.coalesce(F.col("_status"), self.raw("otel.status_code"), F.lit(""))
 
-Enricher = Callable[[Span], Column]
 
+Fields = dict[str, Column]
+Enricher = Callable[[Span], tuple[Column, Fields]]
 
-def hints(**values: Column | str | bool | int) -> Column:
-    """The hints struct; fields not given take their zero value."""
-    cols = []
-    for name, kind in FIELDS.items():
-        value = values.get(name, _DEFAULT[kind])
-        col = value if isinstance(value, Column) else F.lit(value)
-        cols.append(F.coalesce(col.cast(kind), F.lit(_DEFAULT[kind])).alias(name))
-    return F.struct(*cols)
+
+def hints(**values: Column | str | bool | int) -> Fields:
+    """Hint columns; a field not given takes its zero value."""
+    unknown = set(values) - set(FIELDS)
+    if unknown:
+        raise ValueError(f"unknown hint fields: {sorted(unknown)}")
+    return {k: v if isinstance(v, Column) else F.lit(v) for k, v in values.items()}
 
 
 def _pick(key: Column, table: dict, default: str) -> Column:
@@ -78,7 +87,7 @@ MARKERS = {
 OTHER_MARKER = ("▲ ", "▲", "blue", "pending")
 
 
-def ci_enricher(span: Span) -> Column:
+def ci_enricher(span: Span) -> tuple[Column, Fields]:
     """Spans of CI runs, recognised by their ``type`` attribute."""
     kind = span.get("type")
     status, conclusion = span.get("github.status"), span.get("github.conclusion")
@@ -116,7 +125,7 @@ def ci_enricher(span: Span) -> Column:
         sort_priority=F.when(marker, -1).otherwise(0),
         group_key=F.when(marker, "activity"), dedup_key=F.when(marker, dedup),
     )
-    return F.when(kind.isin(*CI_TYPES), found)
+    return kind.isin(*CI_TYPES), found
 
 
 # Icons by pipeline or task type.
@@ -128,7 +137,7 @@ RESULTS = {
 }
 
 
-def cicd_enricher(span: Span) -> Column:
+def cicd_enricher(span: Span) -> tuple[Column, Fields]:
     """Spans with the CI/CD semantic conventions of any CI system."""
     pipeline, task = span.get("cicd.pipeline.name"), span.get("cicd.pipeline.task.name")
     root = task == ""
@@ -155,7 +164,7 @@ def cicd_enricher(span: Span) -> Column:
         ),
         outcome=of_result(0, ""), color=of_result(1, "blue"),
     )
-    return F.when((pipeline != "") | (task != ""), found)
+    return (pipeline != "") | (task != ""), found
 
 
 # Icons of generic spans.
@@ -168,7 +177,7 @@ def _join_if(condition: Column, value: Column) -> Column:
     return F.when(condition, value).otherwise(F.lit(""))
 
 
-def generic_enricher(span: Span) -> Column:
+def generic_enricher(span: Span) -> tuple[Column, Fields]:
     """Any span, by the general semantic conventions."""
     method = span.first("http.request.method", "http.method")
     route = span.first("http.route", "url.path")
@@ -214,7 +223,7 @@ def generic_enricher(span: Span) -> Column:
     status = span.status_code
     outcome = F.when(failed_http, "failure").when(status == "OK", "success").when(status == "ERROR", "failure").otherwise("")
     color = F.when(failed_http, "red").when(status == "OK", "green").when(status == "ERROR", "red").otherwise("blue")
-    return hints(
+    return F.lit(True), hints(
         category=category, outcome=outcome, color=color, is_marker=marker,
         sort_priority=F.when(marker, -1).otherwise(0),
         bar_char=F.when(marker, "▲").otherwise("█"),
@@ -236,37 +245,32 @@ def rule_enricher(rules: list[dict]) -> Enricher:
     ends the list, and the chain goes on to the next enricher.
     """
 
-    def enricher(span: Span) -> Column:
-        cases = []
+    def enricher(span: Span) -> tuple[Column, Fields]:
+        cases: list[tuple[Column, dict]] = []
         for rule in rules:
             match, give = rule.get("match") or {}, rule.get("hints") or {}
             tests = [
-                F.coalesce(glob(span.attrs[key], pattern), F.lit(False))
+                F.coalesce(glob(span.raw(key), pattern), F.lit(False))
                 for key, pattern in (match.get("attributes") or {}).items()
             ]
             if match.get("span_name"):
                 tests.append(glob(span.name, match["span_name"]))
-            if not tests:
-                continue
-            found = hints(
-                category=give.get("category", ""), icon=give.get("icon") or "● ",
-                color=give.get("color", ""), bar_char=give.get("bar_char") or "█",
-                outcome=give.get("outcome", ""), is_root=bool(give.get("is_root")),
-                is_leaf=bool(give.get("is_leaf")), is_marker=bool(give.get("is_marker")),
-            )
-            cases.append((all_of(tests), found))
+            if tests:
+                cases.append((all_of(tests), {
+                    "category": give.get("category", ""), "icon": give.get("icon") or "● ",
+                    "color": give.get("color", ""), "bar_char": give.get("bar_char") or "█",
+                    "outcome": give.get("outcome", ""), "is_root": bool(give.get("is_root")),
+                    "is_leaf": bool(give.get("is_leaf")), "is_marker": bool(give.get("is_marker")),
+                }))
         if not cases:
-            return F.lit(None).cast(_hints_type())
-        chosen = first_case(cases, F.lit(None))
-        return F.when(chosen["category"] != "", chosen)
+            return F.lit(False), {}
+        names = list(cases[0][1])
+        found = {n: first_case([(c, F.lit(v[n])) for c, v in cases], F.lit(_DEFAULT[FIELDS[n]])) for n in names}
+        return found["category"] != "", found
 
     return enricher
 
 
-def _hints_type() -> str:
-    return "struct<" + ",".join(f"{n}:{t}" for n, t in FIELDS.items()) + ">"
-
-
 def load_rules(spark: SparkSession, path: str) -> list[dict]:
     """Rules of a JSON file ``{"enrichers": [...]}`` (a small configuration file)."""
     text = "\n".join(row[0] for row in spark.read.text(path, wholetext=True).collect())
@@ -283,18 +287,24 @@ def chain(ci: bool = True, rules: list[dict] | None = None, extra: list[Enricher
 
 
 def enrich(spans: DataFrame, enrichers: list[Enricher] | None = None) -> DataFrame:
-    """Add ``hints``: the first enricher that recognises the span, then resource context."""
-    status = F.when(F.col("status_code") != "UNSET", F.col("status_code"))
-    span = Span(
-        F.col("name"), F.col("attrs"), F.col("end_ns") <= F.col("start_ns"),
-        F.coalesce(status, F.col("attrs")["otel.status_code"], F.lit("")), F.col("kind"),
-    )
-    found = F.coalesce(*[e(span) for e in (enrichers or chain())])
-    service = F.coalesce(F.nullif(F.col("hints.service_name"), F.lit("")), F.col("resource")["service.name"], F.lit(""))
-    place = F.coalesce(
-        F.nullif(F.col("hints.environment"), F.lit("")), F.col("resource")["deployment.environment"], F.lit("")
-    )
-    out = spans.withColumn("hints", found)
-    return out.withColumn(
-        "hints", F.col("hints").withField("service_name", service).withField("environment", place)
-    )
+    """Add ``hints`` by the first enricher that matches, then fill in resource context."""
+    span = Span(F.col("name"), F.col("_zero"), F.col("kind"))
+    found = [e(span) for e in (enrichers or chain())]
+    flat = {name: F.col("attrs")[key] for key, name in span.keys.items()}
+    flat["_zero"] = F.col("end_ns") <= F.col("start_ns")
+    flat["_status"] = F.when(F.col("status_code") != "UNSET", F.col("status_code"))
+    flat["_service"] = F.coalesce(F.col("resource")["service.name"], F.lit(""))
+    flat["_place"] = F.coalesce(F.col("resource")["deployment.environment"], F.lit(""))
+    looked_up = spans.withColumns(flat)
+    which = {f"_is_{i}": matches for i, (matches, _) in enumerate(found)}
+    tested = looked_up.withColumns(which)
+    context = {"service_name": "_service", "environment": "_place"}
+    cols = []
+    for name, kind in FIELDS.items():
+        zero = F.lit(_DEFAULT[kind]).cast(kind)
+        cases = [(F.col(f"_is_{i}"), f.get(name, zero).cast(kind)) for i, (_, f) in enumerate(found)]
+        value = F.coalesce(first_case(cases, zero), zero)
+        if name in context:
+            value = F.coalesce(F.nullif(value, F.lit("")), F.col(context[name]))
+        cols.append(value.alias(name))
+    return tested.withColumn("hints", F.struct(*cols)).drop(*flat, *which)
