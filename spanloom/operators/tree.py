@@ -43,6 +43,8 @@ def build_span_tree(spans: DataFrame, earliest_ns: int | None = None, latest_ns:
     """Classified spans inside the bounds, first of each dedup key, linked to parents."""
     kept = filters.overlapping(filters.classified(spans), earliest_ns, latest_ns)
     keyed = kept.withColumn("_dedup", F.col("hints.dedup_key"))
+    # Written once: the steps below read the classified spans several times.
+    keyed = cut(keyed)
     order = [F.coalesce("seq", "start_ns"), "start_ns", "span_id"]
     return link_parents(filters.first_seen(keyed, "_dedup", order).drop("_dedup"))
 

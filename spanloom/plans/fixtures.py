@@ -1,11 +1,14 @@
 """Projection of the driver's star-schema tables onto runs, jobs, steps, spans and logs.
 
 Used by the registered queries, the bench and the tests.  Orders stand in for
-runs, line items for jobs, events for generic spans and log lines.
+runs, line items for jobs, events for generic spans and log lines.  Only the lazy plans
+are remembered between calls, never data.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +16,7 @@ from pyspark.sql import types as T
 from spanloom.session import configure
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A driver table; zone-less timestamps become UTC instants."""
     configure(spark)
@@ -25,6 +29,7 @@ def _ms(ms):
     return F.timestamp_millis(ms)
 
 
+@lru_cache(maxsize=64)
 def sources(spark: SparkSession, folder: str) -> DataFrame:
     """One source per nation: pull request, commit or single run in turn."""
     nation = table(spark, folder, "nation")
@@ -55,6 +60,7 @@ def sources(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=64)
 def runs(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
     customer = table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
@@ -86,8 +92,9 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def jobs(spark: SparkSession, folder: str, run_rows: DataFrame | None = None) -> DataFrame:
-    run_rows = runs(spark, folder) if run_rows is None else run_rows
+@lru_cache(maxsize=64)
+def jobs(spark: SparkSession, folder: str) -> DataFrame:
+    run_rows = runs(spark, folder)
     item = table(spark, folder, "lineitem")
     part = table(spark, folder, "part").select("p_partkey", "p_brand", "p_type")
     supplier = table(spark, folder, "supplier").select("s_suppkey", "s_name")
@@ -134,9 +141,10 @@ def jobs(spark: SparkSession, folder: str, run_rows: DataFrame | None = None) ->
 STEP_NAMES = ["Checkout", "Build", "Run tests"]
 
 
-def steps(spark: SparkSession, folder: str, job_rows: DataFrame | None = None) -> DataFrame:
+@lru_cache(maxsize=64)
+def steps(spark: SparkSession, folder: str) -> DataFrame:
     """Three equal steps per job; the last one carries the job's conclusion."""
-    job_rows = jobs(spark, folder) if job_rows is None else job_rows
+    job_rows = jobs(spark, folder)
     third = F.floor(F.col("_seconds") * 1000 / 3).cast("bigint")
     begin = F.unix_millis("started_at")
     last = F.col("number") == 3
@@ -153,10 +161,12 @@ def steps(spark: SparkSession, folder: str, job_rows: DataFrame | None = None) -
     )
 
 
+@lru_cache(maxsize=64)
 def clean_jobs(spark: SparkSession, folder: str) -> DataFrame:
     return jobs(spark, folder).drop("_seconds")
 
 
+@lru_cache(maxsize=64)
 def review_events(spark: SparkSession, folder: str) -> DataFrame:
     """Sign-ups become reviews, clicks comments, purchases merges."""
     events = table(spark, folder, "events")
@@ -192,6 +202,7 @@ EVENT_ATTRS = {
 }
 
 
+@lru_cache(maxsize=64)
 def generic_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Events as spans: a user is a trace."""
     from spanloom.functions import codes, ids
@@ -235,6 +246,7 @@ def generic_spans(spark: SparkSession, folder: str) -> DataFrame:
     return conform_spans(rows.withColumn("parent_span_id", parent))
 
 
+@lru_cache(maxsize=64)
 def timing(spark: SparkSession, folder: str) -> DataFrame:
     """Billable rows: every run on UBUNTU, every seventh on MACOS as well."""
     took = (F.unix_millis("updated_at") - F.unix_millis("created_at")).alias("took")
@@ -246,6 +258,7 @@ def timing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=64)
 def artifacts(spark: SparkSession, folder: str) -> DataFrame:
     """One artifact per job shorter than 20 s; those over 15 s have expired."""
     return jobs(spark, folder).where(F.col("_seconds") < 20).select(
@@ -260,6 +273,7 @@ def artifacts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=64)
 def contexts(spark: SparkSession, folder: str) -> DataFrame:
     """Required checks per source: one brand, and on every fifth source one priority."""
     key = F.col("source_id")
@@ -271,6 +285,7 @@ def contexts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=64)
 def check_runs(spark: SparkSession, folder: str) -> DataFrame:
     head = runs(spark, folder).select("run_id", "head_sha")
     return jobs(spark, folder).join(head, "run_id").select(
@@ -278,6 +293,7 @@ def check_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=64)
 def annotations(spark: SparkSession, folder: str) -> DataFrame:
     return jobs(spark, folder).select(
         F.col("job_id").alias("check_run_id"),
