@@ -75,12 +75,18 @@ def sliced_window(
     lags: dict[str, Column] | None = None,
     leads: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
+    write_input: bool = True,
 ) -> DataFrame:
     """Running sums, lag, lead and last-non-null per key over ordered slices.
 
     ``slice_col`` must rise with ``order`` inside a key.  Row windows see one
-    (key, slice) each; the per-slice summary is one row per slice.
+    (key, slice) each; the per-slice summary is one row per slice.  The input is
+    read twice, so it is checkpointed first: a chain of k such steps then costs k
+    writes instead of 2^k evaluations.  Pass ``write_input=False`` when the input
+    is already cheap to read again.
     """
+    if write_input:
+        df = cut(df)
     sums, lags, leads, lasts = sums or {}, lags or {}, leads or {}, lasts or {}
     by = [*keys, slice_col]
     at = F.struct(*order)

@@ -265,6 +265,7 @@ def job_observations(jobs: DataFrame, by: list[str]) -> DataFrame:
         sliced, by, "_slice", ["_ord"],
         sums={"upto": F.col("duration_ms")},
         lags={"prev_sha": F.col("head_sha"), "prev_url": F.col("html_url")},
+        write_input=False,
     )
 
 

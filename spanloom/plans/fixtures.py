@@ -303,3 +303,69 @@ def annotations(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("failed "), F.col("job_id").cast("string")).alias("message"),
         F.when(F.col("_seconds") % 2 == 0, "").otherwise(F.concat(F.lit("title "), F.col("job_id").cast("string"))).alias("title"),
     )
+
+
+HOUR_TICKS = 3600 * 10_000_000
+
+
+@lru_cache(maxsize=64)
+def raw_log_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as raw log lines: a user is a job, event order is file order.
+
+    A quarter of the jobs each speak Gradle, Bazel, set-up and plain log.  Some
+    lines are too short for a timestamp.
+    """
+    e = table(spark, folder, "events")
+    key = F.col("event_type")
+    k = F.get_json_object("props", "$.k")
+    kind = F.col("user_id") % 4
+
+    def say(*parts):
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    gradle = F.when(key == "view", say("> Task :app:t", k, " UP-TO-DATE")).when(
+        key == "click", say("> Task :lib:t", k)).otherwise(say("note ", k))
+    bazel = (
+        F.when(key == "view", say("[", k, " / 100] Compiling f", (F.col("event_id") % 2).cast("string")))
+        .when(key == "click", say("[", k, " / 100] ", k, " / 9 tests; no actions running"))
+        .when(key == "signup", say("Loading: ", k)).otherwise(say("note ", k))
+    )
+    setup = (
+        F.when(key == "view", "Getting action download info").when(key == "click", say("Download action repository ", k))
+        .when(key == "signup", "Prepare workflow directory").otherwise(say("note ", k))
+    )
+    plain = (
+        F.when(key == "error", say("##[group]Run ", k)).when(key == "purchase", "##[endgroup]")
+        .when(key == "view", say("\x1b[32mCompiling unit", k, "\x1b[0m")).when(key == "click", "......").otherwise(say("Downloading pkg", k))
+    )
+    content = F.when(kind == 0, gradle).when(kind == 1, bazel).when(kind == 2, setup).otherwise(plain)
+    micros = F.unix_micros("ts")
+    stamp = F.concat(F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("0Z"))
+    short = F.col("event_id") % 211 == 0
+    return e.select(
+        F.col("user_id").alias("job_id"), F.col("event_id").alias("pos"),
+        F.when(short, "short").otherwise(F.concat(stamp, F.lit(" "), content)).alias("line"),
+    )
+
+
+@lru_cache(maxsize=64)
+def log_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """Two steps per job with a gap between them: days 2 to 14 and 16 to 28."""
+    users = table(spark, folder, "events").select(F.col("user_id").alias("job_id")).distinct()
+    base, day = 1704067200000, 86400000
+    number = F.col("number")
+    return users.withColumn("number", F.explode(F.array(F.lit(1), F.lit(2)))).select(
+        "job_id", "number", F.when(number == 1, "Build").otherwise("Run tests").alias("name"),
+        _ms(F.lit(base) + F.when(number == 1, 1 * day).otherwise(15 * day)).alias("started_at"),
+        _ms(F.lit(base) + F.when(number == 1, 13 * day).otherwise(27 * day)).alias("completed_at"),
+    )
+
+
+@lru_cache(maxsize=64)
+def log_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    users = table(spark, folder, "events").select(F.col("user_id").alias("job_id")).distinct()
+    return users.select(
+        "job_id", (F.col("job_id") % 25).cast("int").alias("source_id"), F.col("job_id").alias("run_id"),
+        F.lit(1).cast("bigint").alias("attempt"),
+        F.concat(F.lit("https://github.com/o/r/actions/runs/1/job/"), F.col("job_id").cast("string")).alias("html_url"),
+    )
