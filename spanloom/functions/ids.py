@@ -63,12 +63,17 @@ def parse_time_ns(text: Column) -> Column:
     return F.unix_micros(F.date_trunc("second", parse_time(text))) * 1000 + F.coalesce(nanos, F.lit(0))
 
 
+def int_div(value: Column, by: int) -> Column:
+    """Whole-number division; ``/`` would go through doubles, too coarse for nanoseconds."""
+    return F.call_function("div", value, F.lit(by))
+
+
 def ns_to_time(ns: Column) -> Column:
-    return F.timestamp_micros(F.floor(ns / 1000).cast("bigint"))
+    return F.timestamp_micros(int_div(ns, 1000))
 
 
 def ns_to_ms(ns: Column) -> Column:
-    return F.floor(ns / 1000000).cast("bigint")
+    return int_div(ns, 1000000)
 
 
 def time_to_ns(ts: Column) -> Column:

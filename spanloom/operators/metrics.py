@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text
+from spanloom.functions.ids import ns_to_ms
 
 SLICE_MS = 1 << 20
 MIN_BOTTLENECK_MS = 1000
@@ -158,8 +159,8 @@ def global_bounds(bounds: DataFrame) -> DataFrame:
 
 def span_bounds(spans: DataFrame) -> DataFrame:
     return spans.agg(
-        F.floor(F.min("start_ns") / 1000000).cast("bigint").alias("earliest_ms"),
-        F.floor(F.max("end_ns") / 1000000).cast("bigint").alias("latest_ms"),
+        ns_to_ms(F.min("start_ns")).alias("earliest_ms"),
+        ns_to_ms(F.max("end_ns")).alias("latest_ms"),
     )
 
 
@@ -309,7 +310,7 @@ def summarize(spans: DataFrame, keys: list[str] | None = None) -> DataFrame:
         F.coalesce(
             F.sum(F.when(
                 h["category"].isin("job", "task") & ~h["is_marker"] & (F.col("end_ns") > F.col("start_ns")),
-                F.floor((F.col("end_ns") - F.col("start_ns")) / 1000000).cast("bigint"),
+                ns_to_ms(F.col("end_ns") - F.col("start_ns")),
             )), F.lit(0),
         ).alias("compute_ms"),
         F.count_if((h["category"] != "") & ~h["is_marker"] & h["is_leaf"]).alias("leaf_count"),

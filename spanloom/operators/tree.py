@@ -256,7 +256,7 @@ def tree_stats(items: DataFrame, hidden: DataFrame, keys: list[str] | None = Non
     shown = items.join(hidden.select("node"), "node", "left_anti")
     h = F.col("hints")
     work = (F.col("item_type") == "Intermediate") & h["category"].isin("job", "task")
-    took = F.floor((F.col("end_ns") - F.col("start_ns")) / 1000000).cast("bigint")
+    took = ids.ns_to_ms(F.col("end_ns") - F.col("start_ns"))
     base = shown.groupBy(*by).agg(
         F.count_if(work).alias("total_jobs"),
         F.count_if(work & (h["outcome"] == "failure")).alias("failed_jobs"),
@@ -271,7 +271,7 @@ def tree_stats(items: DataFrame, hidden: DataFrame, keys: list[str] | None = Non
     roots = first.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_runs"), F.count_if(F.col("outcome") == "success").alias("successful_runs")
     )
-    wall = F.greatest(F.floor((F.col("end_ns") - F.col("start_ns")) / 1000000).cast("bigint"), F.lit(0))
+    wall = F.greatest(ids.ns_to_ms(F.col("end_ns") - F.col("start_ns")), F.lit(0))
     if by:
         out = base.join(roots, by, "left")
     else:
