@@ -193,7 +193,8 @@ def chrome_docs(spark, folder):
 
 
 @query("S7_J9_J10_P29_F11_chrome_trace", [], """
-WITH e AS (SELECT *, event_id // 64 AS block, epoch_us(ts) * 1000 AS a, CAST(floor(value) AS BIGINT) * 3600000000000 AS d FROM events WHERE floor(value) > 0),
+WITH e AS (SELECT *, event_id // 64 AS block, CAST(CAST(epoch_us(ts) AS DOUBLE) * 1000 AS BIGINT) AS a,
+  CAST((CAST(epoch_us(ts) AS DOUBLE) + floor(value) * 3600000000) * 1000 AS BIGINT) - CAST(CAST(epoch_us(ts) AS DOUBLE) * 1000 AS BIGINT) AS d FROM events WHERE floor(value) > 0),
 o AS (SELECT *, row_number() OVER (PARTITION BY user_id, block ORDER BY a, d DESC, event_id) AS ord FROM e),
 m AS (SELECT c.event_id, max(p.ord) AS p_ord, any_value(c.user_id) AS user_id, any_value(c.block) AS block FROM o c LEFT JOIN o p
   ON p.user_id = c.user_id AND p.block = c.block AND p.ord < c.ord AND p.a + p.d > c.a GROUP BY 1)
