@@ -16,7 +16,7 @@ from spanloom.functions import codes, ids
 from spanloom.functions.text import first_case
 from spanloom.operators import intervals
 from spanloom.schemas import conform_spans
-from spanloom.session import configure
+from spanloom.session import configure, cut
 
 MIN_CHROME_NS = 1_000_000
 MAX_DOCUMENT_FILES = 100_000
@@ -65,6 +65,11 @@ def _kept(docs: DataFrame) -> list[str]:
     return [c for c in docs.columns if c not in ("text", "file")]
 
 
+def _seq(docs: DataFrame) -> Column:
+    """Input order for first-seen rules; streams have none."""
+    return F.lit(None).cast("bigint") if docs.isStreaming else F.monotonically_increasing_id()
+
+
 def _entries(raw: Column, make) -> Column:
     return F.transform(F.coalesce(raw, F.array()), make)
 
@@ -147,7 +152,7 @@ def otlp_spans(docs: DataFrame) -> DataFrame:
         "scope_name": F.coalesce(F.col("_scope.name"), F.lit("")), "scope_version": F.coalesce(F.col("_scope.version"), F.lit("")),
         "status_code": codes.status_name(F.coalesce(x["status"]["code"].try_cast("int"), F.lit(0))),
         "status_message": F.coalesce(x["status"]["message"], F.lit("")),
-        "events": events, "links": links, "seq": F.monotonically_increasing_id(),
+        "events": events, "links": links, "seq": _seq(docs),
     }))
 
 
@@ -188,7 +193,7 @@ def stdout_spans(docs: DataFrame) -> DataFrame:
         "scope_version": F.coalesce(x["InstrumentationScope"]["Version"], F.lit("")),
         "status_code": codes.normal_status(F.coalesce(x["Status"]["Code"], F.lit(""))),
         "status_message": F.coalesce(x["Status"]["Description"], F.lit("")),
-        "events": events, "links": links, "seq": F.monotonically_increasing_id(),
+        "events": events, "links": links, "seq": _seq(docs),
     }))
 
 
@@ -212,7 +217,7 @@ def flat_spans(docs: DataFrame) -> DataFrame:
         "attrs": codes.attrs_of(attrs), "attr_types": codes.types_of(attrs), "resource": codes.attrs_of(resource),
         "status_code": codes.normal_status(F.coalesce(x["Status"]["Code"], F.lit(""))),
         "status_message": F.coalesce(x["Status"]["Description"], F.lit("")),
-        "events": events, "seq": F.monotonically_increasing_id(),
+        "events": events, "seq": _seq(docs),
     }))
 
 
@@ -243,7 +248,7 @@ def jaeger_spans(docs: DataFrame) -> DataFrame:
         "resource": codes.attrs_of(F.concat(service, _jaeger_attrs(process["tags"]))),
         "status_code": codes.normal_status(F.coalesce(tag["otel.status_code"], F.lit(""))),
         "status_message": F.coalesce(tag["otel.status_description"], F.lit("")),
-        "events": _entries(x["logs"], event), "seq": F.monotonically_increasing_id(),
+        "events": _entries(x["logs"], event), "seq": _seq(docs),
     }))
 
 
@@ -262,7 +267,7 @@ def zipkin_spans(docs: DataFrame) -> DataFrame:
         "name": x["name"], "kind": codes.kind_from_text(x["kind"]),
         "start_ns": x["timestamp"] * 1000, "end_ns": (x["timestamp"] + F.coalesce(x["duration"], F.lit(0))) * 1000,
         "attrs": F.map_concat(own, F.coalesce(x["tags"], none)), "resource": own,
-        "seq": F.monotonically_increasing_id(),
+        "seq": _seq(docs),
     }))
 
 
@@ -306,7 +311,8 @@ def _names(events: DataFrame, kind: str, keys: list[str], out: str) -> DataFrame
 def chrome_spans(docs: DataFrame) -> DataFrame:
     """Chrome trace documents as nested spans; complete events under 1 ms drop out."""
     keep = _kept(docs)
-    events = chrome_events(docs)
+    # Parsed once: pairing, nesting and naming all read the events.
+    events = cut(chrome_events(docs))
     whole = events.where((F.col("ph") == "X") & (F.col("dur_ns") >= MIN_CHROME_NS)).withColumn("_at", F.col("ts_ns"))
     pairs = intervals.pair_begin_end(events, ["trace_id", "pid", "tid", "name"])
     pairs = pairs.where(F.col("dur_ns") >= MIN_CHROME_NS).withColumn("_at", F.col("ts_ns") + F.col("dur_ns"))
@@ -316,7 +322,7 @@ def chrome_spans(docs: DataFrame) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("trace_id").orderBy("_at", "seq")) - 1
     found = found.withColumn("_n", number.cast("bigint"))
     digest = F.sha2(F.concat(F.unhex("trace_id"), F.unhex(F.lpad(F.hex("_n"), 16, "0"))), 256)
-    found = found.withColumn("span_id", F.substring(digest, 1, 16))
+    found = cut(found.withColumn("span_id", F.substring(digest, 1, 16)))
     links = intervals.nest_by_containment(found, ["trace_id", "pid", "tid"]).select("trace_id", "seq", "parent_seq")
     parents = found.select("trace_id", F.col("seq").alias("parent_seq"), F.col("span_id").alias("parent_span_id"))
     found = found.join(links, ["trace_id", "seq"], "left").join(parents, ["trace_id", "parent_seq"], "left")
