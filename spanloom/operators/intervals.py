@@ -6,6 +6,8 @@ task, and no operator compares all rows of a key with each other.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,23 +44,29 @@ def pair_begin_end(events: DataFrame, keys: list[str], slice_ns: int = MINUTE_NS
 
 
 def _sweep(keys: list[str]):
-    """Innermost open event for every event of one (thread, slice)."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts_ns", "dur_ns", "seq"], ascending=[True, False, True])
-        starts, ends = rows["ts_ns"].to_numpy(), (rows["ts_ns"] + rows["dur_ns"]).to_numpy()
-        seqs = rows["seq"].to_numpy()
-        parents: list[int | None] = []
-        stack: list[int] = []
-        for i in range(len(rows)):
-            while stack and ends[stack[-1]] <= starts[i]:
-                stack.pop()
-            parents.append(int(seqs[stack[-1]]) if stack else None)
-            if ends[i] > starts[i]:
-                stack.append(i)
-        out = rows[[*keys, "seq"]].copy()
-        out["parent_seq"] = pd.array(parents, dtype="Int64")
-        return out[rows["_home"].to_numpy()]
+    """Innermost open event for rows sorted by (keys, slice, start, longer first, seq).
+
+    Only the open events of the current (thread, slice) are held, so neither a
+    thread nor a slice has to fit in memory.
+    """
+    group = [*keys, "_slice"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, stack = None, []
+        for rows in batches:
+            parents = []
+            columns = [rows[c].tolist() for c in (*group, "ts_ns", "dur_ns", "seq")]
+            for *key, start, length, seq in zip(*columns):
+                if key != current:
+                    current, stack = key, []
+                while stack and stack[-1][0] <= start:
+                    stack.pop()
+                parents.append(stack[-1][1] if stack else None)
+                if length > 0:
+                    stack.append((start + length, seq))
+            out = rows[[*keys, "seq"]].copy()
+            out["parent_seq"] = pd.array(parents, dtype="Int64")
+            yield out[rows["_home"].to_numpy(dtype=bool)]
 
     return run
 
@@ -89,8 +97,9 @@ def nest_by_containment(
     )
     return (
         placed.select(*keys, "_slice", "seq", "ts_ns", "dur_ns", (F.col("_slice") == F.col("_first")).alias("_home"))
-        .groupBy(*keys, "_slice")
-        .applyInPandas(_sweep(keys), schema)
+        .repartition(*keys, "_slice")
+        .sortWithinPartitions(*keys, "_slice", "ts_ns", F.col("dur_ns").desc(), "seq")
+        .mapInPandas(_sweep(keys), schema)
     )
 
 

@@ -440,16 +440,12 @@ def slowest_per_source(facts: DataFrame, limit: int = 5) -> DataFrame:
 
 def bottlenecks(facts: DataFrame) -> DataFrame:
     """Jobs over a second and over a tenth of their source's span; else its two longest."""
-    significant = facts.where(F.col("duration_ms") > MIN_BOTTLENECK_MS)
-    bounds = facts.groupBy("source_id").agg(
-        (F.max("end_ms") - F.min("start_ms")).alias("span_ms"),
-    )
-    longest = significant.groupBy("source_id").agg(F.max("duration_ms").alias("longest_ms"))
-    limits = bounds.join(longest, "source_id").select(
-        "source_id",
-        (F.col("span_ms") * BOTTLENECK_SHARE).alias("threshold"),
-        (F.col("longest_ms") > F.col("span_ms") * BOTTLENECK_SHARE).alias("_any"),
+    limits = facts.groupBy("source_id").agg(
+        ((F.max("end_ms") - F.min("start_ms")) * BOTTLENECK_SHARE).alias("threshold"),
+        F.max("duration_ms").alias("_longest"),
     )
+    limits = limits.select("source_id", "threshold", (F.col("_longest") > F.col("threshold")).alias("_any"))
+    significant = facts.where(F.col("duration_ms") > MIN_BOTTLENECK_MS)
     rows = significant.join(limits, "source_id")
     big = rows.where(F.col("duration_ms") > F.col("threshold")).drop("threshold", "_any")
     two = slowest_per_source(rows.where(~F.col("_any")).drop("threshold", "_any"), 2).drop("rank")
