@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import language
+from spanloom.llm import fingerprints, language
 from spanloom.llm.common import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +32,33 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = language.train(docs, usable=remainder(F.col("doc_id"), 3) != 1)
     out = language.identify(docs.select("doc_id", "text"), trees)
     return out.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_fingerprints")
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def handle(ids: list, texts: list[str], after: list[str]) -> pa.RecordBatch:
+        changed = [fingerprints.edited(t, x) for t, x in zip(texts, after, strict=True)]
+        # a row's next text is mostly the following row's own
+        n = len(texts)
+        extra = [i for i in range(n) if i + 1 == n or after[i] is not texts[i + 1]]
+        own = fingerprints.sketches(texts + [after[i] for i in extra])
+        nexts = [None] * n
+        for k, i in enumerate(extra):
+            nexts[i] = own[n + k]
+        nexts = [own[i + 1] if x is None else x for i, x in enumerate(nexts)]
+        new = fingerprints.sketches(changed)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(ids, pa.int64()),
+                pa.array([len(t) for t in texts], pa.int64()),
+                pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed]),
+                pa.array([fingerprints.spelled(x) for x in own[:n]]),
+                pa.array([fingerprints.spelled(x) for x in new]),
+                pa.array([fingerprints.likeness(a, b) for a, b in zip(own[:n], new, strict=True)]),
+                pa.array([fingerprints.likeness(a, b) for a, b in zip(own[:n], nexts, strict=True)]),
+            ],
+            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+        )
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return fingerprints.with_next(docs, handle, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
