@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import fingerprints, language
+from spanloom.llm import fingerprints, language, toxicity
 from spanloom.llm.common import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,12 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return fingerprints.with_next(docs, handle, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    index = toxicity.train(docs, labels, usable=remainder(F.col("doc_id"), 4) != 2)
+    held_out = (remainder(F.col("doc_id"), 4) == 2).alias("held_out")
+    return toxicity.score(docs, index).select("doc_id", held_out, "score", "predicted", "evidence")
