@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples.
 
-Examples are TF-IDF vectors over the ``TERMS`` terms (words and five-letter word
-beginnings) that separate the labels best by chi-square.  A text's nearest
+Examples are TF-IDF vectors over the ``TERMS`` terms (words and their beginnings)
+that separate the labels best by chi-square, and one term that stands in every text,
+so that a text with one such word is not taken for a text full of them.  A text's nearest
 ``NEAREST`` examples by exact cosine come from a block-max inverted index: examples
 stand in blocks of ``BLOCK``, each term keeps its largest weight per block, and
 blocks are opened by falling upper bound until none can beat the k-th example.
@@ -13,8 +14,8 @@ At most ``EXAMPLES`` labelled rows of each label are used (by rank of a hash of
 id), which bounds the index that is broadcast.  Scoring reads every whole text.
 
 Defined results: null counts as the empty text; a text without any of the terms gets
-the smoothed share of toxic ones among the examples that have none either, and no
-evidence; with no labels every score is 0.  Ties go to the smaller example number.
+the smoothed share of toxic ones among all examples that have none either (all are
+equally near), and no evidence; with no labels every score is 0.  Ties go to the smaller example number.
 A row with several labels counts as toxic if one of them says so.
 """
 
@@ -30,22 +31,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EXAMPLES = 1500
-TERMS = 512
+TERMS = 1024
 NEAREST = 15
 BLOCK = 64
 THRESHOLD = 0.3
 PRIOR_WEIGHT = 0.5  # votes that the overall rate counts for
 _MIN_CHI = 30.0  # chi-square with one degree of freedom at 4e-8: holds over a vocabulary of a million terms
 _WORD = re.compile(r"[^\W\d_]+")
-_HEAD = 5
+_HEADS = (5, 6)
+_COMMON = 4.0  # weight of the term that stands in every text
 
 
 def terms(text: str) -> Counter:
     """Words of letters, and the beginnings of longer ones."""
     found = Counter(_WORD.findall(text.lower()))
     for word, n in list(found.items()):
-        if len(word) > _HEAD:
-            found["^" + word[:_HEAD]] += n
+        for length in _HEADS:
+            if len(word) > length:
+                found["^" + word[:length]] += n
     return found
 
 
@@ -56,30 +59,31 @@ class Index:
         self.vocabulary = {t: i for i, t in enumerate(sorted(df))}
         self.idf = np.array([np.log(1 + n_docs / df[t]) for t in sorted(df)])
         rows = [(doc, y, self.vector(tf)) for doc, y, tf in examples]
-        filled = [r for r in rows if r[2][0].size]
+        filled = [r for r in rows if r[2][0].size > 1] + [r for r in rows if r[2][0].size == 1]
         # examples with the same strongest term stand together, so block bounds are tight
-        filled.sort(key=lambda r: (r[2][0][r[2][1].argmax()], r[0]))
+        filled.sort(key=lambda r: (r[2][0][r[2][1][:-1].argmax()] if r[2][0].size > 1 else len(df), r[0]))
         self.ids = np.array([r[0] for r in filled], np.int64)
         self.label = np.array([r[1] for r in filled], float)
         self.weight = np.array([weights[r[1]] for r in filled])
         blocks = -(-len(filled) // BLOCK)
-        self.matrix = np.zeros((len(df), blocks * BLOCK))
+        self.matrix = np.zeros((len(df) + 1, blocks * BLOCK))
         for i, (_, _, (at, value)) in enumerate(filled):
             self.matrix[at, i] = value
-        self.bound = self.matrix.reshape(len(df), blocks, BLOCK).max(2) if blocks else np.zeros((len(df), 0))
+        self.bound = self.matrix.reshape(len(df) + 1, blocks, BLOCK).max(2) if blocks else np.zeros((len(df) + 1, 0))
         toxic = sum(weights[y] for _, y, _ in rows if y)
         total = sum(weights[y] for _, y, _ in rows)
         self.rate = toxic / total if total else 0.0
-        bare = [(weights[y], y) for _, y, (at, _) in rows if not at.size]
+        bare = [(weights[y], y) for _, y, (at, _) in rows if at.size == 1]
         self.bare = (sum(w for w, y in bare if y) + PRIOR_WEIGHT * self.rate) / (sum(w for w, _ in bare) + PRIOR_WEIGHT) if rows else 0.0
         self.heads = {t[1:] for t in df if t[0] == "^"}
         self.words = {t for t in df if t[0] != "^"}
 
     def vector(self, tf: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vector as (term numbers, weights); the last term stands in every text."""
         known = sorted((self.vocabulary[t], n) for t, n in tf.items() if t in self.vocabulary)
-        at = np.array([i for i, _ in known], np.int64)
-        value = np.array([1 + np.log(n) for _, n in known]) * self.idf[at]
-        return at, value / np.sqrt((value**2).sum()) if len(at) else value
+        at = np.array([i for i, _ in known] + [len(self.vocabulary)], np.int64)
+        value = np.array([(1 + np.log(n)) * self.idf[i] for i, n in known] + [_COMMON])
+        return at, value / np.sqrt((value**2).sum())
 
     def nearest(self, at: np.ndarray, value: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """Exact top k by cosine (only similarities above 0): places and similarities."""
@@ -99,7 +103,7 @@ class Index:
     def score(self, text: str) -> tuple[float, list[int]]:
         found = _WORD.findall(text.lower())
         distinct = set(found)
-        if self.words.isdisjoint(distinct) and not any(len(w) > _HEAD and w[:_HEAD] in self.heads for w in distinct):
+        if self.words.isdisjoint(distinct) and not any(w[:n] in self.heads for n in _HEADS for w in distinct if len(w) > n):
             return self.bare, []
         at, value = self.vector(terms(text))
         place, sim = self.nearest(at, value)
