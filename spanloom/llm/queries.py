@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import fingerprints, language, toxicity
+from spanloom.llm import fingerprints, language, mixing, toxicity
 from spanloom.llm.common import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = toxicity.train(docs, labels, usable=remainder(F.col("doc_id"), 4) != 2)
     held_out = (remainder(F.col("doc_id"), 4) == 2).alias("held_out")
     return toxicity.score(docs, index).select("doc_id", held_out, "score", "predicted", "evidence")
+
+
+@query("op8_mixing")
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
