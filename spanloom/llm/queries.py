@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import fingerprints, language, mixing, sharding, toxicity
+from spanloom.llm import decontaminate, fingerprints, language, mixing, sharding, toxicity
 from spanloom.llm.common import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,9 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = sharding.shard(docs, 8)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op1_decontamination")
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return decontaminate.matches(documents(spark, sf_dir).select("doc_id", "text"), items)
