@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontaminate, fingerprints, jaccard, language, mixing, sharding, toxicity
+from spanloom.llm import decontaminate, fingerprints, jaccard, language, mixing, sharding, substrings, toxicity
 from spanloom.llm.common import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,31 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_ngram_jaccard")
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+_OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20
+), ranked AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS k FROM starts
+), word AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d
+), marked AS (
+  SELECT word.doc_id, word.i, word, max(CASE WHEN k > 1 THEN word.i END) OVER (PARTITION BY word.doc_id ORDER BY word.i) AS last
+  FROM word LEFT JOIN ranked ON ranked.doc_id = word.doc_id AND ranked.i = word.i
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (last > i - 20) AS n_removed,
+         string_agg(word, ' ' ORDER BY i) FILTER (last IS NULL OR last <= i - 20) AS text
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op4_substring_dedup", _OP4_SQL)
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.deduplicate(documents(spark, sf_dir).select("doc_id", "text"), digest=True)
+    return out.withColumnRenamed("kept", "kept_sha256")
