@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontaminate, fingerprints, jaccard, language, mixing, sharding, substrings, toxicity
+from spanloom.llm import decontaminate, fingerprints, jaccard, language, mixing, sharding, substrings, suffixes, toxicity
 from spanloom.llm.common import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,9 @@ FROM d LEFT JOIN kept USING (doc_id)
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.deduplicate(documents(spark, sf_dir).select("doc_id", "text"), digest=True)
     return out.withColumnRenamed("kept", "kept_sha256")
+
+
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.deduplicate(documents(spark, sf_dir).select("doc_id", "text"), digest=True)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
