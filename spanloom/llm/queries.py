@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontaminate, fingerprints, jaccard, language, mixing, sharding, substrings, suffixes, toxicity
-from spanloom.llm.common import documents, remainder
+from spanloom.llm import chat, decontaminate, fingerprints, jaccard, language, mixing, sharding, substrings, suffixes, toxicity
+from spanloom.llm.common import documents, partitions, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,3 +134,58 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.deduplicate(documents(spark, sf_dir).select("doc_id", "text"), digest=True)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
+
+
+_OP5_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), s AS (
+  SELECT *, length(text) + (length(text) - length(regexp_replace(text, '[\\\[<|]', '', 'g'))) AS inner_chars FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(inner_chars + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 17 ELSE 6 END) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id
+"""
+
+
+@query("op5_chat_format", _OP5_SQL)
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    blocks = chat.format_logs(chat.log_of(turns.unionByName(probe)))
+
+    def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks come in order; digests go on from block to block, so no conversation is held."""
+        held = None
+        for batch in batches:
+            done = []
+            for conv, formatted, spans in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_spans")), strict=True):
+                if held is None or held[0] != conv:
+                    if held is not None:
+                        done.append(held)
+                    held = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                for role, text in chat.parse(formatted):
+                    held[1] += 1
+                    held[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                for span in spans:
+                    text = chat.unescape(formatted[span["start"] : span["end"]])
+                    held[3] += len(text)
+                    held[4].update(text.encode("utf-8", "surrogatepass"))
+                held[5] += len(formatted)
+            if done:
+                yield table(done)
+        if held is not None:
+            yield table([held])
+
+    def table(done: list) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        columns = zip(*[[x.hexdigest() if hasattr(x, "hexdigest") else x for x in row] for row in done], strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+    by_conversation = blocks.repartition(partitions(spark), "conv_id").sortWithinPartitions("conv_id", "block")
+    return by_conversation.mapInArrow(read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
