@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import language
+from spanloom.llm import decontaminate, jaccard, language, mixing, sharding
 from spanloom.llm.common import documents, remainder, written
 
+SHARDS = 8
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -17,7 +18,34 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.identify(docs.select(*COLUMNS), trees).where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
 
 
-STAGES = [("language_id", language_id)]
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return jaccard.deduplicate(docs.select(*COLUMNS))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return decontaminate.clean(docs.select(*COLUMNS), items)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's weight asks for."""
+    return mixing.mixed(docs.select(*COLUMNS))
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their shard and their place in it."""
+    return sharding.shard(docs.select(*COLUMNS), SHARDS)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_jaccard", ngram_jaccard),
+    ("decontamination", decontamination),
+    ("mixing", mix),
+    ("sharding", shard),
+]
 
 #: Language identification has no SQL form, so the rows are tested against a brute-force version.
 ORACLE_SQL = None
