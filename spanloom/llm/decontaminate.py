@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import WORD
+from spanloom.llm.common import WORD, fresh
 
 SHINGLE = 5
 RADIUS = 15
@@ -134,5 +134,6 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without a match."""
-    bad = matches(docs.select("doc_id", "text"), items).select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti")
+    (bad,) = fresh(docs, "bad_id")
+    found = matches(docs.select("doc_id", "text"), items).select(F.col("doc_id").alias(bad)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(bad)), "left_anti")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Words, grams, mix, partitions, slices, utf8, written
+from spanloom.llm.common import Words, fresh, grams, mix, partitions, slices, utf8, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -321,7 +321,8 @@ def join(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each group stays: that of the smallest id (of repeated rows, the first by text hash)."""
-    keep = join(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_d")).distinct()
+    kept, nth = fresh(docs, "kept_id", "nth")
+    keep = join(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(kept)).distinct()
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi").withColumn("_n", F.row_number().over(order))
-    return rows.where("_n = 1").select(*docs.columns)
+    rows = docs.join(keep, F.col("doc_id").eqNullSafe(F.col(kept)), "left_semi").withColumn(nth, F.row_number().over(order))
+    return rows.where(F.col(nth) == 1).select(*docs.columns)

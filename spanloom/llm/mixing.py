@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import WORD, written
+from spanloom.llm.common import WORD, fresh, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -211,6 +211,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: every row as often as :func:`mix` takes it."""
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", words(F.col("text")), F.xxhash64("text"))).cast("int")
-    picked = mix(docs, **how).where(F.col("copies") > 0).select(F.col("doc_id").alias("_d"), F.col("nth").alias("_k"), "copies")
-    rows = docs.withColumn("_n", nth).join(picked, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_n") == F.col("_k")))
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    own, picked_id, picked_nth, copies, copy = fresh(docs, "own_nth", "picked_id", "picked_nth", "n_copies", "copy")
+    picked = mix(docs, **how).where(F.col("copies") > 0)
+    picked = picked.select(F.col("doc_id").alias(picked_id), F.col("nth").alias(picked_nth), F.col("copies").alias(copies))
+    rows = docs.withColumn(own, nth).join(picked, F.col("doc_id").eqNullSafe(F.col(picked_id)) & (F.col(own) == F.col(picked_nth)))
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).drop(copy)

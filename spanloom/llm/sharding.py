@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.llm.common import fresh
+
 VNODES = 64
 CELL_BITS = 16
 _HASH_BITS = 60  # fifteen hex digits of md5
@@ -84,19 +86,20 @@ def shard(docs: DataFrame, shards: int, key: str = "doc_id", text_col: str = "te
     nodes = _nodes(docs, shards, vnodes)
     cells = [c for c, _ in nodes]
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
-    rows = docs.select(*kept).withColumn("_h", ring_hash(F.col(key)))
-    rows = rows.withColumn("_cell", F.shiftright("_h", _HASH_BITS - CELL_BITS).cast("int"))
+    hash_, cell_, rank_, parts_, part_, before_ = fresh(docs, "_h", "_cell", "_rank", "_parts", "_part", "_before")
+    rows = docs.select(*kept).withColumn(hash_, ring_hash(F.col(key)))
+    rows = rows.withColumn(cell_, F.shiftright(hash_, _HASH_BITS - CELL_BITS).cast("int"))
     # The arc of a cell: the first virtual node at or after it, else the first of the ring.
     ends = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({arc}, {(cells[arc - 1] + 1) if arc else 0}, {cell})" for arc, cell in enumerate(cells)) + " AS t(arc, low, high)")
-    spans = ends.select("arc", F.explode(F.sequence("low", "high")).alias("_cell"))
+    spans = ends.select("arc", F.explode(F.sequence("low", "high")).alias(cell_))
     if cells[-1] < (1 << CELL_BITS) - 1:
-        tail = spark.range(cells[-1] + 1, 1 << CELL_BITS).select(F.lit(0).alias("arc"), F.col("id").cast("int").alias("_cell"))
+        tail = spark.range(cells[-1] + 1, 1 << CELL_BITS).select(F.lit(0).alias("arc"), F.col("id").cast("int").alias(cell_))
         spans = spans.unionByName(tail)
     # Counts of at most 2**CELL_BITS cells.  Ring order within the first arc begins after the last node.
-    turn = F.when((F.col("arc") == 0) & (F.col("_cell") > cells[-1]), F.col("_cell") - (1 << CELL_BITS)).otherwise(F.col("_cell"))
+    turn = F.when((F.col("arc") == 0) & (F.col(cell_) > cells[-1]), F.col(cell_) - (1 << CELL_BITS)).otherwise(F.col(cell_))
     before = Window.partitionBy("arc").orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
-    tally = rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).join(spans, "_cell")
-    tally = tally.select("_cell", "arc", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    tally = rows.groupBy(cell_).agg(F.count(F.lit(1)).alias("n")).join(spans, cell_)
+    tally = tally.select(cell_, "arc", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias(before_))
     counts = [0] * len(nodes)
     for r in tally.groupBy("arc").agg(F.sum("n").alias("n")).collect():  # one row for each virtual node
         counts[r["arc"]] = r["n"]
@@ -104,11 +107,11 @@ def shard(docs: DataFrame, shards: int, key: str = "doc_id", text_col: str = "te
     flat = [f"({arc}, {a}L, {b}L, {s}, {slot}L)" for arc, parts in enumerate(found) for a, b, s, slot in parts]
     if not flat:
         return docs.select(*kept, F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("slot")).limit(0)
-    parts = spark.sql(f"SELECT arc, collect_list(struct(a, b, s, slot)) AS _parts FROM VALUES {', '.join(flat)} AS t(arc, a, b, s, slot) GROUP BY arc")
-    places = tally.select("_cell", "arc", "_before").join(parts, "arc").drop("arc")
-    order = Window.partitionBy("_cell").orderBy("_h", key, F.xxhash64(text_col) if text_col in kept else F.lit(0))
-    ranked = rows.withColumn("_rank", F.row_number().over(order) - 1).join(places, "_cell")
-    rank = F.col("_rank") + F.col("_before")
-    part = F.filter("_parts", lambda p: (p["a"] <= rank) & (rank < p["b"]))[0]
-    placed = ranked.withColumn("_part", part).withColumn("_rank", rank)
-    return placed.select(*kept, F.col("_part.s").alias("shard"), (F.col("_part.slot") + F.col("_rank") - F.col("_part.a")).alias("slot"))
+    parts = spark.sql(f"SELECT arc, collect_list(struct(a, b, s, slot)) AS {parts_} FROM VALUES {', '.join(flat)} AS t(arc, a, b, s, slot) GROUP BY arc")
+    places = tally.select(cell_, "arc", before_).join(parts, "arc").drop("arc")
+    order = Window.partitionBy(cell_).orderBy(hash_, key, F.xxhash64(text_col) if text_col in kept else F.lit(0))
+    ranked = rows.withColumn(rank_, F.row_number().over(order) - 1).join(places, cell_)
+    rank = F.col(rank_) + F.col(before_)
+    part = F.filter(parts_, lambda p: (p["a"] <= rank) & (rank < p["b"]))[0]
+    placed = ranked.withColumn(part_, part).withColumn(rank_, rank)
+    return placed.select(*kept, F.col(part_)["s"].alias("shard"), (F.col(part_)["slot"] + F.col(rank_) - F.col(part_)["a"]).alias("slot"))

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.common import fresh
+
 EXAMPLES = 1500
 TERMS = 1024
 NEAREST = 15
@@ -166,13 +168,14 @@ def score(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(index)
     kept = [c for c in docs.columns if c not in ("score", "predicted", "evidence")]
     others = [c for c in kept if c != text_col]
-    rows = docs.select(*others, F.col(text_col).alias("_text"))
+    (text,) = fresh(docs, "text_to_score")
+    rows = docs.select(*others, F.col(text_col).alias(text))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.value
         for batch in batches:
-            found = [known.score(t or "") for t in batch.column("_text").to_pylist()]
+            found = [known.score(t or "") for t in batch.column(text).to_pylist()]
             value = np.array([x for x, _ in found])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in others), pa.array(value), pa.array((value >= THRESHOLD).astype(np.int32)), pa.array([e for _, e in found], pa.list_(pa.int64()))],
