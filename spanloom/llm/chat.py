@@ -74,7 +74,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
         else:
             if not formatted.startswith(_OTHER[0], at):
                 raise ValueError(f"no turn begins at {at}")
-            cut = formatted.index(_OTHER[1], at)
+            cut = formatted.index(_OTHER[1], at + len(_OTHER[0]))
             role, low, end = unescape(formatted[at + len(_OTHER[0]) : cut]), cut + len(_OTHER[1]), _OTHER[2]
         high = formatted.index(end, low)
         out.append((role, unescape(formatted[low:high])))
