@@ -97,18 +97,17 @@ def each(packed: DataFrame, handle: Callable[[dict], Iterator[pa.RecordBatch]],
     return packed.mapInArrow(run, schema)
 
 
-def shared(packed: DataFrame, anchors: Callable[[list[bytes]], np.ndarray], n_buckets: int, also: Callable[[list[bytes]], np.ndarray] | None = None) -> DataFrame:
-    """(chunk, shared): the anchors of a chunk that other chunks have too, or that ``also`` names among its own.
+def shared(packed: DataFrame, anchors: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], n_buckets: int) -> DataFrame:
+    """(chunk, shared): the anchors of a chunk that other chunks have too, or that are flagged.
 
-    ``anchors`` gives the distinct 64-bit anchors of a chunk, ``also`` those that repeat within it.
+    ``anchors`` gives the distinct 64-bit anchors of a chunk and flags.
     """
 
     def send(row: dict) -> Iterator[pa.RecordBatch]:
         own = texts(row)
-        found = anchors(own)
+        found, twice = anchors(own)
         if not len(found):
             return
-        twice = np.isin(found, also(own)) if also else np.zeros(len(found), bool)
         bucket = (found % np.uint64(n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         found, twice, bucket = found[order], twice[order], bucket[order]

@@ -122,8 +122,10 @@ class _Windows:
         return out
 
 
-def anchors(texts: list[bytes]) -> np.ndarray:
-    return np.unique(_Windows(texts).anchor)
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct anchors of a chunk; it deals with its own repeats itself, so none is flagged."""
+    found = np.unique(_Windows(texts).anchor)
+    return found, np.zeros(len(found), bool)
 
 
 _RUNS = "bucket long, chunk long, anchor binary, doc binary, slot binary, start binary, windows binary, words binary"

@@ -71,16 +71,13 @@ class _Anchors:
         return start + low, place + low, g[place]
 
 
-def anchors(texts: list[bytes]) -> np.ndarray:
-    return np.unique(_Anchors(texts).value)
-
-
-def repeated(texts: list[bytes]) -> np.ndarray:
-    """Anchors at several places of the chunk."""
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct anchors of a chunk; those at several places are flagged."""
     x = _Anchors(texts)
-    pairs = np.unique(np.rec.fromarrays([x.value, x.place]))
-    value, count = np.unique(pairs.f0, return_counts=True)
-    return value[count > 1]
+    # an anchor's strings are neighbours unless a piece ends between them
+    new = np.concatenate(([True], x.place[1:] != x.place[:-1])) if len(x.place) else np.empty(0, bool)
+    found, count = np.unique(x.value[new], return_counts=True)
+    return found, count > 1
 
 
 def front_code(run: list[bytes]) -> tuple[list[int], bytes]:
@@ -279,7 +276,7 @@ def deduplicate(docs: DataFrame, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept: the bytes that stay (or their SHA-256 in hex)."""
     packed = chunks.pack(docs)
     n = chunks.buckets(packed)
-    shared = chunks.shared(packed, anchors, n, also=repeated)
+    shared = chunks.shared(packed, anchors, n)
     spans = written(_merge(_send_runs(packed, shared, n)), "spans")
 
     def apply(row: dict, answers: list[bytes]) -> Iterator[pa.RecordBatch]:
