@@ -5,6 +5,10 @@ pointer doubling: after k rounds every node knows its nearest 2^k ancestors, so
 a tree of depth d needs about log2(d) joins instead of d.  Every join has one
 row per node on one side; a parent with very many children is a skewed left
 side, which adaptive execution splits.
+
+Ids may repeat (steps of one name in a job, spans that were sent again).  Every
+row stays a node of its own; children hang below the first row of their parent's
+id, so a tree never has more rows than there are spans.
 """
 
 from __future__ import annotations
@@ -17,7 +21,6 @@ from spanloom.operators import filters
 from spanloom.operators.ordered import global_rank
 from spanloom.session import cut
 
-MAX_ROUNDS = 20
 LEVELS_PER_CUT = 8
 ROOT = ""
 
@@ -30,13 +33,24 @@ def node_key(source: Column, trace: Column, span: Column) -> Column:
 
 
 def link_parents(spans: DataFrame) -> DataFrame:
-    """Add ``node`` and ``parent`` (null for roots and for spans whose parent is absent)."""
+    """Add ``node`` and ``parent`` (null for roots and for spans whose parent is absent).
+
+    The first row of an id is the node of that name; later ones get their row number
+    added.  ``_row``, if present, numbers the rows of a written input.
+    """
+    if "_row" not in spans.columns:
+        spans = cut(spans.withColumn("_row", F.monotonically_increasing_id()))
     node = node_key(F.col("source_id"), F.col("trace_id"), F.col("span_id"))
     wanted = F.coalesce(F.col("parent_span_id"), F.lit("")).isin("", ids.ZERO_SPAN)
     claimed = node_key(F.col("source_id"), F.col("trace_id"), F.col("parent_span_id"))
-    rows = spans.withColumn("node", node).withColumn("_claimed", F.when(~wanted, claimed))
-    known = rows.select(F.col("node").alias("parent")).distinct()
-    return rows.join(known, F.col("_claimed") == F.col("parent"), "left").drop("_claimed")
+    rows = spans.withColumn("_node", node).withColumn("_claimed", F.when(~wanted, claimed))
+    order = F.struct(F.coalesce("seq", "start_ns"), "start_ns", "_row")
+    firsts = rows.groupBy("_node").agg(F.min(order)["_row"].alias("_first"))
+    rows = rows.join(firsts, "_node").withColumn(
+        "node", F.when(F.col("_row") == F.col("_first"), F.col("_node")).otherwise(F.concat_ws("#", "_node", F.col("_row").cast("string")))
+    )
+    known = firsts.select(F.col("_node").alias("parent"))
+    return rows.join(known, F.col("_claimed") == F.col("parent"), "left").drop("_claimed", "_node", "_first", "_row")
 
 
 def build_span_tree(spans: DataFrame, earliest_ns: int | None = None, latest_ns: int | None = None) -> DataFrame:
@@ -44,7 +58,7 @@ def build_span_tree(spans: DataFrame, earliest_ns: int | None = None, latest_ns:
     kept = filters.overlapping(filters.classified(spans), earliest_ns, latest_ns)
     keyed = kept.withColumn("_dedup", F.col("hints.dedup_key"))
     # Written once: the steps below read the classified spans several times.
-    keyed = cut(keyed)
+    keyed = cut(keyed.withColumn("_row", F.monotonically_increasing_id()))
     order = [F.coalesce("seq", "start_ns"), "start_ns", "span_id"]
     return link_parents(filters.first_seen(keyed, "_dedup", order).drop("_dedup"))
 
@@ -82,7 +96,7 @@ def paths(links: DataFrame, step: str) -> DataFrame:
     state = cut(links.select(
         "node", F.col("parent").alias("anc"), F.array(step).alias("path"), F.array("node").alias("id_path")
     ))
-    for _ in range(MAX_ROUNDS):
+    while True:  # ends: a path doubles each round and stops growing at a cycle
         open_rows = state.where(F.col("anc").isNotNull() & ~F.array_contains("id_path", F.col("anc")))
         if open_rows.isEmpty():
             break

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.operators import enrich, filters, intervals, lint, metrics, tree
@@ -310,6 +311,33 @@ def flat_tree(spark, folder):
     return ranked.select("span_id", "depth", F.coalesce(F.element_at(F.split("parent", "/"), -1), F.lit("")).alias("parent"), "sibling")
 
 
+def deep_spans(spark, folder):
+    """Every user's events as one tree: halving ranks (depth 6 and more) or all below the first; every seventh span comes twice."""
+    spans = fx.generic_spans(spark, folder)
+    rank = F.row_number().over(Window.partitionBy("trace_id").orderBy("seq"))
+    rows = spans.withColumn("_r", rank)
+    above = F.when(F.pmod("source_id", F.lit(2)) == 0, F.floor(F.col("_r") / 2)).otherwise(F.when(F.col("_r") > 1, 1).otherwise(0))
+    rows = rows.withColumn("_up", above)
+    parents = rows.select("trace_id", F.col("_r").alias("_up"), F.col("span_id").alias("_parent"))
+    rows = rows.drop("parent_span_id").join(parents, ["trace_id", "_up"], "left").withColumnRenamed("_parent", "parent_span_id")
+    rows = rows.drop("_r", "_up")
+    return rows.unionByName(rows.where(F.col("seq") % 7 == 0))
+
+
+@query("H1_H2_H3_deep_tree", ["spans"], """
+SELECT * FROM (WITH RECURSIVE r AS (SELECT source_id, trace_id, span_id, seq, row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS r FROM spans),
+u AS (SELECT *, CASE WHEN source_id % 2 = 0 THEN r // 2 WHEN r > 1 THEN 1 ELSE 0 END AS up FROM r),
+t AS (
+  SELECT trace_id, r, span_id, seq, 0 AS depth, span_id AS ids FROM u WHERE up = 0
+  UNION ALL SELECT u.trace_id, u.r, u.span_id, u.seq, depth + 1, ids || '/' || u.span_id FROM u JOIN t ON u.trace_id = t.trace_id AND u.up = t.r)
+SELECT span_id, depth, ids FROM t UNION ALL SELECT span_id, depth, ids FROM t WHERE seq % 7 = 0)""")
+def deep_tree(spark, folder):
+    chained = enrich.enrich(deep_spans(spark, folder), enrich.chain(ci=False))
+    flat = tree.flatten(tree.build_span_tree(chained))
+    last = F.transform("id_path", lambda n: F.regexp_extract(n, "([0-9a-f]{16})(#[0-9]+)?$", 1))
+    return flat.select("span_id", "depth", F.array_join(last, "/").alias("ids"))
+
+
 @query("H2_preorder", ["spans"], TREE + """,
 n AS (SELECT *, source_id || '/' || trace_id || '/' || span_id AS node, CASE WHEN is_marker THEN -1 ELSE 0 END AS pr FROM hinted),
 k AS (SELECT c.node, c.span_id, coalesce(p.start_ns, c.start_ns) AS a, coalesce(p.pr, c.pr) AS b, coalesce(p.node, c.node) AS d,
