@@ -442,8 +442,8 @@ def stratified_sample(runs: DataFrame, size: int) -> DataFrame:
     """Exactly ``size`` runs, spread over creation time, the same on every call.
 
     Only bucket counts (at most ten numbers) reach the driver.  Rows are picked
-    by the order of md5(run_id); the constant rank limit is applied before the
-    shuffle, so a bucket never sends more than its quota per task.
+    by the order of md5(run_id), ranked in slices, so quotas of any size and the
+    few buckets do not put many rows into a task.
     """
     bounds = runs.agg(
         F.count(F.lit(1)), F.min(F.unix_millis("created_at")), F.max(F.unix_millis("created_at"))
@@ -458,13 +458,9 @@ def stratified_sample(runs: DataFrame, size: int) -> DataFrame:
     counts = {r["_bucket"]: r["n"] for r in placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
     quota = _quotas([counts.get(b, 0) for b in range(buckets)], size)
     limit = F.element_at(F.array(*[F.lit(q) for q in quota]), F.col("_bucket") + 1)
-    order = Window.partitionBy("_bucket").orderBy(F.md5(F.col("run_id").cast("string")), "run_id")
-    return (
-        placed.withColumn("_rn", F.row_number().over(order))
-        .where(F.col("_rn") <= max(quota))
-        .where(F.col("_rn") <= limit)
-        .drop("_bucket", "_rn")
-    )
+    keys = placed.select("_bucket", F.md5(F.col("run_id").cast("string")).alias("_h"), "run_id")
+    ranked = global_rank(keys, ["_bucket"], ["_h", "run_id"])
+    return runs.join(ranked.where(F.col("rn") <= limit).select("run_id"), "run_id", "left_semi").select(*runs.columns)
 
 
 # --- the whole analysis ---------------------------------------------------------
@@ -484,9 +480,13 @@ def recent_runs(
 
 def analyze_trends(
     runs: DataFrame, jobs: DataFrame, as_of: dt.date, days: int = 30, branch: str | None = None,
-    workflow: str | None = None, sample: bool = True, confidence: float = 0.95, margin: float = 0.10,
+    workflow: str | None = None, sample: bool = False, confidence: float = 0.95, margin: float = 0.10,
 ) -> dict[str, DataFrame]:
-    """Every part of the trend report, one DataFrame each."""
+    """Every part of the trend report, one DataFrame each.
+
+    All parts use all runs; with ``sample`` the job parts use a stratified sample of
+    them, as one would where job details are fetched one by one.
+    """
     chosen = recent_runs(runs, as_of, days, branch, workflow)
     plan = sampling_plan(chosen.count(), sample, confidence, margin)
     if plan["total_runs"] == 0:

@@ -55,7 +55,7 @@ def trace_events(spark, folder):
 
 
 @query("K3_run_processes", ["runs"], """
-SELECT run_id, CAST((source_id + 1) * 1000 + row_number() OVER (PARTITION BY source_id ORDER BY created_ms, run_id) AS BIGINT) AS pid FROM runs""")
+SELECT run_id, CAST(1000 + row_number() OVER (ORDER BY source_id, created_ms, run_id) AS BIGINT) AS pid FROM runs""")
 def run_processes(spark, folder):
     return chrome.numbered_runs(fx.runs(spark, folder))
 

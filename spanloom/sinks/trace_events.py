@@ -13,7 +13,7 @@ from spanloom.operators.ordered import global_rank
 # Process and threads of counters and review events, thread numbering.
 METRICS_PROCESS, COUNTER_THREAD, REVIEW_THREAD = 999, 1, 2
 WORKFLOW_THREAD, FIRST_JOB_THREAD = 1, 10
-SOURCE_PROCESSES = 1000
+FIRST_PROCESS = 1000
 
 COLUMNS = ["source_id", "name", "ph", "ts", "dur", "pid", "tid", "cat", "s", "args"]
 
@@ -29,10 +29,12 @@ def _event(rows: DataFrame, **cols: Column) -> DataFrame:
 
 
 def numbered_runs(runs: DataFrame) -> DataFrame:
-    """``pid`` of every run: its place in its source after a block per source."""
-    ranked = global_rank(runs.select("source_id", "created_at", "run_id"), ["source_id"], ["created_at", "run_id"])
-    pid = (F.col("source_id") + 1) * SOURCE_PROCESSES + F.col("rn")
-    return ranked.select("run_id", pid.cast("bigint").alias("pid"))
+    """``pid`` of every run: its place among the runs of all sources, by source and time.
+
+    Numbers begin above the fixed processes and never meet, however many runs a source has.
+    """
+    ranked = global_rank(runs.select("source_id", "created_at", "run_id"), [], ["source_id", "created_at", "run_id"])
+    return ranked.select("run_id", (F.col("rn") + FIRST_PROCESS).cast("bigint").alias("pid"))
 
 
 def numbered_jobs(facts: DataFrame) -> DataFrame:

@@ -19,7 +19,6 @@ from spanloom.schemas import conform_spans
 from spanloom.session import configure, cut
 
 MIN_CHROME_NS = 1_000_000
-MAX_DOCUMENT_FILES = 100_000
 
 # JSON scalars are read as text; numbers may come quoted or bare.
 _KV = "array<struct<key:string,value:struct<stringValue:string,intValue:string,doubleValue:string,boolValue:string>>>"
@@ -274,13 +273,16 @@ def zipkin_spans(docs: DataFrame) -> DataFrame:
 def chrome_events(docs: DataFrame) -> DataFrame:
     """Trace events of Chrome documents (wrapped or bare), timed and numbered.
 
-    The trace id is the digest of the document's events in file order.
+    The trace id is the digest of the document's events in file order and of where the
+    document comes from.  ``_doc`` tells equal documents apart; it holds once the result
+    is written.
     """
     keep = _kept(docs)
+    origin = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in docs.columns if c in ("source_id", "file")]
     wrapped = F.from_json("text", f"traceEvents array<{_CHROME_EVENT}>, otherData map<string,string>")
     bare = F.from_json("text", f"array<{_CHROME_EVENT}>")
     rows = docs.select(
-        *keep,
+        *keep, F.monotonically_increasing_id().alias("_doc"), F.concat_ws(":", *origin).alias("_origin"),
         F.when(F.size(wrapped["traceEvents"]) > 0, wrapped["traceEvents"]).otherwise(bare).alias("_events"),
         wrapped["otherData"].alias("other"),
     )
@@ -288,14 +290,14 @@ def chrome_events(docs: DataFrame) -> DataFrame:
         F.coalesce(e["name"], F.lit("")), F.lit(":"), F.coalesce(e["ph"], F.lit("")), F.lit(":"),
         F.format_string("%.0f", F.coalesce(e["ts"], F.lit(0.0))),
     ))
-    rows = rows.withColumn("trace_id", F.substring(F.sha2(F.array_join(mark, ""), 256), 1, 32))
-    rows = rows.select(*keep, "trace_id", "other", F.posexplode("_events").alias("seq", "e"))
+    rows = rows.withColumn("trace_id", F.substring(F.sha2(F.concat(F.array_join(mark, ""), "_origin"), 256), 1, 32))
+    rows = rows.select(*keep, "_doc", "trace_id", "other", F.posexplode("_events").alias("seq", "e"))
     shift = F.coalesce(F.col("other")["profile_start_ts"].try_cast("double"), F.lit(0.0)) * 1000
     micros = F.coalesce(F.col("e.ts"), F.lit(0.0)) + shift
     start = (micros * 1000).cast("bigint")
     end = ((micros + F.coalesce(F.col("e.dur"), F.lit(0.0))) * 1000).cast("bigint")
     return rows.select(
-        *keep, "trace_id", "other", F.col("seq").cast("bigint").alias("seq"), F.col("e.name").alias("name"),
+        *keep, "_doc", "trace_id", "other", F.col("seq").cast("bigint").alias("seq"), F.col("e.name").alias("name"),
         F.col("e.ph").alias("ph"), F.coalesce("e.pid", F.lit("")).alias("pid"), F.coalesce("e.tid", F.lit("")).alias("tid"),
         F.col("e.cat").alias("cat"), F.col("e.args").alias("args"), start.alias("ts_ns"), (end - start).alias("dur_ns"),
     )
@@ -314,20 +316,20 @@ def chrome_spans(docs: DataFrame) -> DataFrame:
     # Parsed once: pairing, nesting and naming all read the events.
     events = cut(chrome_events(docs))
     whole = events.where((F.col("ph") == "X") & (F.col("dur_ns") >= MIN_CHROME_NS)).withColumn("_at", F.col("ts_ns"))
-    pairs = intervals.pair_begin_end(events, ["trace_id", "pid", "tid", "name"])
+    pairs = intervals.pair_begin_end(events, ["_doc", "pid", "tid", "name"])
     pairs = pairs.where(F.col("dur_ns") >= MIN_CHROME_NS).withColumn("_at", F.col("ts_ns") + F.col("dur_ns"))
     moments = events.where(F.col("ph").isin("i", "I")).withColumns({"dur_ns": F.lit(0).cast("bigint"), "_at": F.col("ts_ns")})
     found = whole.unionByName(pairs).unionByName(moments)
     # A document is one input row, so numbering its events is bounded by it.
-    number = F.row_number().over(Window.partitionBy("trace_id").orderBy("_at", "seq")) - 1
+    number = F.row_number().over(Window.partitionBy("_doc").orderBy("_at", "seq")) - 1
     found = found.withColumn("_n", number.cast("bigint"))
     digest = F.sha2(F.concat(F.unhex("trace_id"), F.unhex(F.lpad(F.hex("_n"), 16, "0"))), 256)
     found = cut(found.withColumn("span_id", F.substring(digest, 1, 16)))
-    links = intervals.nest_by_containment(found, ["trace_id", "pid", "tid"]).select("trace_id", "seq", "parent_seq")
-    parents = found.select("trace_id", F.col("seq").alias("parent_seq"), F.col("span_id").alias("parent_span_id"))
-    found = found.join(links, ["trace_id", "seq"], "left").join(parents, ["trace_id", "parent_seq"], "left")
-    found = found.join(_names(events, "thread_name", ["trace_id", "pid", "tid"], "_thread"), ["trace_id", "pid", "tid"], "left")
-    found = found.join(_names(events, "process_name", ["trace_id", "pid"], "_process"), ["trace_id", "pid"], "left")
+    links = intervals.nest_by_containment(found, ["_doc", "pid", "tid"]).select("_doc", "seq", "parent_seq")
+    parents = found.select("_doc", F.col("seq").alias("parent_seq"), F.col("span_id").alias("parent_span_id"))
+    found = found.join(links, ["_doc", "seq"], "left").join(parents, ["_doc", "parent_seq"], "left")
+    found = found.join(_names(events, "thread_name", ["_doc", "pid", "tid"], "_thread"), ["_doc", "pid", "tid"], "left")
+    found = found.join(_names(events, "process_name", ["_doc", "pid"], "_process"), ["_doc", "pid"], "left")
     none = F.create_map().cast("map<string,string>")
     own = codes.attr_map([
         codes.entry("chrome.category", F.nullif(F.col("cat"), F.lit(""))), codes.entry("chrome.pid", F.col("pid")),
@@ -399,9 +401,9 @@ def read_traces(
 
     OTLP lines, stdout and flat spans are split by line.  Jaeger, Zipkin and
     Chrome files (and pretty-printed OTLP) are documents, one row per file.
-    With ``auto``, the paths of the document files pass through the driver, so
-    their number is checked; name the format for larger sets.  ``sources``
-    (file, source_id) tags every file.
+    With ``auto`` each file's format is told from its lines, and the lines of document
+    files are put together again, in their order, to one row per file; no list of
+    files passes through the driver.  ``sources`` (file, source_id) tags every file.
     """
     configure(spark)
 
@@ -419,13 +421,16 @@ def read_traces(
     for name, parser in LINE_FORMATS.items():
         files = kinds.where(F.col("format") == name).select("file")
         parts.append(parser(tagged(lines.join(files, "file", "left_semi"))))
-    documents = kinds.where(F.col("format").isin(*DOCUMENT_FORMATS)).limit(MAX_DOCUMENT_FILES + 1).collect()
-    if len(documents) > MAX_DOCUMENT_FILES:
-        raise ValueError("too many document files for format='auto'; read them by format")
+    # A document is one row however it is read; its lines meet by file.
+    placed = spark.read.text(path).select(
+        F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"),
+    )
+    chosen = placed.join(kinds.where(F.col("format").isin(*DOCUMENT_FORMATS)), "file")
+    documents = chosen.groupBy("file", "format").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("lines"))
+    documents = documents.select("file", "format", F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("text"))
     for name, parser in DOCUMENT_FORMATS.items():
-        chosen = [r["file"] for r in documents if r["format"] == name]
-        if chosen:
-            parts.append(parser(tagged(_text(spark, chosen, True))))
+        parts.append(parser(tagged(documents.where(F.col("format") == name).drop("format"))))
     return reduce(DataFrame.unionByName, parts)
 
 

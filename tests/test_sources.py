@@ -160,3 +160,21 @@ def test_webhooks(spark):
             {"repository": {"full_name": "o/r"}, "workflow_run": {"head_sha": ""}, "workflow_job": {"head_sha": "b"}}, {"workflow_run": {"head_sha": "a"}}]
     df = spark.createDataFrame([(json.dumps(d),) for d in docs] + [("x",)], "text string")
     assert sorted(r["source"] for r in ingest.webhook_sources(df).collect()) == ["o/r/commit/a", "o/r/commit/b"]
+
+
+def test_equal_chrome_documents_stay_apart(spark):
+    """Two documents of the same names, phases and times in two sources: spans of their own, parents of their own."""
+    def doc(length):
+        return json.dumps({"traceEvents": [
+            {"name": "outer", "ph": "X", "ts": 0, "dur": length, "pid": 1, "tid": 1}, {"name": "inner", "ph": "X", "ts": 1000, "dur": 2000, "pid": 1, "tid": 1},
+        ]})
+
+    docs = spark.createDataFrame([(1, doc(9000)), (2, doc(5000)), (2, doc(5000))], "source_id int, text string")
+    rows = traces.chrome_spans(docs).collect()
+    assert len(rows) == 6
+    for source in (1, 2):
+        own = [r for r in rows if r["source_id"] == source]
+        outer = {r["span_id"] for r in own if r["name"] == "outer"}
+        assert all(r["parent_span_id"] in outer and r["span_id"] != r["parent_span_id"] for r in own if r["name"] == "inner")
+        assert {r["end_ns"] - r["start_ns"] for r in own if r["name"] == "outer"} == {9_000_000 if source == 1 else 5_000_000}
+    assert not {r["trace_id"] for r in rows if r["source_id"] == 1} & {r["trace_id"] for r in rows if r["source_id"] == 2}
