@@ -125,14 +125,15 @@ def job_facts(runs: DataFrame, jobs: DataFrame, contexts: DataFrame | None = Non
 
     ``end_ms`` is at least one millisecond after ``start_ms``.
     """
-    tagged = attempt_of(jobs, runs)
+    # a job belongs to the source of its run, so landed jobs need not carry one
+    tagged = attempt_of(jobs.drop("source_id"), runs)
     current = run_windows(runs, tagged.where(F.col("is_current"))).select(
         "run_id", F.col("attempt").cast("bigint").alias("attempt"), F.col("effective_end_ms").alias("bound_ms")
     )
     earlier = previous_attempts(tagged).select(
         "run_id", F.col("attempt").cast("bigint").alias("attempt"), F.col("end_ms").alias("bound_ms")
     )
-    about = runs.select("run_id", F.col("name").alias("workflow"), "owner", "repo", "head_sha")
+    about = runs.select("run_id", "source_id", F.col("name").alias("workflow"), "owner", "repo", "head_sha")
     rows = (
         tagged.where(F.col("started_at").isNotNull())
         .join(current.unionByName(earlier), ["run_id", "attempt"])

@@ -1,4 +1,9 @@
-"""Landed CI API pages and job logs to tables."""
+"""Landed CI API pages and job logs to tables.
+
+Runs, jobs, reviews and pulls get the ``source_id`` of their repository: ``sources``
+holds (source_id, owner, repo), one row for each repository (and, for reviews and
+pulls, optionally ``pr_number``).  Without it everything belongs to source 0.
+"""
 
 from __future__ import annotations
 
@@ -35,6 +40,25 @@ def _pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return configure(spark).read.schema(schema).json(path)
 
 
+def _repository(url: Column) -> list[Column]:
+    """Owner and repository of an API or web address."""
+    pattern = r"^https?://[^/]+/(?:repos/)?([^/]+)/([^/]+)"
+    return [F.regexp_extract(url, pattern, i).alias(n) for i, n in ((1, "owner"), (2, "repo"))]
+
+
+def _pull_number(*urls: Column) -> Column:
+    found = [F.nullif(F.regexp_extract(u, r"/pulls?/(\d+)", 1), F.lit("")).cast("bigint") for u in urls]
+    return F.coalesce(*found)
+
+
+def with_source_id(rows: DataFrame, sources: DataFrame | None) -> DataFrame:
+    """Tag rows by owner and repository; rows of no listed repository drop out."""
+    if sources is None:
+        return rows.withColumn("source_id", F.lit(0))
+    by = ["owner", "repo", *(["pr_number"] if {"pr_number"} <= set(sources.columns) & set(rows.columns) else [])]
+    return rows.join(sources.select(*by, "source_id").dropDuplicates(by), by)
+
+
 def _times(col: Column, *names: str) -> list[Column]:
     return [parse_time(col[n]).alias(n) for n in names]
 
@@ -54,8 +78,8 @@ RUN_PAGE = f"total_count bigint, workflow_runs array<{_RUN}>"
 JOB_PAGE = f"jobs array<{_JOB}>"
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return runs_of(_pages(spark, path, RUN_PAGE))
+def read_runs(spark: SparkSession, path: str, sources: DataFrame | None = None) -> DataFrame:
+    return with_source_id(runs_of(_pages(spark, path, RUN_PAGE)), sources)
 
 
 def jobs_of(pages: DataFrame) -> DataFrame:
@@ -69,6 +93,7 @@ def jobs_of(pages: DataFrame) -> DataFrame:
 
 
 def read_jobs(spark: SparkSession, path: str) -> DataFrame:
+    """Jobs with their nested steps; they belong to the source of their run."""
     return jobs_of(_pages(spark, path, JOB_PAGE))
 
 
@@ -85,23 +110,26 @@ def _user(user: Column) -> Column:
     return F.coalesce(F.nullif(user["login"], F.lit("")), user["name"])
 
 
-def read_reviews(spark: SparkSession, path: str) -> DataFrame:
+def read_reviews(spark: SparkSession, path: str, sources: DataFrame | None = None) -> DataFrame:
     """Reviews or comments: both have one shape, comments carry ``created_at``."""
-    return _pages(spark, path, _REVIEW).select(
+    url = F.coalesce("pull_request_url", "html_url")
+    return with_source_id(_pages(spark, path, _REVIEW).select(
+        *_repository(url), _pull_number(F.col("pull_request_url"), F.col("html_url")).alias("pr_number"),
         F.col("id").alias("review_id"), "state", parse_time(F.coalesce("submitted_at", "created_at")).alias("submitted_at"),
         _user(F.col("user")).alias("user"), "body", F.coalesce("html_url", "pull_request_url").alias("url"),
-    )
+    ), sources).drop("owner", "repo")
 
 
 read_comments = read_reviews
 
 
-def read_pulls(spark: SparkSession, path: str) -> DataFrame:
-    return _pages(spark, path, _PULL).select(
+def read_pulls(spark: SparkSession, path: str, sources: DataFrame | None = None) -> DataFrame:
+    return with_source_id(_pages(spark, path, _PULL).select(
+        *_repository(F.col("html_url")),
         F.col("number").alias("pr_number"), F.col("title").alias("pr_title"), F.col("head.sha").alias("head_sha"),
         F.col("head.ref").alias("branch"), F.col("base.ref").alias("base_ref"), parse_time(F.col("merged_at")).alias("merged_at"),
         _user(F.col("merged_by")).alias("user"), "changed_files", "additions", "deletions", F.col("html_url").alias("url"),
-    )
+    ), sources).drop("owner", "repo")
 
 
 def read_commits(spark: SparkSession, path: str) -> DataFrame:

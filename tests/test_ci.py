@@ -101,3 +101,32 @@ def test_deep_chain_paths(spark):
     df = spark.createDataFrame([(str(i), str(i - 1) if i else None, i) for i in range(40)], "node string, parent string, s int")
     longest = tree.paths(df, "s").orderBy(F.size("path").desc()).first()
     assert longest["path"] == list(range(40))
+
+
+def test_landed_pages_become_spans(spark, tmp_path):
+    """Pages of two repositories through the readers to every kind of span and to review events."""
+    import json
+
+    from spanloom.sources import ci
+
+    def run(i, repo):
+        return {"id": i, "run_attempt": 1, "name": "CI", "status": "completed", "conclusion": "success", "created_at": "2024-01-01T00:00:00Z", "run_started_at": "2024-01-01T00:00:01Z",
+                "updated_at": "2024-01-01T00:05:00Z", "head_sha": "abc", "event": "push", "repository": {"owner": {"login": "o"}, "name": repo}}
+
+    def job(i, of):
+        return {"id": i, "run_id": of, "run_attempt": 1, "name": "build", "status": "completed", "conclusion": "success", "created_at": "2024-01-01T00:00:02Z", "started_at": "2024-01-01T00:00:03Z",
+                "completed_at": "2024-01-01T00:04:00Z", "steps": [{"name": "Run x", "number": n, "status": "completed", "conclusion": "success", "started_at": "2024-01-01T00:00:04Z", "completed_at": "2024-01-01T00:01:00Z"} for n in (1, 2)]}
+
+    (tmp_path / "runs.json").write_text(json.dumps({"workflow_runs": [run(1, "a"), run(2, "b"), run(3, "elsewhere")]}))
+    (tmp_path / "jobs.json").write_text(json.dumps({"jobs": [job(10, 1), job(20, 2), job(30, 3)]}))
+    (tmp_path / "reviews.json").write_text(json.dumps({"id": 1, "state": "APPROVED", "submitted_at": "2024-01-01T00:00:00Z", "user": {"login": "u"}, "pull_request_url": "https://api.github.com/repos/o/b/pulls/7"}))
+    (tmp_path / "pulls.json").write_text(json.dumps({"number": 7, "title": "t", "merged_at": "2024-01-02T00:00:00Z", "merged_by": {"login": "m"}, "html_url": "https://github.com/o/b/pull/7"}))
+    sources = spark.createDataFrame([(5, "o", "a"), (6, "o", "b")], "source_id int, owner string, repo string")
+    runs, jobs = ci.read_runs(spark, str(tmp_path / "runs.json"), sources), ci.read_jobs(spark, str(tmp_path / "jobs.json"))
+    spans = ci_spans.build_spans(runs, jobs, ci.steps_of(jobs))
+    kinds = [(r["source_id"], r["name"]) for r in spans.collect()]
+    assert {s for s, _ in kinds} == {5, 6} and sum("Run x" in n for _, n in kinds) == 4
+    reviews, pulls = ci.read_reviews(spark, str(tmp_path / "reviews.json"), sources), ci.read_pulls(spark, str(tmp_path / "pulls.json"), sources)
+    assert reviews.first()["pr_number"] == 7 and pulls.first()["source_id"] == 6
+    events = ci_spans.review_events(reviews, reviews.limit(0), pulls)
+    assert {(r["source_id"], r["type"]) for r in events.collect()} == {(6, "review"), (6, "merged")}
