@@ -231,7 +231,7 @@ def _verify(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(links, pa.int64()), pa.array(root, pa.int64())], ["rep", "links", "root"])
 
     def unit(held: list[dict]) -> list[tuple[int, int, int]]:
-        held.sort(key=lambda r: r["pos"])
+        held = sorted({r["pos"]: r for r in held}.values(), key=lambda r: r["pos"])
         pairs = next(r for r in held if r["a"] is not None)
         a, b = np.frombuffer(pairs["a"], np.int32), np.frombuffer(pairs["b"], np.int32)
         sets = [np.frombuffer(r["shingles"], np.uint32) for r in held]
@@ -307,8 +307,11 @@ def join(docs: DataFrame) -> DataFrame:
     members = units.select("unit", F.posexplode("members").alias("pos", "rep"), "a", "b")
     first = F.col("pos") == 0
     members = members.select("unit", "pos", "rep", F.when(first, F.col("a")).alias("a"), F.when(first, F.col("b")).alias("b"))
-    sets = spelled.select(ids.alias("doc_id"), "key", "shingles").join(lead, is_lead).dropDuplicates(["rep"])
-    full = members.join(sets.select(F.col("rep").alias("_r"), "shingles", "copies"), F.col("rep") == F.col("_r")).drop("_r")
+    # Sets move once: straight to the members that need them.  A repeated row may meet its
+    # member twice, which the unit sorts out.
+    members = members.join(lead, "rep")
+    sets = spelled.select(ids.alias("doc_id"), "key", "shingles")
+    full = members.join(sets, (F.col("rep") == F.col("doc_id")) & (F.col("key") == F.col("_k")))
     full = full.repartition(partitions(spark), "unit").sortWithinPartitions("unit", "pos")
     found = written(_verify(full.select("unit", "pos", "rep", "a", "b", "shingles", "copies")), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
