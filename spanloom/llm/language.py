@@ -129,13 +129,14 @@ def train(docs: DataFrame, lang: str = "lang", usable: Column | None = None, id_
     rows = docs.where(F.col(lang).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= max_bytes))
     if usable is not None:
         rows = rows.where(usable)
-    order = Window.partitionBy("lang").orderBy("key", "text")
-    picked = (
-        rows.select(F.col(lang).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("key"))
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= per_language)
-        .select("lang", "text")
-    )
+    # Keys are ranked without the texts; each task sends the window its first few of a language.
+    key = F.xxhash64(F.col(id_col).cast("string"), F.xxhash64(text_col))
+    order = Window.partitionBy("lang").orderBy("key")
+    ranked = rows.select(F.col(lang).alias("lang"), key.alias("key")).withColumn("rank", F.row_number().over(order))
+    last = ranked.where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("key").alias("last"))
+    # one row for each language is broadcast
+    picked = rows.select(F.col(lang).alias("lang"), F.col(text_col).alias("text"), key.alias("key"))
+    picked = picked.join(F.broadcast(last), "lang").where(F.col("key") <= F.col("last")).dropDuplicates(["lang", "key"]).select("lang", "text")
     texts: dict[str, list[str]] = {}
     for row in picked.collect():  # bounded: per_language x max_bytes for each language
         texts.setdefault(row["lang"], []).append(row["text"])
