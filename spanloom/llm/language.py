@@ -8,7 +8,7 @@ once.
 
 Training takes at most ``TRAIN_DOCS`` whole texts of each language (by rank of a
 hash of the id, texts of at most ``TRAIN_BYTES`` bytes), which bounds what reaches
-the driver and what is broadcast.  Scoring reads every byte of every text.
+the driver and what is broadcast; more than ``MAX_LANGUAGES`` languages are refused.  Scoring reads every byte of every text.
 
 Defined results: a null text or a text without a letter is ``und`` with score 0;
 with no training rows every text is ``und``; ties go to the language that is first
@@ -29,6 +29,7 @@ from spanloom.llm.common import slices
 
 TRAIN_DOCS = 300
 TRAIN_BYTES = 16_384
+MAX_LANGUAGES = 512
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _ASCII_LETTER = regex.compile(r"[A-Za-z]")
@@ -134,7 +135,10 @@ def train(docs: DataFrame, lang: str = "lang", usable: Column | None = None, id_
     order = Window.partitionBy("lang").orderBy("key")
     ranked = rows.select(F.col(lang).alias("lang"), key.alias("key")).withColumn("rank", F.row_number().over(order))
     last = ranked.where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("key").alias("last"))
-    # one row for each language is broadcast
+    languages = last.count()
+    if languages > MAX_LANGUAGES:
+        raise ValueError(f"{languages} languages: the trees of more than {MAX_LANGUAGES} are not meant to be held by every task")
+    # MAX_LANGUAGES rows at most are broadcast
     picked = rows.select(F.col(lang).alias("lang"), F.col(text_col).alias("text"), key.alias("key"))
     picked = picked.join(F.broadcast(last), "lang").where(F.col("key") <= F.col("last")).dropDuplicates(["lang", "key"]).select("lang", "text")
     texts: dict[str, list[str]] = {}
