@@ -90,11 +90,11 @@ def source_reference(spark, folder):
 
 
 @query("P8_truncate", [], """
-SELECT doc_id, CASE WHEN strlen(t) <= 80 THEN t ELSE substr(t, 1, 77) || '...' END AS name FROM (
-  SELECT doc_id, regexp_replace(regexp_replace(text, '[^ -~]', '', 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM documents)""")
+WITH d AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents),
+h AS (SELECT doc_id, t, substr(t, 1, list_max(list_filter(range(0, 78), lambda k: strlen(substr(t, 1, k)) <= 77))) AS head FROM d)
+SELECT doc_id, CASE WHEN strlen(t) <= 80 THEN t ELSE head || CASE WHEN strlen(head) < 77 THEN chr(65533) ELSE '' END || '...' END AS name FROM h""")
 def truncate(spark, folder):
-    plain = F.regexp_replace("text", "[^ -~]", "")
-    return fx.table(spark, folder, "documents").select("doc_id", text.truncate(plain, 80).alias("name"))
+    return fx.table(spark, folder, "documents").select("doc_id", text.truncate(F.col("text"), 80).alias("name"))
 
 
 @query("P26_run_and_job_durations", ["run_jobs"], "SELECT job_id, duration_ms, queue_ms FROM run_jobs")

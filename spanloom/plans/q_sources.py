@@ -123,25 +123,24 @@ def stdout_json(spark, folder):
     return shown(traces.stdout_spans(stdout_docs(fx.generic_spans(spark, folder))))
 
 
-@query("S4_flat_json", ["spans"], want(attrs="attr_text || ';resource.service.name=' || service_name"))
+def with_entry(key, value):
+    """The attribute text with one more entry that sorts before the rpc keys and after all others."""
+    return f"CASE WHEN event_type = 'click' THEN replace(attr_text, ';rpc.method=', ';{key}=' || {value} || ';rpc.method=') ELSE attr_text || ';{key}=' || {value} END"
+
+
+@query("S4_flat_json", ["spans"], want(attrs=with_entry("resource.service.name", "service_name")))
 def flat_json(spark, folder):
-    spans = traces.flat_spans(flat_docs(fx.generic_spans(spark, folder)))
-    return shown(spans).withColumn("attrs", F.concat(
-        F.regexp_replace("attrs", ";?resource\\.service\\.name=svc\\d", ""),
-        F.lit(";resource.service.name="), F.coalesce("service", F.lit("")),
-    ))
+    return shown(traces.flat_spans(flat_docs(fx.generic_spans(spark, folder))))
 
 
-@query("S5_J8_jaeger", ["spans"], want(kind="'UNSPECIFIED'"))
+@query("S5_J8_jaeger", ["spans"], want(kind="'UNSPECIFIED'", attrs=with_entry("otel.status_code", "status_code")))
 def jaeger(spark, folder):
-    out = shown(traces.jaeger_spans(jaeger_docs(fx.generic_spans(spark, folder))))
-    return out.withColumn("attrs", F.regexp_replace("attrs", ";?otel\\.status_code=[A-Z]+", ""))
+    return shown(traces.jaeger_spans(jaeger_docs(fx.generic_spans(spark, folder))))
 
 
-@query("S6_zipkin", ["spans"], want(kind="CASE WHEN kind = 'INTERNAL' THEN 'UNSPECIFIED' ELSE kind END", status="'UNSET'"))
+@query("S6_zipkin", ["spans"], want(kind="CASE WHEN kind = 'INTERNAL' THEN 'UNSPECIFIED' ELSE kind END", status="'UNSET'", attrs="attr_text || ';service.name=' || service_name"))
 def zipkin(spark, folder):
-    out = shown(traces.zipkin_spans(zipkin_docs(fx.generic_spans(spark, folder))))
-    return out.withColumn("attrs", F.regexp_replace("attrs", ";?service\\.name=svc\\d", ""))
+    return shown(traces.zipkin_spans(zipkin_docs(fx.generic_spans(spark, folder))))
 
 
 @query("S8_U1_format_detection", ["spans"], """

@@ -127,7 +127,7 @@ WITH s AS (SELECT source_id, span_start_ms AS a, span_end_ms AS b FROM facts UNI
 p AS (SELECT source_id, a AS ts, 1 AS d FROM s UNION ALL SELECT source_id, b, -1 FROM s)
 SELECT source_id, CAST(max(c) AS BIGINT) AS max_concurrency FROM (SELECT source_id, sum(d) OVER (PARTITION BY source_id ORDER BY ts, d ROWS UNBOUNDED PRECEDING) AS c FROM p) GROUP BY 1""")
 def span_concurrency(spark, folder):
-    spans = ci_spans_of(spark, folder, False).where(F.col("attrs")["type"] != "step")
+    spans = ci_spans_of(spark, folder, False)
     return metrics.span_concurrency(enrich.enrich(spans), ["source_id"])
 
 
@@ -282,12 +282,14 @@ def attribute_search(spark, folder):
 
 
 @query("F20_approval_phrase", [], """
-SELECT doc_id, contains(lower(text), 'ship it') OR contains(lower(text), 'shipit') OR contains(lower(text), ' ship') AS said FROM documents""")
+SELECT doc_id, contains(body, 'ship it') OR contains(body, 'shipit') AS said FROM (
+  SELECT doc_id, lower(text) || CASE doc_id % 5 WHEN 0 THEN ' ship it!' WHEN 1 THEN 'shipit' WHEN 2 THEN 'ship  it' WHEN 3 THEN 'a ship of it' ELSE '' END AS body FROM documents)""")
 def approval_phrase(spark, folder):
     from spanloom.functions.text import ship_it
 
     docs = fx.table(spark, folder, "documents")
-    return docs.select("doc_id", (ship_it(F.col("text")) | F.lower("text").contains(" ship")).alias("said"))
+    said = F.element_at(F.array(*[F.lit(x) for x in (" SHIP it!", "ShipIt", "ship  it", "a ship of it", "")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return docs.select("doc_id", ship_it(F.concat("text", said)).alias("said"))
 
 
 # --- trees ------------------------------------------------------------------------
