@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import partitions, written
+from spanloom.llm.common import partitions, pieces, written
 
 CHUNK_BYTES = 1 << 20
 BUCKET_BYTES = 16 << 20
@@ -30,7 +30,7 @@ def pack(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         chunk = (TaskContext.get().partitionId() << 33) - 1
-        for batch in batches:
+        for batch in pieces(batches, 2048):
             ids = batch.column("doc_id").to_pylist()
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0))

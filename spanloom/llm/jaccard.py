@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Words, fresh, grams, mix, partitions, slices, utf8, written
+from spanloom.llm.common import Words, fresh, grams, mix, partitions, pieces, slices, utf8, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -42,6 +42,7 @@ HASHES = 96
 ROWS = 4
 BANDS = HASHES // ROWS
 STEP = 16
+ROWS_AT_ONCE = 1024
 TOLERANCE = 1e-7
 BLOCK = 256
 _SLICE = 1 << 20
@@ -94,7 +95,7 @@ def _spell(docs: DataFrame) -> DataFrame:
     """doc_id, key (of the shingle set), n (its size), sig, shingles (low 32 bits of the hashes, as bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             key, n, sig, sets = [], [], [], []
             for s in shingle_sets(utf8(batch.column("text"))):
                 # a hash of the set: two sums of scrambled members
@@ -152,10 +153,18 @@ def _prune(rows: DataFrame) -> DataFrame:
             unit = _units(table)
             last = int(np.flatnonzero(unit != unit[-1])[-1]) + 1 if (unit != unit[-1]).any() else 0
             rest = table.slice(last)  # the last unit may go on in the next batch
-            if last:
-                yield from work(table.slice(0, last))
+            yield from some(table, unit, last)
         if rest is not None and rest.num_rows:
-            yield from work(rest)
+            yield from some(rest, _units(rest), rest.num_rows)
+
+    def some(table: pa.Table, unit: np.ndarray, end: int) -> Iterator[pa.RecordBatch]:
+        """Whole units, about ROWS_AT_ONCE rows of them at a time: pairs take more room than rows."""
+        edges = np.concatenate((np.flatnonzero(np.diff(unit[:end])) + 1, [end])) if end else []
+        low = 0
+        for edge, after in zip(edges, [*edges[1:], None], strict=True):
+            if after is None or after - low > ROWS_AT_ONCE:
+                yield from work(table.slice(low, edge - low))
+                low = edge
 
     def _units(table: pa.Table) -> np.ndarray:
         key = table.column("key").to_numpy().astype(np.uint64)

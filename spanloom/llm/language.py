@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import slices
+from spanloom.llm.common import pieces, slices
 
 TRAIN_DOCS = 300
 TRAIN_BYTES = 16_384
@@ -155,7 +155,7 @@ def identify(docs: DataFrame, trees: ContextTrees, text_col: str = "text") -> Da
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.value
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(text_col).to_pylist()
             found = [bool(t) and bool(_ASCII_LETTER.search(t) or _LETTER.search(t)) for t in texts]
             if not known.languages:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import fresh
+from spanloom.llm.common import fresh, pieces
 
 EXAMPLES = 1500
 TERMS = 1024
@@ -174,7 +174,7 @@ def score(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.value
-        for batch in batches:
+        for batch in pieces(batches):
             found = [known.score(t or "") for t in batch.column(text).to_pylist()]
             value = np.array([x for x, _ in found])
             yield pa.RecordBatch.from_arrays(
