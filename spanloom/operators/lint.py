@@ -41,6 +41,7 @@ def _rules() -> list[Column]:
             F.concat(F.lit(f"{text} (value: "), F.col("attrs")[key], F.lit(")")) if quote else F.lit(text)
         )
         out.append(_finding(_has(key), "warning", message, advice))
+    # The messages and advice of the four rules below.
     out.append(_finding(
         _has("db.statement") & ~_has("db.system"), "warning",
         "Has 'db.statement' but missing required 'db.system'",

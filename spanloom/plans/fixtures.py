@@ -37,7 +37,7 @@ def sources(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("n_nationkey")
     kind = F.when(key % 3 == 0, "pr").when(key % 3 == 1, "commit").otherwise("run")
     base = F.lit(1704067200000)  # 2024-01-01
-    return nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select(
+    return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
         key.alias("source_id"),
         F.lower("r_name").alias("owner"),
         F.lower("n_name").alias("repo"),
