@@ -17,6 +17,7 @@ from spanloom.functions import ids, text
 from spanloom.operators.ordered import (
     global_rank, order_stats, range_slices, rank_sliced, sliced_window,
 )
+from spanloom.session import cut
 
 DIRECTION_PERCENT = 5.0
 CHANGE_PERCENT = 10.0
@@ -105,7 +106,8 @@ def _attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 def trend_summary(runs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Counts, mean, median, P95, success rate and direction of run durations."""
     keys = keys or []
-    runs = run_durations(runs)
+    # Counts, percentiles and halves read the durations: they are computed once.
+    runs = cut(run_durations(runs).select(*keys, "created_at", "run_id", "duration_ms", "conclusion"))
     valid = runs.where(F.col("duration_ms") > 0)
     base = runs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_runs"),
@@ -201,6 +203,8 @@ def job_trends(jobs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     Takes the output of :func:`run_jobs`.
     """
     by = [*(keys or []), "name"]
+    # Counts, percentiles, halves and addresses read the jobs: they are computed once.
+    jobs = cut(jobs.select(*by, *JOB_ORDER, "duration_ms", "conclusion", "html_url"))
     valid = jobs.where(F.col("duration_ms") > 0)
     base = jobs.groupBy(*by).agg(
         _seconds(
