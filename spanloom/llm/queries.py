@@ -91,13 +91,62 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query("op1_decontamination")
+_OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), ds AS (
+  SELECT doc_id, len(w) AS nd, i - 1 AS i, array_to_string(w[i:i + 4], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) > 4)
+), b AS (
+  SELECT item_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM benchmark
+), bs AS (
+  SELECT item_id, len(w) AS n, j - 1 AS j, array_to_string(w[j:j + 4], ' ') AS sh FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS j FROM b WHERE len(w) > 4)
+), al AS (
+  SELECT DISTINCT doc_id, item_id, n, greatest(i - j, 0) AS a, least(i - j + n, nd) AS e FROM ds JOIN bs USING (sh)
+), dc AS (
+  SELECT al.doc_id, item_id, n, a, e, sh, count(*) AS c FROM al JOIN ds ON ds.doc_id = al.doc_id AND i BETWEEN a AND e - 5 GROUP BY ALL
+), bc AS (
+  SELECT item_id, sh, count(*) AS c FROM bs GROUP BY ALL
+), m AS (
+  SELECT doc_id, item_id, n, a, e, sum(least(dc.c, bc.c)) AS k FROM dc JOIN bc USING (item_id, sh) GROUP BY ALL
+), r AS (
+  SELECT doc_id, item_id, a, e, CAST(k AS DOUBLE) / CAST((e - a - 4) + (n - 4) - k AS DOUBLE) AS similarity FROM m
+)
+SELECT doc_id, item_id, similarity, CAST(a AS BIGINT) AS start, CAST(e - a AS BIGINT) AS n_words FROM r WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, a, e) = 1
+"""
+
+
+@query("op1_decontamination", _OP1_SQL)
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return decontaminate.matches(documents(spark, sf_dir).select("doc_id", "text"), items)
+    out = decontaminate.matches(documents(spark, sf_dir).select("doc_id", "text"), items)
+    return out.select("doc_id", "item_id", "similarity", F.col("start").cast("long").alias("start"), F.col("n_words").cast("long").alias("n_words"))
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_OP6_SQL = f"""
+SELECT * FROM (
+WITH RECURSIVE d AS (
+  SELECT doc_id, {_WORDS} AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * k >= 8 * (x.n + y.n - k)
+  UNION ALL SELECT x.doc_id, y.doc_id FROM d x JOIN d y ON len(x.w) = 0 AND len(y.w) = 0 AND x.doc_id <> y.doc_id
+), r AS (
+  SELECT doc_id, doc_id AS root FROM d UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id
+)
+SELECT r.doc_id, min(root) AS class_id, any_value(coalesce(c.n, 0)) AS n_links
+FROM r LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY 1) c ON c.a = r.doc_id GROUP BY 1)
+"""
 
 
-@query("op6_ngram_jaccard")
+@query("op6_ngram_jaccard", _OP6_SQL)
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir).select("doc_id", "text"))
 
