@@ -40,7 +40,8 @@ def convert(spark, folder):
 z AS (SELECT source_id, earliest_ms AS zero FROM b), lo AS (SELECT min(earliest_ms) AS low FROM b)
 SELECT ph, cat, count(*) AS events, CAST(sum(dur) AS BIGINT) AS dur, CAST(max(ts) AS BIGINT) AS last_ts FROM (
   SELECT 'X' AS ph, 'workflow' AS cat, (effective_end_ms - start_ms) * 1000 AS dur, (start_ms - zero) * 1000 AS ts FROM windows JOIN z USING (source_id)
-  UNION ALL SELECT 'M', '', 0, 0 FROM windows
+  UNION ALL SELECT 'M', '', 0, 0 FROM windows, range(4)
+  UNION ALL SELECT 'M', '', 0, 0 FROM range(5)
   UNION ALL SELECT 'X', 'queued', (run_started_ms - start_ms) * 1000, (start_ms - zero) * 1000 FROM windows JOIN z USING (source_id) WHERE run_started_ms > start_ms
   UNION ALL SELECT 'X', 'job', duration_ms * 1000, (start_ms - zero) * 1000 FROM facts JOIN z USING (source_id)
   UNION ALL SELECT 'M', '', 0, 0 FROM facts
@@ -54,6 +55,26 @@ def trace_events(spark, folder):
     )
 
 
+@query("K3_review_marks", ["sources", "review_events"], """
+SELECT CAST(time_ms AS VARCHAR) AS at, r.url AS url, 'https://github.com/' || "user" AS user_url,
+  CASE WHEN r.type = 'merged' THEN 'Merged' ELSE 'Approved' END AS name,
+  CASE WHEN r.type = 'merged' THEN '◆ merged by ' ELSE '▲ approved by ' END || "user" AS label, 'false' AS clamped FROM review_events r""")
+def review_marks(spark, folder):
+    a = F.col("args")
+    rows = events_of(spark, folder).where("ph = 'i'")
+    return rows.select(a["original_event_time_ms"].alias("at"), a["url"].alias("url"), a["user_url"].alias("user_url"), "name", a["label"].alias("label"), a["clamped"].alias("clamped"))
+
+
+@query("K3_naming_rows", ["runs"], """
+SELECT name, key, count(*) AS n FROM (
+  SELECT 'process_color' AS name, ['#4285f4', '#ea4335', '#fbbc04', '#34a853', '#ff6d01', '#46bdc6', '#7b1fa2', '#d81b60'][source_id % 8 + 1] AS key FROM runs
+  UNION ALL SELECT 'thread_sort_index', '0' FROM runs UNION ALL SELECT 'thread_sort_index', '0' UNION ALL SELECT 'thread_sort_index', '1') GROUP BY 1, 2""")
+def naming_rows(spark, folder):
+    a = F.col("args")
+    rows = events_of(spark, folder).where(F.col("name").isin("process_color", "thread_sort_index"))
+    return rows.groupBy("name", F.coalesce(a["color"], a["sort_index"]).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("K3_run_processes", ["runs"], """
 SELECT run_id, CAST(1000 + row_number() OVER (ORDER BY source_id, created_ms, run_id) AS BIGINT) AS pid FROM runs""")
 def run_processes(spark, folder):

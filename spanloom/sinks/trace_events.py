@@ -14,6 +14,11 @@ from spanloom.operators.ordered import global_rank
 METRICS_PROCESS, COUNTER_THREAD, REVIEW_THREAD = 999, 1, 2
 WORKFLOW_THREAD, FIRST_JOB_THREAD = 1, 10
 FIRST_PROCESS = 1000
+# Colours of sources in turn, names of the fixed tracks with their places.
+COLORS = ["#4285f4", "#ea4335", "#fbbc04", "#34a853", "#ff6d01", "#46bdc6", "#7b1fa2", "#d81b60"]
+OVERVIEW = "📋 Workflow Overview"
+FIXED_PROCESS = "GitHub Events"
+FIXED_THREADS = [(COUNTER_THREAD, "Job Concurrency", 0), (REVIEW_THREAD, "GitHub PR Events", 1)]
 
 COLUMNS = ["source_id", "name", "ph", "ts", "dur", "pid", "tid", "cat", "s", "args"]
 
@@ -23,6 +28,20 @@ def _args(*pairs: tuple[str, Column]) -> Column:
     return F.map_filter(made, lambda _, v: v.isNotNull())
 
 
+def _mark(name: str, thread: int, *args: tuple[str, Column]) -> Column:
+    return F.struct(F.lit(name).alias("name"), F.lit(thread).cast("bigint").alias("tid"), _args(*args).alias("args"))
+
+
+def _thread_marks(thread: int, name: str, place: int) -> list[Column]:
+    return [_mark("thread_name", thread, ("name", F.lit(name))), _mark("thread_sort_index", thread, ("sort_index", F.lit(place)))]
+
+
+def _naming(rows: DataFrame, pid: Column, marks: list[Column]) -> DataFrame:
+    """M rows that name a process, its threads and their places."""
+    named = rows.withColumn("_mark", F.explode(F.array(*marks)))
+    return _event(named, name=F.col("_mark.name"), ph=F.lit("M"), ts=F.lit(0).cast("bigint"), pid=pid, tid=F.col("_mark.tid"), args=F.col("_mark.args"))
+
+
 def _event(rows: DataFrame, **cols: Column) -> DataFrame:
     given = {"dur": F.lit(0).cast("bigint"), "cat": F.lit(""), "s": F.lit(""), **cols}
     return rows.select("source_id", *[given[c].alias(c) for c in COLUMNS if c != "source_id"])
@@ -66,9 +85,16 @@ def trace_events(
         args=_args(("status", F.col("status")), ("conclusion", F.col("conclusion")), ("run_id", F.col("run_id")),
                    ("duration_ms", F.col("effective_end_ms") - F.col("start_ms")), ("job_count", F.col("job_count")), index, *origin),
     )
-    naming = _event(
-        runs, name=F.lit("process_name"), ph=F.lit("M"), ts=F.lit(0).cast("bigint"), pid=F.col("pid"), tid=F.lit(0).cast("bigint"),
-        args=_args(("name", F.concat(F.lit("["), (F.col("source_id") + 1).cast("string"), F.lit("] "), label, F.lit(" ("), F.col("status"), F.lit(")"))), *origin),
+    title = F.concat(F.lit("["), (F.col("source_id") + 1).cast("string"), F.lit("] "), label, F.lit(" ("), F.col("status"), F.lit(")"))
+    color = F.element_at(F.array(*[F.lit(c) for c in COLORS]), (F.col("source_id") % len(COLORS) + 1).cast("int"))
+    naming = _naming(runs, F.col("pid"), [
+        _mark("process_name", 0, ("name", title), *origin),
+        _mark("process_color", 0, ("color", color), ("color_name", F.concat(F.lit("url_"), (F.col("source_id") + 1).cast("string"), F.lit("_color")))),
+        *_thread_marks(WORKFLOW_THREAD, OVERVIEW, 0),
+    ])
+    fixed = _naming(
+        facts.sparkSession.range(1).select(F.lit(None).cast("int").alias("source_id")), F.lit(METRICS_PROCESS).cast("bigint"),
+        [_mark("process_name", 0, ("name", F.lit(FIXED_PROCESS))), *[m for t in FIXED_THREADS for m in _thread_marks(*t)]],
     )
     begun = F.unix_millis("run_started_at")
     queued_runs = _event(
@@ -110,13 +136,18 @@ def trace_events(
     )
     noted = reviews.withColumnRenamed("type", "_kind").join(zero, "source_id").join(about, "source_id")
     merged = F.col("_kind") == "merged"
+    address = F.coalesce(F.nullif(F.col("url"), F.lit("")), F.col("display_url"))
+    who = F.nullif(F.col("user"), F.lit(""))
+    label = F.concat(F.when(merged, "◆ merged").otherwise("▲ approved"), F.coalesce(F.concat(F.lit(" by "), who), F.lit("")))
     review = _event(
         noted, name=F.when(merged, "Merged").otherwise("Approved"), ph=F.lit("i"), s=F.lit("p"), ts=at(F.unix_millis("time")),
         pid=F.lit(METRICS_PROCESS).cast("bigint"), tid=F.lit(REVIEW_THREAD).cast("bigint"),
-        args=_args(index, ("source_url", F.coalesce(F.nullif(F.col("url"), F.lit("")), F.col("display_url"))), ("source_type", F.col("type")),
-                   ("source_identifier", F.col("identifier")), ("user", F.col("user")), ("original_event_time_ms", F.unix_millis("time"))),
+        args=_args(index, ("source_url", address), ("github_url", address), ("url", address), ("source_type", F.col("type")),
+                   ("source_identifier", F.col("identifier")), ("user", F.col("user")),
+                   ("user_url", F.coalesce(F.concat(F.lit("https://github.com/"), who), F.lit(""))), ("label", label),
+                   ("original_event_time_ms", F.unix_millis("time")), ("clamped", F.lit("false"))),
     )
-    return reduce(DataFrame.unionByName, [workflow, naming, queued_runs, job, threads, queued_jobs, step, counter, review])
+    return reduce(DataFrame.unionByName, [workflow, naming, fixed, queued_runs, job, threads, queued_jobs, step, counter, review])
 
 
 def write_trace_events(events: DataFrame, path: str, mode: str = "error") -> None:
