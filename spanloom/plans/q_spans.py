@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from spanloom.functions import ids
 from spanloom.operators import enrich, filters, intervals, lint, metrics, tree
 from spanloom.plans import fixtures as fx
 from spanloom.plans.q_ci import facts_of
@@ -340,6 +341,36 @@ def deep_tree(spark, folder):
     return flat.select("span_id", "depth", F.array_join(last, "/").alias("ids"))
 
 
+@query("P5_epoch_conversion", ["spans"], """
+SELECT span_id, start_ns // 1000000 AS ms, (end_ns // 1000) * 1000 AS back, epoch_us(make_timestamp(start_ns // 1000)) AS us FROM spans""")
+def epoch_conversion(spark, folder):
+    rows = fx.generic_spans(spark, folder)
+    start = F.col("start_ns")
+    return rows.select("span_id", ids.ns_to_ms(start).alias("ms"), ids.time_to_ns(ids.ns_to_time(F.col("end_ns"))).alias("back"), F.unix_micros(ids.ns_to_time(start)).alias("us"))
+
+
+@query("F10_X1_unclassified_filter", ["spans"], "SELECT span_id, 'odd' AS category FROM spans WHERE seq % 3 = 1 AND event_type = 'view'")
+def unclassified_filter(spark, folder):
+    """A caller's own enricher that knows one kind of span; the filter drops the rest."""
+
+    def views(spans):
+        known = (F.col("seq") % 3 == 1) & F.col("name").startswith("view")
+        return F.struct(F.when(known, "odd").otherwise("").alias("category"))
+
+    rows = fx.generic_spans(spark, folder)
+    return filters.classified(rows.withColumn("hints", views(rows))).select("span_id", F.col("hints.category").alias("category"))
+
+
+@query("L7_sort_by_duration", ["spans"], TREE + """,
+n AS (SELECT *, source_id || '/' || trace_id || '/' || span_id AS node FROM hinted)
+SELECT 'duration_desc' AS mode, span_id, row_number() OVER (PARTITION BY CASE WHEN parent_span_id IS NULL THEN '' ELSE trace_id || parent_span_id END ORDER BY start_ns - end_ns, start_ns, node) - 1 AS sibling FROM n
+UNION ALL SELECT 'duration_asc', span_id, row_number() OVER (PARTITION BY CASE WHEN parent_span_id IS NULL THEN '' ELSE trace_id || parent_span_id END ORDER BY end_ns - start_ns, start_ns, node) - 1 FROM n""")
+def sort_by_duration(spark, folder):
+    built = tree_of(spark, folder)
+    parts = [tree.sibling_rank(built, mode).select(F.lit(mode).alias("mode"), "span_id", "sibling") for mode in ("duration_desc", "duration_asc")]
+    return parts[0].unionByName(parts[1])
+
+
 @query("H2_preorder", ["spans"], TREE + """,
 n AS (SELECT *, source_id || '/' || trace_id || '/' || span_id AS node, CASE WHEN is_marker THEN -1 ELSE 0 END AS pr FROM hinted),
 k AS (SELECT c.node, c.span_id, coalesce(p.start_ns, c.start_ns) AS a, coalesce(p.pr, c.pr) AS b, coalesce(p.node, c.node) AS d,
