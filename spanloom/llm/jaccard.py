@@ -3,7 +3,8 @@
 Every pair of documents whose sets of five-word shingles have Jaccard similarity of
 ``THRESHOLD`` or more is a link.
 
-1. Documents with equal shingle sets are one class; the rest works on its smallest id.
+1. Rows with equal shingle sets are one class; the rest works on the number of one of
+   its rows, as ids may repeat or be null.
 2. A class has ``HASHES`` MinHash values (16 bits each).  Classes that agree in one of
    the bands of ``ROWS`` values are candidates; at similarity 0.8 a pair is missed with
    probability (1 - 0.8^4)^24, about 3 in a million, and less above.
@@ -19,8 +20,9 @@ Every pair of documents whose sets of five-word shingles have Jaccard similarity
 
 Defined results: a text of one to four words has these words as its only shingle; texts
 without words (also null) have the empty set and are equal to each other and unlike all
-others; repeated rows of an id are copies of each other; null ids are allowed, the group
-id ignores them unless there are only such.  ``n_links`` counts rows, copies included.
+others; every row counts for itself, also if its id repeats or is null; the group id
+ignores null ids unless there are only such, and groups that share a repeated id share
+their group id.  ``n_links`` counts rows, copies included.
 """
 
 from __future__ import annotations
@@ -92,7 +94,8 @@ def least_matches(hashes: int = HASHES, step: int = STEP, threshold: float = THR
 
 
 def _spell(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the shingle set), n (its size), sig, shingles (low 32 bits of the hashes, as bytes)."""
+    """name, key (of the shingle set), n (its size), sig, shingles (high 32 bits of the hashes, as bytes)."""
+    name = docs.schema["name"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -105,9 +108,9 @@ def _spell(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 sig.append(minhash(s).tobytes() if len(s) else b"")
                 sets.append(np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(key), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "key", "n", "sig", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(key), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(sets, pa.binary())], ["name", "key", "n", "sig", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key string, n int, sig binary, shingles binary")
+    return docs.select("name", "text").mapInArrow(run, f"name {name}, key string, n int, sig binary, shingles binary")
 
 
 def _pairs_of(group: np.ndarray, side: np.ndarray, crossed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -287,24 +290,24 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (smallest id of the linked group) and n_links of every row."""
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (name, key) and classes (key, root, name of the group, n_links); ``docs`` has name and text.
+
+    A group's name is the smallest of its rows' names; its root is a row number.
+    """
     spark = docs.sparkSession
-    spelled = written(_spell(docs), "shingles")
-    ids = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    # Equal sets: one class, known by a representative row.
-    classes = spelled.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"))
-    rep = F.coalesce("first", F.lit(-(1 << 63)))
-    classes = written(classes.select("key", rep.alias("rep"), "copies", "n"), "classes")
-    # joined by key and id, so that the copies of a large class do not meet in one task
-    lead = classes.where("n > 0").select(F.col("key").alias("_k"), "rep", "copies")
-    is_lead = (F.col("key") == F.col("_k")) & (F.col("doc_id") == F.col("rep"))
-    one = spelled.select(ids.alias("doc_id"), "key", "sig").join(lead, is_lead).dropDuplicates(["rep"])
+    # row numbers are written with the rows, so they stay
+    spelled = written(_spell(docs).withColumn("row", F.monotonically_increasing_id()), "shingles")
+    # Equal sets: one class, known by one of its rows.
+    classes = spelled.groupBy("key").agg(F.min("name").alias("first"), F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"))
+    classes = written(classes, "classes")
+    lead = classes.where("n > 0").select("rep", "copies")
+    one = spelled.select("row", "sig").join(lead, F.col("row") == F.col("rep")).select("rep", "sig")
     bands = one.select("rep", "sig", F.posexplode(F.array(*[F.substring("sig", 2 * ROWS * j + 1, 2 * ROWS) for j in range(BANDS)])).alias("band", "value"))
     bands = bands.select("rep", "band", F.xxhash64("value").alias("bucket"))
     buckets = bands.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     met = bands.join(buckets, ["bucket", "band"])
-    # the signature joins once more by id, so that buckets of one member never carry it
+    # the signature joins once more, so that buckets of one member never carry it
     met = met.join(one.select(F.col("rep").alias("_r"), "sig"), F.col("rep") == F.col("_r")).drop("_r")
     blocks = F.ceil(F.col("m") / BLOCK)
     met = met.withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
@@ -316,25 +319,46 @@ def join(docs: DataFrame) -> DataFrame:
     members = units.select("unit", F.posexplode("members").alias("pos", "rep"), "a", "b")
     first = F.col("pos") == 0
     members = members.select("unit", "pos", "rep", F.when(first, F.col("a")).alias("a"), F.when(first, F.col("b")).alias("b"))
-    # Sets move once: straight to the members that need them.  A repeated row may meet its
-    # member twice, which the unit sorts out.
+    # Sets move once: straight to the members that need them.
     members = members.join(lead, "rep")
-    sets = spelled.select(ids.alias("doc_id"), "key", "shingles")
-    full = members.join(sets, (F.col("rep") == F.col("doc_id")) & (F.col("key") == F.col("_k")))
+    full = members.join(spelled.select("row", "shingles"), F.col("rep") == F.col("row"))
     full = full.repartition(partitions(spark), "unit").sortWithinPartitions("unit", "pos")
     found = written(_verify(full.select("unit", "pos", "rep", "a", "b", "shingles", "copies")), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    # groups of several classes: their names
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    names = roots.join(classes.select("rep", "first"), F.col("rep") == F.col("node")).groupBy("root").agg(F.min("first").alias("name"))
+    roots = roots.join(names, "root")
     named = classes.join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    named = named.select("key", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = spelled.select("doc_id", "key").join(named, "key")
-    return out.select("doc_id", F.when(F.col("class_id") != -(1 << 63), F.col("class_id")).alias("class_id"), "n_links")
+    name = F.when(F.col("node").isNull(), F.col("first")).otherwise(F.col("name"))
+    named = named.select("key", F.coalesce("root", "rep").alias("root"), name.alias("name"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return spelled.select("name", "key"), named
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (smallest id of the linked group) and n_links of every row."""
+    rows, named = _linked(docs.select(F.col("doc_id").alias("name"), "text"))
+    out = rows.withColumnRenamed("name", "doc_id").join(named, "key")
+    return out.select("doc_id", F.col("name").alias("class_id"), "n_links")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each group stays: that of the smallest id (of repeated rows, the first by text hash)."""
-    kept, nth = fresh(docs, "kept_id", "nth")
-    keep = join(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(kept)).distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = docs.join(keep, F.col("doc_id").eqNullSafe(F.col(kept)), "left_semi").withColumn(nth, F.row_number().over(order))
-    return rows.where(F.col(nth) == 1).select(*docs.columns)
+    """One row of each group stays: that of the smallest id, a row without id only in a group of such.
+
+    An id is one document: of its rows the first by text hash stands for it, before groups
+    are formed.  Rows without id are documents of their own.
+    """
+    none, number, h, h2, first, nth = names = fresh(docs, "no_id", "id", "hash", "hash2", "first", "nth")
+    # (id, two hashes of the text) tells rows apart, up to equal texts
+    rows = docs.select(*docs.columns, F.col("doc_id").isNull().alias(none), F.coalesce("doc_id", F.lit(0)).alias(number), F.xxhash64("text").alias(h), F.xxhash64(F.lit(1), "text").alias(h2))
+    known = [none, number, h, h2]
+    several = rows.where(~F.col(none)).groupBy(number).agg(F.min(h).alias(first), F.max(h).alias(nth)).where(F.col(first) != F.col(nth))
+    later = several.select(F.col(number).alias("_id"), F.col(first).alias("_first"))
+    rows = rows.join(later, ~F.col(none) & (F.col(number) == F.col("_id")) & (F.col(h) > F.col("_first")), "left_anti")
+    _, named = _linked(rows.select(F.struct(*known).alias("name"), "text"))
+    keep = named.select(F.col("name").alias("_name")).distinct().select("_name.*").toDF(*(f"_{i}" for i in range(len(known))))
+    same = [F.col(c) == F.col(f"_{i}") for i, c in enumerate(known)]
+    order = Window.partitionBy(*known).orderBy(F.xxhash64(*docs.columns))
+    kept = rows.join(keep, same, "left_semi").withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
+    return kept.drop(*names).select(*docs.columns)

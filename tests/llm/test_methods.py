@@ -173,6 +173,22 @@ def test_components(spark):
     assert all(found.get(x, x) == y for x, y in root.items())
 
 
+def test_jaccard_with_repeated_and_missing_ids(spark):
+    text = {k: prose(400 + i, 60) for i, k in enumerate("abcdefgh")}
+    rows = [(None, text["a"]), (None, text["b"]), (None, text["b"] + " x"), (None, text["c"]), (None, text["c"]), (14, text["d"]), (14, text["e"]), (14, text["f"]), (20, text["e"] + " x"), (7, text["f"] + " y"), (None, text["g"]), (3, text["g"] + " z"), (5, text["h"])]
+    docs = table(spark, rows).repartition(3)
+    assert sorted(map(tuple, jaccard.join(docs).collect()), key=repr) == sorted(brute.near(rows), key=repr)
+    kept = [tuple(r) for r in jaccard.deduplicate(docs).collect()]
+    # every null-id text is a document; of id 14's texts the first stands for it, and no group of another id is lost
+    assert {t for d, t in kept if d is None and not t.endswith(" x")} >= {text["a"], text["c"]}
+    count = Counter(next(k for k in text if w.startswith(text[k])) for _, w in kept)
+    assert set("abcefgh") <= set(count) <= set(text) and set(count.values()) == {1}
+    ids = Counter(d for d, _ in kept)
+    assert ids.pop(None) == 3 and {3, 5, 7} <= set(ids) <= {3, 5, 7, 14, 20} and set(ids.values()) == {1}
+    many = [(None, prose(1000 + i, 12)) for i in range(200)]
+    assert jaccard.deduplicate(table(spark, many)).count() == 200
+
+
 def test_decontamination(spark):
     rows = corpus(6, 40, 80)
     items = [(i, " ".join(prose(1000 + i, 70).split()[: 20 + 8 * i])) for i in range(4)]
