@@ -1,8 +1,9 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-1. Windows.  A window as long as an item is of interest where the two have a shingle of
-   five words at the same place; a window without any common shingle has similarity 0.
-   Shingles of all documents are looked up among the items' shingles.
+1. Windows.  A window as long as an item may begin at any word.  It is of interest if so
+   many of its shingles of five words are shingles of items of that length that the
+   similarity can reach ``THRESHOLD``; every other window is below it.  Shingles of all
+   documents are looked up among the items' shingles.
 2. Fingerprints.  SimHash (64 bits) of each such window and of each item; a shingle
    counts as often as it occurs.
 3. Multi-index search.  The 64 bits are four blocks of 16.  If two fingerprints differ in
@@ -16,7 +17,8 @@ counted first; a benchmark of more than ``BROADCAST_ROWS`` rows is joined by shu
 
 Defined results: null and empty texts match nothing, and so do texts and items of fewer
 than five words; windows are cut at the ends of the text; repeated rows of an id count
-as one text each, and the best window of the id is given; of equal windows the first.
+as one text each, as do rows without id, and the best window of the id is given; of
+equally similar windows the first that has a shingle at its place in the item.
 """
 
 from __future__ import annotations
@@ -84,56 +86,96 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def _numbered(a: Column) -> Column:
-    s = F.array_sort(a)
-    return F.transform(s, lambda x, i: F.struct(x.alias("h"), (i - F.array_position(s, x)).alias("k")))
+    """The k-th repeat of a hash becomes a hash of its own; the sorted array is made once."""
+    repeated = F.transform(
+        F.array(F.sort_array(a)),
+        lambda s: F.transform(s, lambda x, i: F.when(F.array_position(s, x) == i + 1, x).otherwise(F.xxhash64(x, i + 1 - F.array_position(s, x)))),
+    )
+    return F.when(F.size(F.array_distinct(a)) == F.size(a), a).otherwise(F.get(repeated, F.lit(0)))
 
 
-def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Contaminated pairs: doc_id, item_id, similarity, start (word), n_words (of the window), distance (bits).
+def _spans(n_doc: Column, n: Column, at: Column) -> Column:
+    """(start, end, cut) of the windows of ``n`` words that may reach the threshold; ``cut`` words lie before the text.
 
-    ``docs`` has doc_id and text, ``items`` item_id and text.
+    ``at`` are the sorted places of shingles of items of ``n`` words.  A window with k of
+    them and w shingles has a similarity of at most k / (w + n - 4 - k).
     """
+    share = THRESHOLD / (1 + THRESHOLD)
+    own = n - (SHINGLE - 1)
+    least = _least(n)  # of any window: w is k at least
+    end = lambda a: F.least(a + n, n_doc)
+
+    def enough(i: Column, a: Column) -> Column:
+        wanted = F.ceil((end(a) - F.greatest(a, F.lit(0)) - (SHINGLE - 1) + own) * share - 1e-6).cast("int")
+        return F.coalesce(F.get(at, i + wanted - 1) <= end(a) - SHINGLE, F.lit(False))
+
+    def starts(i: Column) -> Column:
+        """Starts whose first hit is the i-th."""
+        low = F.greatest(F.get(at, i + least - 1) - n + SHINGLE, F.when(i > 0, F.get(at, i - 1) + 1))
+        all_ = F.when(low <= F.get(at, i), F.sequence(low, F.get(at, i))).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.filter(all_, lambda a: enough(i, a)), lambda a: F.struct(F.greatest(a, F.lit(0)).alias("start"), end(a).alias("end"), F.greatest(-a, F.lit(0)).alias("cut")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - least), starts))
+
+
+def _least(n: Column) -> Column:
+    return F.greatest(F.ceil((n - (SHINGLE - 1)) * THRESHOLD - 1e-6), F.lit(1)).cast("int")
+
+
+def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Windows that match: doc_id, hash (of the text), item_id, similarity, distance, start, end, moved (no shingle at its place)."""
     spelled = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= SHINGLE)
     spelled = spelled.select("item_id", F.size("w").alias("n"), shingles(F.col("w")).alias("item_shingles"))
-    places = spelled.select("n", F.posexplode("item_shingles").alias("place", "h")).distinct()
-    n_places = places.count()
-    text = docs.select("doc_id", F.col("text").alias("_text"))
-    own = text.select("doc_id", words(F.col("_text")).alias("w")).where(F.size("w") >= SHINGLE)
-    own = own.select("doc_id", F.size("w").alias("n_doc"), shingles(F.col("w")).alias("s"))
+    known = spelled.select("n", F.explode("item_shingles").alias("h")).distinct()
+    n_known, n_items = known.count(), spelled.count()
+    # an id may stand for several texts
+    text = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.col("text").alias("_text"))
+    own = text.select("doc_id", "hash", words(F.col("_text")).alias("w")).where(F.size("w") >= SHINGLE)
+    own = own.select("doc_id", "hash", F.size("w").alias("n_doc"), shingles(F.col("w")).alias("s"))
     # posexplode_outer: for the inner form the optimizer adds a filter on the array's size
     # below the projection, where the words are found anew for each element
-    hits = own.select("doc_id", "n_doc", F.posexplode_outer("s").alias("at", "h")).join(_small(places, n_places), "h")
-    start = F.greatest(F.col("at") - F.col("place"), F.lit(0))
-    end = F.least(F.col("at") - F.col("place") + F.col("n"), F.col("n_doc"))
-    wanted = hits.groupBy("doc_id").agg(F.collect_set(F.struct(start.alias("start"), end.alias("end"))).alias("spans"))
-    windows = text.join(wanted.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")))
-    windows = windows.select("doc_id", "spans", words(F.col("_text")).alias("w"))
-    windows = windows.select("doc_id", "spans", shingles(F.col("w")).alias("s"))
-    windows = windows.select("doc_id", "s", F.inline("spans")).where(F.col("end") - F.col("start") >= SHINGLE)
+    hits = own.select("doc_id", "hash", "n_doc", F.posexplode_outer("s").alias("at", "h")).join(_small(known, n_known), "h")
+    runs = hits.groupBy("doc_id", "hash", "n_doc", "n").agg(F.collect_set("at").alias("at")).where(F.size("at") >= _least(F.col("n")))
+    runs = runs.select("doc_id", "hash", "n_doc", "n", F.sort_array("at").alias("at"))
+    # inline_outer for the same reason: the arrays would be sorted anew for each element
+    runs = runs.select("doc_id", "hash", F.inline_outer(_spans(F.col("n_doc"), F.col("n"), F.col("at")))).where(F.col("start").isNotNull())
+    wanted = runs.groupBy(F.col("doc_id").alias("_d"), F.col("hash").alias("_h")).agg(F.collect_set(F.struct("start", "end", "cut")).alias("spans"))
+    windows = text.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("hash") == F.col("_h")))
+    windows = windows.select("doc_id", "hash", "spans", words(F.col("_text")).alias("w"))
+    windows = windows.select("doc_id", "hash", "spans", shingles(F.col("w")).alias("s"))
+    windows = windows.select("doc_id", "hash", "s", F.inline("spans"))
     bag = F.slice("s", F.col("start") + 1, F.col("end") - F.col("start") - (SHINGLE - 1))
-    windows = windows.select("doc_id", "start", "end", bag.alias("bag"))
+    windows = windows.select("doc_id", "hash", "start", "end", "cut", bag.alias("bag"))
 
     # equal windows of many documents have one fingerprint and are checked once
     windows = windows.withColumn("key", F.xxhash64("bag"))
-    distinct = windows.groupBy("key").agg(F.first("bag").alias("bag"))
-    prints = fingerprints(distinct.select("key", F.explode("bag").alias("h")), ["key"], "h")
+    distinct = windows.groupBy("key", "cut").agg(F.first("bag").alias("bag"))
+    prints = fingerprints(distinct.select("key", "cut", F.explode("bag").alias("h")), ["key", "cut"], "h")
     item_prints = fingerprints(spelled.select("item_id", F.explode("item_shingles").alias("h")), ["item_id"], "h")
     near = _near(item_prints)
-    n_near = 2 * 697 * BLOCKS * n_places // SHINGLE  # more than there are
-    found = prints.select("key", "fp", F.inline(_blocks(F.col("fp")))).join(_small(near, n_near), ["block", "value"])
+    n_near = 697 * BLOCKS * n_items
+    found = prints.select("key", "cut", "fp", F.inline(_blocks(F.col("fp")))).join(_small(near, n_near), ["block", "value"])
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    found = found.where(distance <= RADIUS).select("key", "item_id", distance.alias("distance")).distinct()
-    pairs = found.join(distinct, "key").join(spelled.select("item_id", "item_shingles"), "item_id")
-    pairs = pairs.select("key", "item_id", "distance", similarity(F.col("bag"), F.col("item_shingles")).alias("similarity"))
+    found = found.where(distance <= RADIUS).select("key", "cut", "item_id", distance.alias("distance")).distinct()
+    pairs = found.join(distinct, ["key", "cut"]).join(spelled.select("item_id", "item_shingles"), "item_id")
+    placed = F.exists(F.zip_with("bag", F.slice("item_shingles", F.col("cut") + 1, F.size("item_shingles")), lambda x, y: x.eqNullSafe(y) & x.isNotNull()), lambda x: x)
+    pairs = pairs.select("key", "cut", "item_id", "distance", similarity(F.col("bag"), F.col("item_shingles")).alias("similarity"), (~placed).alias("moved"))
     pairs = pairs.where(F.col("similarity") >= THRESHOLD)
-    best = windows.select("doc_id", "start", "end", "key").join(pairs, "key")
-    order = F.struct((-F.col("similarity")).alias("s"), "start", "end", "distance")
-    out = best.groupBy("doc_id", "item_id").agg(F.min(order).alias("best"))
+    return windows.select("doc_id", "hash", "start", "end", "key", "cut").join(pairs, ["key", "cut"]).drop("key", "cut")
+
+
+def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Contaminated pairs: doc_id, item_id, similarity, start (word), n_words (of the window), distance (bits).
+
+    ``docs`` has doc_id and text, ``items`` item_id and text.
+    """
+    order = F.struct((-F.col("similarity")).alias("s"), "moved", "start", "end", "distance")
+    out = _windows(docs, items).groupBy("doc_id", "item_id").agg(F.min(order).alias("best"))
     return out.select("doc_id", "item_id", (-F.col("best.s")).alias("similarity"), F.col("best.start").alias("start"), (F.col("best.end") - F.col("best.start")).alias("n_words"), F.col("best.distance").alias("distance"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without a match."""
-    (bad,) = fresh(docs, "bad_id")
-    found = matches(docs.select("doc_id", "text"), items).select(F.col("doc_id").alias(bad)).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(bad)), "left_anti")
+    bad, text = fresh(docs, "bad_id", "bad_text")
+    found = _windows(docs.select("doc_id", "text"), items).select(F.col("doc_id").alias(bad), F.col("hash").alias(text)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(bad)) & (F.xxhash64("text") == F.col(text)), "left_anti")

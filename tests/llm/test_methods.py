@@ -204,6 +204,17 @@ def test_decontamination(spark):
     assert all(x["distance"] <= decontaminate.RADIUS for x in out)
 
 
+def test_decontamination_of_moved_parts(spark):
+    a, b, c = prose(501, 30), prose(502, 30), prose(503, 30)
+    items = table(spark, [(1, f"{a} {b}")], "item_id long, text string")
+    rows = [(1, f"{b} {a}"), (2, f"{prose(504, 40)} {b} {a} {prose(505, 40)}"), (3, a), (4, f"{a} {c}"), (None, f"{a} {b}"), (None, c), (5, f"{b} {a}"), (5, c)]
+    docs = table(spark, rows)
+    out = {(r["doc_id"], r["start"], r["n_words"], round(r["similarity"], 6)) for r in decontaminate.matches(docs, items).collect()}
+    assert out == {(1, 0, 60, round(52 / 60, 6)), (2, 40, 60, round(52 / 60, 6)), (None, 0, 60, 1.0), (5, 0, 60, round(52 / 60, 6))}
+    # of rows that share an id, or have none, only those that hold an item go
+    assert sorted(map(tuple, decontaminate.clean(docs, items).collect()), key=repr) == sorted([(3, a), (4, f"{a} {c}"), (None, c), (5, c)], key=repr)
+
+
 def test_every_fingerprint_in_the_radius_shares_a_block(spark):
     r = random.Random(2)
     rows = []
