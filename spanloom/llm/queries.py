@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat, decontaminate, fingerprints, jaccard, language, mixing, sharding, substrings, suffixes, toxicity
+from spanloom.llm import chat, decontaminate, fingerprints, jaccard, language, merkle, mixing, sharding, substrings, suffixes, toxicity
 from spanloom.llm.common import documents, partitions, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -238,3 +238,61 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     by_conversation = blocks.repartition(partitions(spark), "conv_id").sortWithinPartitions("conv_id", "block")
     return by_conversation.mapInArrow(read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+_OP13_SQL = r"""
+SELECT * FROM (
+WITH RECURSIVE e AS (
+  SELECT doc_id, lang, n_chars,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail, CAST(doc_id AS VARCHAR) AS digits
+  FROM documents
+), c AS (
+  SELECT *, coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS chars, coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') AS more,
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(digits) + 1), lambda i: ascii(digits[i])::BIGINT)),
+           lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)))) AS crc
+  FROM e
+), l AS (
+  SELECT doc_id, lang, sha256(head || chars || tail) AS leaf, sha256(head || CASE WHEN crc % 7 = 0 THEN more ELSE chars END || tail) AS held,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, sha256(head || chars || tail)) - 1 AS pos
+  FROM c
+), nodes AS (
+  SELECT lang, 0 AS lvl, pos, leaf AS node, count(*) OVER (PARTITION BY lang) AS width FROM l
+  UNION ALL
+  SELECT lang, lvl, pos, node, count(*) OVER (PARTITION BY lang) AS width
+  FROM (SELECT lang, lvl + 1 AS lvl, pos // 2 AS pos, sha256(string_agg(node, '' ORDER BY nodes.pos)) AS node FROM nodes WHERE width > 1 GROUP BY lang, lvl, pos // 2)
+), subs AS (
+  SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM nodes WHERE width = 1
+), tops AS (
+  SELECT 0 AS lvl, pos, subroot AS node, count(*) OVER () AS width FROM subs
+  UNION ALL
+  SELECT lvl, pos, node, count(*) OVER () AS width
+  FROM (SELECT lvl + 1 AS lvl, pos // 2 AS pos, sha256(string_agg(node, '' ORDER BY tops.pos)) AS node FROM tops WHERE width > 1 GROUP BY lvl, pos // 2)
+), inner_steps AS (
+  SELECT l.lang, l.pos, s.lvl AS step, CASE WHEN o.node IS NULL THEN '-' WHEN s.pos % 2 = 1 THEN 'L' || o.node ELSE 'R' || o.node END AS how
+  FROM l JOIN nodes s ON s.lang IS NOT DISTINCT FROM l.lang AND s.pos = l.pos >> s.lvl AND s.width > 1
+  LEFT JOIN nodes o ON o.lang IS NOT DISTINCT FROM s.lang AND o.lvl = s.lvl AND o.pos = xor(s.pos, 1)
+), outer_steps AS (
+  SELECT b.lang, 1000 + s.lvl AS step, CASE WHEN o.node IS NULL THEN '-' WHEN s.pos % 2 = 1 THEN 'L' || o.node ELSE 'R' || o.node END AS how
+  FROM subs b JOIN tops s ON s.pos = b.pos >> s.lvl AND s.width > 1 LEFT JOIN tops o ON o.lvl = s.lvl AND o.pos = xor(s.pos, 1)
+), steps AS (
+  SELECT * FROM inner_steps UNION ALL SELECT l.lang, l.pos, step, how FROM l JOIN outer_steps o ON o.lang IS NOT DISTINCT FROM l.lang
+), way AS (
+  SELECT lang, pos, list(how ORDER BY step) AS hows FROM steps GROUP BY lang, pos
+), f AS (
+  SELECT l.doc_id, l.leaf, subs.subroot, (SELECT node FROM tops WHERE width = 1) AS root, coalesce(hows, []) AS hows, held
+  FROM l JOIN subs ON subs.lang IS NOT DISTINCT FROM l.lang LEFT JOIN way ON way.lang IS NOT DISTINCT FROM l.lang AND way.pos = l.pos
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(hows, lambda h: substr(h, 2)), '')) AS proof_sha256,
+       list_reduce(list_prepend(held, hows), lambda a, h: sha256(CASE left(h, 1) WHEN '-' THEN a WHEN 'L' THEN substr(h, 2) || a ELSE a || substr(h, 2) END)) AS folded_root,
+       folded_root = root AS verified
+FROM f)
+"""
+
+
+@query("op13_merkle_manifest", _OP13_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "source", "lang", "n_chars", "text")
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+    out = merkle.manifest(docs, altered={"n_chars": more}, where=F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+    return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
