@@ -9,9 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat, decontaminate, fingerprints, jaccard, language, merkle, mixing, sharding, substrings, suffixes, toxicity
+from spanloom.llm import align, chat, decontaminate, fingerprints, jaccard, language, merkle, mixing, mtree, sharding, substrings, suffixes, toxicity
 from spanloom.llm.common import documents, partitions, remainder
 
+#: Where the public tokenizers' files lie, on every node.
+TOKENIZERS = "/opt/tokenizers"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -296,3 +299,28 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = F.col("n_chars").cast("decimal(20,0)") + 1
     out = merkle.manifest(docs, altered={"n_chars": more}, where=F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
     return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+_OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
+@query("op11_exact_topk", _OP11_SQL)
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(mtree.usable(F.col("embedding")))
+    return mtree.top_k(rows.select("vec_id", mtree.scaled(F.col("embedding")).alias("v")), F.col("vec_id") % 50 == 0)
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return align.align(docs, f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model", groups=False)

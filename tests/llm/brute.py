@@ -95,3 +95,81 @@ def leaks(rows, items, threshold=0.8):
                         if bag_similarity(s[a : b - 4], t) >= threshold:
                             found.add((doc, item))
     return found
+
+
+def aligned(rows, first, second):
+    """(id, tokens of A, of B, groups, links, best links, sum of counts, groups as text); ``first`` and ``second`` give (id, bytes) of space and text."""
+    found = []
+    for doc, text in rows:
+        a, b = (first(text), second(text)) if text else ([], [])
+        whole = b" " + (text or "").encode()
+        if b"".join(x for _, x in a) != whole or b"".join(x for _, x in b) != whole:
+            a, b = [], []
+
+        def spans(tokens):
+            at, out = 0, []
+            for i, x in tokens:
+                out.append((i, at, at + len(x)))
+                at += len(x)
+            return out
+
+        sa, sb = spans(a), spans(b)
+        links = [(x, y) for x, s, e in sa for y, u, v in sb if s < v and u < e]
+        ends = sorted({e for _, _, e in sa} & {e for _, _, e in sb})
+        groups, before = [], 0
+        for end in ends:
+            groups.append("|".join(",".join(str(i) for i, s, e in z if before <= s and e <= end) for z in (sa, sb)))
+            before = end
+        found.append((doc, len(a), len(b), links, ";".join(groups), len(groups)))
+    count = Counter(pair for f in found for pair in f[3])
+    best = defaultdict(int)
+    for (_, y), n in count.items():
+        best[y] = max(best[y], n)
+    return [(d, na, nb, g, len(links), sum(count[p] == best[p[1]] for p in links), sum(count[p] for p in links), text) for d, na, nb, links, text, g in found]
+
+
+def nearest(rows, is_query, k=5):
+    """(query id, rank, id, score) over rows of (id, vector); ids may repeat."""
+    out = []
+    for i, (q, v) in enumerate(rows):
+        if is_query(q):
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), c) for j, (c, w) in enumerate(rows) if j != i)[:k]
+            out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scored)]
+    return out
+
+
+def sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def merkle(rows, other):
+    """{row place: (leaf, subroot, root, siblings, folded root)} of rows (doc_id, source, lang, n_chars, text); ``other`` gives a row's altered copy."""
+
+    def leaf(row):
+        return sha(*["-" if x is None else f"{len(str(x).encode())}:{x}" for x in row])
+
+    def tree(nodes):
+        """(root, for each node its way: (side, sibling))"""
+        ways, where = [[] for _ in nodes], list(range(len(nodes)))
+        while len(nodes) > 1:
+            for i, at in enumerate(where):
+                pair = at ^ 1
+                ways[i].append(("-", "") if pair >= len(nodes) else ("L" if pair < at else "R", nodes[pair]))
+                where[i] = at // 2
+            nodes = [sha(*nodes[i : i + 2]) for i in range(0, len(nodes), 2)]
+        return nodes[0], ways
+
+    by = defaultdict(list)
+    for i, row in enumerate(rows):
+        by[row[2]].append((row[0] is not None, row[0] or 0, leaf(row), i))
+    names = sorted(by, key=lambda x: (x is not None, (x or "").encode()))
+    subs = {name: tree([x[2] for x in sorted(by[name])]) for name in names}
+    root, tops = tree([subs[name][0] for name in names])
+    out = {}
+    for name, top in zip(names, tops, strict=True):
+        for (*_, own, i), way in zip(sorted(by[name]), subs[name][1], strict=True):
+            node = leaf(other(rows[i]))
+            for side, sibling in [*way, *top]:
+                node = sha(sibling, node) if side == "L" else sha(node, sibling)
+            out[i] = (own, subs[name][0], root, "".join(s for _, s in [*way, *top]), node)
+    return out
