@@ -7,13 +7,19 @@ shuffle.  Anything that needs order works on time slices.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text
 from spanloom.functions.ids import ns_to_ms
+from spanloom.session import cut
 
-SLICE_MS = 1 << 20
 MIN_BOTTLENECK_MS = 1000
 BOTTLENECK_SHARE = 0.1
 SERIES_CHUNK = 4096
@@ -366,36 +372,81 @@ def _moments(intervals: DataFrame, keys: list[str], start: str, end: str) -> Dat
     return points.groupBy(*keys, "p.ts").agg(F.sum("p.s").alias("starts"), F.sum("p.e").alias("ends"))
 
 
-def _running(intervals: DataFrame, keys: list[str], start: str, end: str, slice_width: int) -> DataFrame:
+def _prefix(keys: list[str]):
+    """Add ``_local``, the net rise of a key's earlier moments in the partition, for rows sorted by key and moment.
+
+    The pass streams: it holds the last key and its running sum, however many rows a partition has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, carry = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            change = np.zeros(n, bool)
+            for key in keys:
+                column = batch.column(key)
+                if n > 1:
+                    same = pc.equal(column.slice(1), column.slice(0, n - 1)).fill_null(False)
+                    both = pc.and_(pc.is_null(column.slice(1)), pc.is_null(column.slice(0, n - 1)))
+                    change[1:] |= ~pc.or_(same, both).to_numpy(zero_copy_only=False)
+            if [batch.column(k)[0].as_py() for k in keys] != last:
+                carry = 0
+            net = batch.column("starts").to_numpy() - batch.column("ends").to_numpy()
+            total = np.cumsum(net)
+            begin = np.maximum.accumulate(np.where(change, np.arange(n), 0))
+            base = np.where(begin > 0, total[begin - 1], -carry)
+            local = total - net - base
+            last, carry = [batch.column(k)[n - 1].as_py() for k in keys], int(local[-1] + net[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(local), pa.array(np.full(n, part, np.int64))], [*batch.schema.names, "_local", "_part"])
+
+    return run
+
+
+def _swept(intervals: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """Moments in order, range-partitioned by rows: a slice holds so many moments however close they lie."""
+    moments = _moments(intervals, keys, start, end)
+    by = [*keys, "ts"]
+    ranged = moments.repartitionByRange(*by).sortWithinPartitions(*by)
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in moments.schema] + ["_local bigint", "_part bigint"])
+    return ranged.mapInArrow(_prefix(keys), schema)
+
+
+def _carried(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``_carry``, the net rise of a key's earlier slices; ``parts`` has one row for each key and slice."""
+    chain = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("_carry", F.coalesce(F.sum("_net").over(chain), F.lit(0)))
+
+
+def _running(intervals: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Moments with ``before``, the number of open intervals just before them."""
-    moments = _moments(intervals, keys, start, end).withColumn("_slice", F.floor(F.col("ts") / slice_width))
-    net = F.col("starts") - F.col("ends")
-    chain = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    small = moments.groupBy(*keys, "_slice").agg(F.sum(net).alias("_net"))
-    small = small.select(*keys, "_slice", F.coalesce(F.sum("_net").over(chain), F.lit(0)).alias("_carry"))
-    local = Window.partitionBy(*keys, "_slice").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    return moments.join(small, [*keys, "_slice"]).select(
-        *keys, "ts", "starts", "ends",
-        (F.col("_carry") + F.coalesce(F.sum(net).over(local), F.lit(0))).alias("before"),
-    )
+    swept = cut(_swept(intervals, keys, start, end))
+    parts = swept.groupBy(*keys, "_part").agg(F.sum(F.col("starts") - F.col("ends")).alias("_net"))
+    rows = swept.join(_carried(parts, keys).drop("_net"), [*keys, "_part"])
+    return rows.select(*keys, "ts", "starts", "ends", (F.col("_carry") + F.col("_local")).alias("before"))
 
 
 def max_concurrency(
     intervals: DataFrame, keys: list[str], start: str = "start_ms", end: str = "end_ms",
-    ends_first: bool = False, slice_width: int = SLICE_MS,
+    ends_first: bool = False,
 ) -> DataFrame:
     """Largest number of open intervals per key.
 
-    At equal times starts count first for job events, ends first for spans.
+    At equal times starts count first for job events, ends first for spans.  Each slice is reduced to its net
+    change and its greatest prefix; slices combine in order to the key's peak.
     """
     keyed = keys or ["_all"]
     if not keys:
         intervals = intervals.withColumn("_all", F.lit(0))
-    peak = F.col("before") + F.col("starts")
+    peak = F.col("_local") + F.col("starts")
     if ends_first:
         peak = peak - F.col("ends")
-    out = _running(intervals, keyed, start, end, slice_width).groupBy(*keyed).agg(
-        F.greatest(F.max(peak), F.lit(0)).alias("max_concurrency")
+    parts = _swept(intervals, keyed, start, end).groupBy(*keyed, "_part").agg(
+        F.sum(F.col("starts") - F.col("ends")).alias("_net"), F.max(peak).alias("_peak")
+    )
+    out = _carried(parts, keyed).groupBy(*keyed).agg(
+        F.greatest(F.max(F.col("_carry") + F.col("_peak")), F.lit(0)).alias("max_concurrency")
     )
     return out.drop("_all")
 
@@ -403,14 +454,14 @@ def max_concurrency(
 def span_concurrency(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Concurrency of job-level spans, ends before starts at equal times."""
     return max_concurrency(
-        spans.where(_job_level()), keys, "start_ns", "end_ns", ends_first=True, slice_width=SLICE_MS * 1000000
+        spans.where(_job_level()), keys, "start_ns", "end_ns", ends_first=True
     )
 
 
 def concurrency_series(intervals: DataFrame, keys: list[str], start: str = "start_ms", end: str = "end_ms") -> DataFrame:
     """The running count after every start and end, with time since the key's first."""
     first = intervals.groupBy(*keys).agg(F.min(start).alias("_first"))
-    run = _running(intervals, keys, start, end, SLICE_MS).join(first, keys)
+    run = _running(intervals, keys, start, end).join(first, keys)
     # Chunked, so that many events at one moment never form one long array.
     total = F.col("starts") + F.col("ends")
     chunks = run.withColumn("_c", F.explode(F.sequence(F.lit(0), F.floor((total - 1) / SERIES_CHUNK).cast("int"))))

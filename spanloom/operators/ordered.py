@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.session import cut
+from spanloom.session import cut, landed
 
 _ORDINAL_BITS = 33  # fixed by monotonically_increasing_id
 
@@ -81,12 +81,12 @@ def sliced_window(
 
     ``slice_col`` must rise with ``order`` inside a key.  Row windows see one
     (key, slice) each; the per-slice summary is one row per slice.  The input is
-    read twice, so it is checkpointed first: a chain of k such steps then costs k
+    read twice, so it is written first: a chain of k such steps then costs k
     writes instead of 2^k evaluations.  Pass ``write_input=False`` when the input
     is already cheap to read again.
     """
     if write_input:
-        df = cut(df)
+        df = landed(df)
     sums, lags, leads, lasts = sums or {}, lags or {}, leads or {}, lasts or {}
     by = [*keys, slice_col]
     at = F.struct(*order)

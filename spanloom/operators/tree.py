@@ -1,10 +1,13 @@
 """Span hierarchies without recursion.
 
-A node is ``(source_id, trace_id, span_id)``.  Paths to the root come from
-pointer doubling: after k rounds every node knows its nearest 2^k ancestors, so
-a tree of depth d needs about log2(d) joins instead of d.  Every join has one
-row per node on one side; a parent with very many children is a skewed left
-side, which adaptive execution splits.
+A node is ``(source_id, trace_id, span_id)``.  Trees are contracted by pointer
+jumping: each round looks up the next ``STEPS`` ancestors and gives every node a
+pointer that reaches so many times further, so rounds grow with the logarithm of
+the depth.  On the way up, values of all descendants combine (subtree sizes,
+bounds of shown children); on the way down, values of all ancestors add up
+(depth, place in preorder).  A flat tree holds the interval ``pre``..``last`` of
+preorder places for each node instead of its ancestors: space n, not n x depth,
+and "below" and "above" become comparisons of numbers.
 
 Ids may repeat (steps of one name in a job, spans that were sent again).  Every
 row stays a node of its own; children hang below the first row of their parent's
@@ -13,15 +16,18 @@ id, so a tree never has more rows than there are spans.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import ids
 from spanloom.operators import filters
-from spanloom.operators.ordered import global_rank
-from spanloom.session import cut
+from spanloom.operators.ordered import global_rank, range_slices, sliced_window
+from spanloom.session import cut, landed
 
-LEVELS_PER_CUT = 8
+STEPS = 4  # ancestors looked up in one round
+PLACES_PER_SLICE = 65_536
 ROOT = ""
 
 
@@ -87,13 +93,66 @@ def sibling_rank(tree: DataFrame, mode: str = "start") -> DataFrame:
     return tree.join(ranked, "node")
 
 
+def numbered(tree: DataFrame, *columns: Column | str) -> DataFrame:
+    """(id, up) and more columns: nodes and their parents by number, for the rounds below; written."""
+    rows = landed(tree.select("node", "parent", *columns).withColumn("id", F.monotonically_increasing_id()))
+    above = rows.select(F.col("node").alias("parent"), F.col("id").alias("up"))
+    return rows.join(above, "parent", "left")
+
+
+def _ancestors(state: DataFrame, carried: list[str]) -> DataFrame:
+    """Follow the pointer ``up`` STEPS times: up_1 .. up_STEPS, with the ``carried`` columns of the nodes passed."""
+    out = state.withColumnRenamed("up", "up_1")
+    for k in range(1, STEPS):
+        passed = [F.col(c).alias(f"{c}_{k}") for c in carried]
+        out = out.join(state.select(F.col("id").alias("_at"), F.col("up").alias(f"up_{k + 1}"), *passed), F.col(f"up_{k}") == F.col("_at"), "left").drop("_at")
+    return out
+
+
+def fold_up(links: DataFrame, values: dict[str, Callable[[str], Column]]) -> tuple[DataFrame, int]:
+    """Combine the values of every node and all nodes below it; returns (id, values) and the rounds it took.
+
+    ``links`` has id, up (null for roots) and the values; a value's function aggregates a column of that name, and
+    must be associative, commutative and skip nulls.  Nodes on a cycle and below one are left out.
+    """
+    state = landed(links.select("id", "up", *values))
+    still, rounds = state.where(F.col("up").isNotNull()).count(), 0
+    while still:
+        moved = _ancestors(state, [])
+        none = F.lit(None).cast("bigint")
+        gifts = [F.struct(F.col("id"), F.col(f"up_{STEPS}").alias("up"), F.lit(True).alias("own"))]
+        gifts += [F.struct(F.col(f"up_{k}").alias("id"), none.alias("up"), F.lit(False).alias("own")) for k in range(1, STEPS)]
+        # to itself with the new pointer, and to the ancestors passed
+        given = moved.select(F.explode(F.filter(F.array(*gifts), lambda g: g["id"].isNotNull())).alias("g"), *values)
+        state = landed(
+            given.select("g.*", *values).groupBy("id")
+            .agg(F.max(F.when(F.col("own"), F.col("up"))).alias("up"), *[f(v).alias(v) for v, f in values.items()])
+        )
+        before, still, rounds = still, state.where(F.col("up").isNotNull()).count(), rounds + 1
+        if still == before:  # every round reaches the roots of some, unless only cycles are left
+            break
+    return state.where(F.col("up").isNull()).drop("up"), rounds
+
+
+def sum_down(links: DataFrame, values: list[str], rounds: int) -> DataFrame:
+    """(id, values): each value summed over a node and all its ancestors, in the rounds :func:`fold_up` took."""
+    state = links.select("id", "up", *values)
+    for _ in range(rounds):
+        moved = _ancestors(landed(state), values)
+        total = {v: F.col(v) for v in values}
+        for k in range(1, STEPS):
+            total = {v: t + F.coalesce(f"{v}_{k}", F.lit(0)) for v, t in total.items()}
+        state = moved.select("id", F.col(f"up_{STEPS}").alias("up"), *[t.alias(v) for v, t in total.items()])
+    return state.drop("up")
+
+
 def paths(links: DataFrame, step: str) -> DataFrame:
     """Root-to-node arrays for (node, parent, step): ``path`` of steps, ``id_path`` of nodes.
 
     Nodes on a parent cycle and below one are unreachable from any root and drop
     out.
     """
-    state = cut(links.select(
+    state = landed(links.select(
         "node", F.col("parent").alias("anc"), F.array(step).alias("path"), F.array("node").alias("id_path")
     ))
     while True:  # ends: a path doubles each round and stops growing at a cycle
@@ -108,19 +167,36 @@ def paths(links: DataFrame, step: str) -> DataFrame:
             "node", F.col("_anc").alias("anc"), F.concat("_path", "path").alias("path"),
             F.concat("_ids", "id_path").alias("id_path"),
         )
-        state = cut(state.where(F.col("anc").isNull()).unionByName(moved))
+        state = landed(state.where(F.col("anc").isNull()).unionByName(moved))
     return state.where(F.col("anc").isNull()).drop("anc")
 
 
 def flatten(tree: DataFrame, mode: str = "start") -> DataFrame:
-    """Nodes with ``depth``, ``path`` (ordering by it gives preorder) and ``id_path``."""
-    links = tree.select("node", "parent", sort_key(mode).alias("_step"))
-    found = paths(links, "_step").withColumn("depth", F.size("path") - 1)
+    """Nodes with ``depth``, ``pre`` (place in preorder, from 0) and ``last`` (the last place below the node).
+
+    Subtree sizes come up from the leaves; a node's place is its parent's, one more, and the sizes of its earlier
+    siblings, summed down from the root.  Only numbers go through the rounds; the rows are joined once at the end.
+    Nodes whose parent is missing, on a parent cycle or below either drop out.
+    """
+    key = sort_key(mode)
+    links = numbered(tree, key["a"].alias("_a"), key["b"].alias("_b"), F.col("start_ns").alias("_c"))
+    lost = F.col("parent").isNotNull() & F.col("up").isNull()
+    links = landed(links.withColumn("up", F.when(lost, F.col("id")).otherwise(F.col("up"))))
+    sizes, rounds = fold_up(links.withColumn("size", F.lit(1).cast("bigint")), {"size": F.sum})
+    family = links.join(sizes, "id").withColumn("_family", F.coalesce("up", F.lit(-1)))
+    order = ["_a", "_b", "_c", "node"]
+    ranked = range_slices(family.select("id", "up", "node", "_family", "_a", "_b", "_c", "size"), ["_family"], order)
+    ranked = sliced_window(ranked, ["_family"], "_slice", order, sums={"_upto": F.col("size")}, write_input=False)
+    below = F.col("up").isNotNull().cast("bigint")
+    steps = ranked.select("id", "up", "node", "size", below.alias("depth"), (F.col("_upto") - F.col("size") + below).alias("pre"))
+    steps = landed(steps)
+    places = sum_down(steps, ["depth", "pre"], rounds).join(steps.select("id", "node", "size"), "id")
+    found = places.select("node", F.col("depth").cast("int").alias("depth"), "pre", (F.col("pre") + F.col("size") - 1).alias("last"))
     return tree.join(found, "node")
 
 
 def preorder(flat: DataFrame) -> DataFrame:
-    return flat.orderBy("path")
+    return flat.orderBy("pre")
 
 
 def node_ids(tree: DataFrame) -> DataFrame:
@@ -155,26 +231,48 @@ def with_item_type(tree: DataFrame) -> DataFrame:
     return child_counts(tree).withColumn("item_type", item_type(F.col("hints"), F.col("children") > 0))
 
 
+def _upto(flat: DataFrame, value: Column, name: str) -> DataFrame:
+    """(node, pre, last) with the sum of ``value`` over all places up to the node's; slices are stretches of places."""
+    rows = flat.select("node", "pre", "last", value.alias("_v"), F.floor(F.col("pre") / PLACES_PER_SLICE).alias("_slice"))
+    return sliced_window(rows, [], "_slice", ["pre"], sums={name: F.col("_v")}).drop("_v", "_slice")
+
+
+def _marked(flat: DataFrame, chosen: DataFrame) -> DataFrame:
+    marks = chosen.select("node").distinct().withColumn("_hit", F.lit(1))
+    return flat.select("node", "pre", "last").join(marks, "node", "left").withColumn("_hit", F.coalesce("_hit", F.lit(0)))
+
+
+def _covered(flat: DataFrame, chosen: DataFrame, itself: bool) -> DataFrame:
+    """(node, covered): how many chosen nodes each node lies below (or is); one more from a chosen node on, one less after its last place."""
+    begin = F.col("pre") if itself else F.col("pre") + 1
+    edges = F.array(F.struct(begin.alias("pre"), F.lit(1).alias("net")), F.struct((F.col("last") + 1).alias("pre"), F.lit(-1).alias("net")))
+    net = _marked(flat, chosen).where("_hit = 1").select(F.explode(edges).alias("e")).groupBy("e.pre").agg(F.sum("e.net").alias("_net"))
+    rows = flat.select("node", "pre", "last").join(net, "pre", "left")
+    return _upto(rows, F.coalesce("_net", F.lit(0)), "covered")
+
+
+def _holding(flat: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(node, inside, _hit): how many chosen nodes lie below each node, itself counted by ``_hit``."""
+    marked = landed(_marked(flat, chosen))
+    upto = landed(_upto(marked, F.col("_hit"), "_at"))
+    until = upto.select(F.col("pre").alias("last"), F.col("_at").alias("_until"))
+    return upto.join(until, "last").join(marked.select("node", "_hit"), "node").select("node", "_hit", (F.col("_until") - F.col("_at")).alias("inside"))
+
+
 def descendants(flat: DataFrame, chosen: DataFrame) -> DataFrame:
     """Chosen nodes and everything below them; ``chosen`` has a ``node`` column."""
-    below = flat.select(F.col("node").alias("_node"), F.explode("id_path").alias("node")).join(
-        chosen.select("node").distinct(), "node", "left_semi"
-    )
-    return flat.join(below.select(F.col("_node").alias("node")).distinct(), "node", "left_semi")
+    return flat.join(_covered(flat, chosen, True).where("covered > 0").select("node"), "node", "left_semi")
 
 
 def ancestors(flat: DataFrame, chosen: DataFrame) -> DataFrame:
     """Every node above a chosen one."""
-    above = flat.join(chosen.select("node"), "node", "left_semi").select(
-        F.explode(F.slice("id_path", 1, F.size("id_path") - 1)).alias("node")
-    )
-    return flat.join(above.distinct(), "node", "left_semi")
+    return flat.join(_holding(flat, chosen).where("inside > 0").select("node"), "node", "left_semi")
 
 
 def search(flat: DataFrame, query: str) -> DataFrame:
     """Nodes whose name contains the text, any case, with all their ancestors."""
     hit = F.lower("name").contains(query.lower())
-    shown = flat.where(hit).select(F.explode("id_path").alias("node")).distinct()
+    shown = _holding(flat, flat.where(hit)).where("inside + _hit > 0").select("node")
     return flat.join(shown, "node", "left_semi").withColumn("is_match", hit)
 
 
@@ -184,16 +282,8 @@ def to_depth(flat: DataFrame, depth: int) -> DataFrame:
 
 def below_expanded(flat: DataFrame, expanded: DataFrame) -> DataFrame:
     """Nodes all of whose ancestors are expanded."""
-    open_nodes = expanded.select("node", F.lit(1).alias("_open")).distinct()
-    closed = (
-        flat.select(
-            F.col("node").alias("_node"), F.explode(F.slice("id_path", 1, F.size("id_path") - 1)).alias("node")
-        )
-        .join(open_nodes, "node", "left_anti")
-        .select(F.col("_node").alias("node"))
-        .distinct()
-    )
-    return flat.join(closed, "node", "left_anti")
+    closed = flat.select("node").join(expanded.select("node"), "node", "left_anti")
+    return flat.join(_covered(flat, closed, False).where("covered = 0").select("node"), "node", "left_semi")
 
 
 def exclude(spans: DataFrame, hidden: DataFrame) -> DataFrame:
@@ -218,37 +308,30 @@ def effective_times(flat: DataFrame, hidden: Column, info: Column | None = None)
     """Bounds of every node from its shown children, bottom-up.
 
     A node without shown children has null times; a node whose shown children
-    all have null times keeps its own; a leaf keeps its own.
+    all have null times keeps its own; a leaf keeps its own.  Which of these a
+    node is, its children tell in one pass; bounds then come up over the shown
+    nodes that have times, so rounds grow with the logarithm of the depth.
     """
     info = F.lit(False) if info is None else info
-    rows = cut(flat.select(
-        "node", "parent", "depth", "start_ns", "end_ns", (~hidden & ~info).alias("_shown")
-    ))
-    deepest = rows.agg(F.max("depth")).first()[0]
-    if deepest is None:
-        return rows.select("node", F.col("start_ns").alias("effective_start_ns"), F.col("end_ns").alias("effective_end_ns"))
-    done: DataFrame | None = None
-    level = rows.where(F.col("depth") == deepest).withColumns({"_s": F.col("start_ns"), "_e": F.col("end_ns")})
-    for depth in range(deepest - 1, -2, -1):
-        out = level.select(
-            "node", F.col("_s").alias("effective_start_ns"), F.col("_e").alias("effective_end_ns")
-        )
-        done = out if done is None else done.unionByName(out)
-        if depth < 0:
-            break
-        above = level.groupBy(F.col("parent").alias("node")).agg(
-            F.count_if("_shown").alias("_n"),
-            F.min(F.when(F.col("_shown"), F.col("_s"))).alias("_min"),
-            F.max(F.when(F.col("_shown"), F.col("_e"))).alias("_max"),
-        )
-        level = rows.where(F.col("depth") == depth).join(above, "node", "left").withColumns({
-            "_s": F.when(F.coalesce("_n", F.lit(1)) > 0, F.coalesce("_min", "start_ns")),
-            "_e": F.when(F.coalesce("_n", F.lit(1)) > 0, F.coalesce("_max", "end_ns")),
-        }).drop("_n", "_min", "_max")
-        if (deepest - depth) % LEVELS_PER_CUT == 0:
-            level = cut(level)
-            done = cut(done)
-    return done
+    rows = landed(numbered(flat, "start_ns", "end_ns", (~hidden & ~info).alias("shown")))
+    kids = rows.where(F.col("up").isNotNull()).groupBy(F.col("up").alias("id")).agg(F.count_if("shown").alias("n_shown"))
+    rows = rows.join(kids, "id", "left").withColumn("bare", F.coalesce(F.col("n_shown") == 0, F.lit(False)))
+    rows = landed(rows.withColumn("gives", F.col("shown") & ~F.col("bare")))
+    takers = rows.where(F.col("gives")).select(F.col("up").alias("id")).where(F.col("id").isNotNull()).distinct().withColumn("takes", F.lit(True))
+    rows = landed(rows.join(takers, "id", "left"))
+    own = F.col("takes").isNull() & ~F.col("bare")
+    links = rows.select(
+        "id", F.when(F.col("gives"), F.col("up")).alias("up"),
+        F.when(own, F.col("start_ns")).alias("low"), F.when(own, F.col("end_ns")).alias("high"),
+    )
+    bounds, _ = fold_up(links, {"low": F.min, "high": F.max})
+
+    def kept(bound: str, times: str) -> Column:
+        return F.when(~F.col("bare"), F.coalesce(bound, times))
+
+    return rows.join(bounds, "id").select(
+        "node", kept("low", "start_ns").alias("effective_start_ns"), kept("high", "end_ns").alias("effective_end_ns")
+    )
 
 
 def tree_counts(tree: DataFrame, keys: list[str] | None = None) -> DataFrame:

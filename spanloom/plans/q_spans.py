@@ -12,6 +12,7 @@ from spanloom.operators import enrich, filters, intervals, lint, metrics, tree
 from spanloom.plans import fixtures as fx
 from spanloom.plans.q_ci import facts_of
 from spanloom.plans.registry import query
+from spanloom.session import cut
 
 # The user rules of the rule query.
 RULES = [
@@ -336,9 +337,9 @@ t AS (
 SELECT span_id, depth, ids FROM t UNION ALL SELECT span_id, depth, ids FROM t WHERE seq % 7 = 0)""")
 def deep_tree(spark, folder):
     chained = enrich.enrich(deep_spans(spark, folder), enrich.chain(ci=False))
-    flat = tree.flatten(tree.build_span_tree(chained))
-    last = F.transform("id_path", lambda n: F.regexp_extract(n, "([0-9a-f]{16})(#[0-9]+)?$", 1))
-    return flat.select("span_id", "depth", F.array_join(last, "/").alias("ids"))
+    flat = cut(tree.flatten(tree.build_span_tree(chained)))
+    ids = tree.paths(flat.select("node", "parent", "span_id"), "span_id").select("node", F.array_join("path", "/").alias("ids"))
+    return flat.join(ids, "node").select("span_id", "depth", "ids")
 
 
 @query("P5_epoch_conversion", ["spans"], """
@@ -378,10 +379,8 @@ k AS (SELECT c.node, c.span_id, coalesce(p.start_ns, c.start_ns) AS a, coalesce(
   LEFT JOIN n p ON p.source_id = c.source_id AND p.trace_id = c.trace_id AND p.span_id = c.parent_span_id)
 SELECT span_id, depth, row_number() OVER (ORDER BY a, b, d, depth, e, f, node) AS place FROM k""")
 def preorder(spark, folder):
-    from spanloom.operators.ordered import global_rank
-
-    flat = tree.flatten(tree_of(spark, folder)).select("span_id", "depth", "path", "node")
-    return global_rank(flat, [], ["path", "node"], "place").select("span_id", "depth", "place")
+    flat = tree.flatten(tree_of(spark, folder))
+    return flat.select("span_id", "depth", (F.col("pre") + 1).alias("place"))
 
 
 @query("H3_descendants_ancestors", ["spans"], """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,3 +61,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and stops lineage growth."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def landed(df: DataFrame) -> DataFrame:
+    """Write a table beside the checkpoints and read it back: like :func:`cut`, for use in rounds.
+
+    A checkpoint keeps the size estimate of the plan it replaces, and a join multiplies estimates; over rounds they
+    grow without bound.  Files have a size of their own.  Order and partitions are not kept.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/landed-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

@@ -1,7 +1,11 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import enrich, tree
 from spanloom.schemas import conform_spans
+from spanloom.session import cut
 
 
 def test_repeated_ids_keep_their_rows(spark):
@@ -18,4 +22,119 @@ def test_repeated_ids_keep_their_rows(spark):
     assert tree.sibling_rank(built).count() == len(rows)
     assert tree.node_ids(built).count() == len(rows)
     below = next(r for r in flat if r["name"] == "below")
-    assert below["id_path"][-2] == next(r["node"] for r in flat if r["name"] == "Run x" and r["start_ns"] == 20_000)
+    assert below["parent"] == next(r["node"] for r in flat if r["name"] == "Run x" and r["start_ns"] == 20_000)
+    assert sorted(r["pre"] for r in flat) == list(range(len(rows)))
+
+
+def shape(spark, rows):
+    """(node, parent, start, end, name) as a tree."""
+    df = spark.createDataFrame(rows, "node string, parent string, start_ns long, end_ns long, name string")
+    return df.withColumn("hints", F.struct(F.lit(0).alias("sort_priority"))).repartition(3)
+
+
+def plain_order(rows):
+    """{node: (depth, pre, last)} by walking; nodes no root reaches are missing."""
+    kids = {}
+    for node, parent, start, *_ in rows:
+        kids.setdefault(parent, []).append((start, node))
+    out = {}
+
+    def walk(node, depth):
+        pre = len(out)
+        out[node] = None
+        for _, child in sorted(kids.get(node, [])):
+            walk(child, depth + 1)
+        out[node] = (depth, pre, len(out) - 1)
+
+    for _, node in sorted(kids.get(None, [])):
+        walk(node, 0)
+    return out
+
+
+def plain_bounds(rows, hidden):
+    kids = {}
+    for node, parent, *_ in rows:
+        kids.setdefault(parent, []).append(node)
+    own = {r[0]: (r[2], r[3]) for r in rows}
+
+    def bounds(node):
+        below = kids.get(node, [])
+        if not below:
+            return own[node]
+        shown = [bounds(c) for c in below if not hidden(c)]
+        if not shown:
+            return (None, None)
+        shown = [b for b in shown if b[0] is not None]
+        return (min(b[0] for b in shown), max(b[1] for b in shown)) if shown else own[node]
+
+    return {n: bounds(n) for n in own}
+
+
+def random_tree(seed, n):
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        up = None if i == 0 or r.random() < 0.03 else r.randrange(max(0, i - 3), i) if seed % 2 else r.randrange(i)
+        start = r.randrange(50)
+        rows.append((f"n{i}", None if up is None else f"n{up}", start, start + r.randrange(30), r.choice(["ab", "Cd"])))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_flat_tree_equals_a_walk(spark, seed):
+    rows = random_tree(seed, 150)
+    cycle = [("x", "y", 1, 2, "ab"), ("y", "x", 1, 2, "ab"), ("z", "x", 1, 2, "ab"), ("lost", "nowhere", 1, 2, "ab"), ("under", "lost", 1, 2, "ab")]
+    flat = cut(tree.flatten(shape(spark, rows + cycle)))
+    got = {r["node"]: (r["depth"], r["pre"], r["last"]) for r in flat.collect()}
+    assert got == plain_order(rows)
+    parent = {r[0]: r[1] for r in rows}
+
+    def above(node):
+        while parent[node] is not None:
+            node = parent[node]
+            yield node
+
+    chosen = {f"n{i}" for i in range(0, 150, 11)}
+    picked = spark.createDataFrame([(c,) for c in chosen], "node string")
+    assert {r["node"] for r in tree.descendants(flat, picked).collect()} == {n for n in parent if n in chosen or chosen & set(above(n))}
+    assert {r["node"] for r in tree.ancestors(flat, picked).collect()} == {a for c in chosen for a in above(c)}
+    hits = {r[0] for r in rows if r[4] == "Cd"}
+    assert {r["node"]: r["is_match"] for r in tree.search(flat, "cD").collect()} == {n: n in hits for n in hits | {a for c in hits for a in above(c)}}
+    opened = {n for n in parent if hash(n[1:]) % 3}
+    seen = tree.below_expanded(flat, spark.createDataFrame([(c,) for c in opened], "node string"))
+    assert {r["node"] for r in seen.collect()} == {n for n in parent if set(above(n)) <= opened}
+    want = plain_bounds(rows, lambda n: int(n[1:]) % 3 == 0)
+    times = tree.effective_times(flat, F.substring("node", 2, 9).cast("int") % 3 == 0).collect()
+    assert {r["node"]: (r["effective_start_ns"], r["effective_end_ns"]) for r in times} == want
+
+
+def jobs(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    out = run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_a_long_chain_takes_few_jobs(spark):
+    n = 2_000
+    rows = spark.range(n).select(
+        F.format_string("c%d", "id").alias("node"), F.when(F.col("id") > 0, F.format_string("c%d", F.col("id") - 1)).alias("parent"),
+        F.col("id").alias("start_ns"), (F.lit(2 * n) - F.col("id")).alias("end_ns"), F.lit("x").alias("name"), F.struct(F.lit(0).alias("sort_priority")).alias("hints"),
+    )
+    flat, took = jobs(spark, "chain", lambda: cut(tree.flatten(rows)))
+    assert flat.where(F.col("depth") == F.col("start_ns")).where(F.col("pre") == F.col("start_ns")).where(F.col("last") == n - 1).count() == n
+    times, more = jobs(spark, "bounds", lambda: cut(tree.effective_times(flat, F.lit(False))))
+    assert times.where((F.col("effective_start_ns") == n - 1) & (F.col("effective_end_ns") == n + 1)).count() == n
+    print("jobs", took, more)
+
+
+def test_a_star(spark):
+    n = 20_000
+    rows = spark.range(n).select(
+        F.format_string("c%d", "id").alias("node"), F.when(F.col("id") > 0, F.lit("c0")).alias("parent"),
+        F.col("id").alias("start_ns"), (F.col("id") + 1).alias("end_ns"), F.lit("x").alias("name"), F.struct(F.lit(0).alias("sort_priority")).alias("hints"),
+    )
+    flat = cut(tree.flatten(rows))
+    assert flat.where(F.col("pre") == F.col("start_ns")).count() == n
+    top = tree.effective_times(flat, F.lit(False)).where("node = 'c0'").first()
+    assert (top["effective_start_ns"], top["effective_end_ns"]) == (1, n)
