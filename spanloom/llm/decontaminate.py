@@ -127,7 +127,7 @@ def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     spelled = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= SHINGLE)
     spelled = spelled.select("item_id", F.size("w").alias("n"), shingles(F.col("w")).alias("item_shingles"))
     known = spelled.select("n", F.explode("item_shingles").alias("h")).distinct()
-    n_known, n_items = known.count(), spelled.count()
+    n_known = known.count()
     # an id may stand for several texts
     text = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.col("text").alias("_text"))
     own = text.select("doc_id", "hash", words(F.col("_text")).alias("w")).where(F.size("w") >= SHINGLE)
@@ -152,9 +152,8 @@ def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     distinct = windows.groupBy("key", "cut").agg(F.first("bag").alias("bag"))
     prints = fingerprints(distinct.select("key", "cut", F.explode("bag").alias("h")), ["key", "cut"], "h")
     item_prints = fingerprints(spelled.select("item_id", F.explode("item_shingles").alias("h")), ["item_id"], "h")
-    near = _near(item_prints)
-    n_near = 697 * BLOCKS * n_items
-    found = prints.select("key", "cut", "fp", F.inline(_blocks(F.col("fp")))).join(_small(near, n_near), ["block", "value"])
+    # not broadcast: 2,788 rows an item
+    found = prints.select("key", "cut", "fp", F.inline(_blocks(F.col("fp")))).join(_near(item_prints), ["block", "value"])
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     found = found.where(distance <= RADIUS).select("key", "cut", "item_id", distance.alias("distance")).distinct()
     pairs = found.join(distinct, ["key", "cut"]).join(spelled.select("item_id", "item_shingles"), "item_id")
