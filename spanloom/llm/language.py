@@ -6,9 +6,11 @@ the code length of a byte depends on its context alone and is a table lookup:
 all bytes of a task's texts are scored by array operations, for all languages at
 once.
 
-Training takes at most ``TRAIN_DOCS`` whole texts of each language (by rank of a
-hash of the id, texts of at most ``TRAIN_BYTES`` bytes), which bounds what reaches
-the driver and what is broadcast; more than ``MAX_LANGUAGES`` languages are refused.  Scoring reads every byte of every text.
+Training takes at most ``TRAIN_DOCS`` whole texts of each language and ends with the
+one that passes ``TRAIN_DOCS * TRAIN_BYTES`` bytes: texts of at most ``TRAIN_BYTES`` by
+hash of the id, longer ones only where these are too few.  That bounds the task that
+fits the trees and the tables that are broadcast; more than ``MAX_LANGUAGES`` languages
+are refused.  Scoring reads every byte of every text.
 
 Defined results: a null text or a text without a letter is ``und`` with score 0;
 with no training rows every text is ``und``; ties go to the language that is first
@@ -17,6 +19,7 @@ by code point; repeated rows get equal results; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,25 +129,37 @@ def _bytes(text: str) -> bytes:
 
 
 def train(docs: DataFrame, lang: str = "lang", usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", per_language: int = TRAIN_DOCS, max_bytes: int = TRAIN_BYTES) -> ContextTrees:
-    """Fit the trees on at most ``per_language`` whole texts of each language."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= max_bytes))
+    """Fit the trees on at most ``per_language`` whole texts of each language, in a task; the driver gets the tables.
+
+    Texts of up to ``max_bytes`` come first, by hash; a language that lacks them takes longer ones, the shortest first.
+    Its texts end with the one that passes ``per_language * max_bytes`` bytes.
+    """
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text_col).isNotNull())
     if usable is not None:
         rows = rows.where(usable)
-    # Keys are ranked without the texts; each task sends the window its first few of a language.
-    key = F.xxhash64(F.col(id_col).cast("string"), F.xxhash64(text_col))
+    # Places are ranked without the texts; each task sends the window its first few of a language.
+    size = F.octet_length(text_col)
+    key = F.struct(F.when(size > max_bytes, size).otherwise(0).alias("long"), F.xxhash64(F.col(id_col).cast("string"), F.xxhash64(text_col)).alias("hash"))
     order = Window.partitionBy("lang").orderBy("key")
-    ranked = rows.select(F.col(lang).alias("lang"), key.alias("key")).withColumn("rank", F.row_number().over(order))
-    last = ranked.where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("key").alias("last"))
+    ranked = rows.select(F.col(lang).alias("lang"), key.alias("key"), size.cast("long").alias("size")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = ranked.withColumn("before", before).where(F.col("before") < per_language * max_bytes).groupBy("lang").agg(F.max("key").alias("last"))
     languages = last.count()
     if languages > MAX_LANGUAGES:
         raise ValueError(f"{languages} languages: the trees of more than {MAX_LANGUAGES} are not meant to be held by every task")
     # MAX_LANGUAGES rows at most are broadcast
     picked = rows.select(F.col(lang).alias("lang"), F.col(text_col).alias("text"), key.alias("key"))
     picked = picked.join(F.broadcast(last), "lang").where(F.col("key") <= F.col("last")).dropDuplicates(["lang", "key"]).select("lang", "text")
-    texts: dict[str, list[str]] = {}
-    for row in picked.collect():  # bounded: per_language x max_bytes for each language
-        texts.setdefault(row["lang"], []).append(row["text"])
-    return ContextTrees(texts)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: dict[str, list[str]] = {}  # bounded: a byte budget for each language
+        for batch in batches:
+            for name, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                texts.setdefault(name, []).append(text)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(ContextTrees(texts))], pa.binary())], ["trees"])
+
+    found = picked.repartition(1).mapInArrow(fit, "trees binary").collect()
+    return pickle.loads(found[0]["trees"]) if found else ContextTrees({})
 
 
 def identify(docs: DataFrame, trees: ContextTrees, text_col: str = "text") -> DataFrame:

@@ -4,7 +4,9 @@ import hashlib
 from collections import Counter
 
 import corpus_pipeline
-from spanloom.llm import fingerprints, queries
+from pyspark.sql import functions as F
+
+from spanloom.llm import fingerprints, language, queries
 from spanloom.llm.common import documents
 
 from . import brute
@@ -71,3 +73,28 @@ def test_shard_query(spark):
         by.setdefault(r["shard"], []).append(r["slot"])
     assert all(sorted(v) == list(range(len(v))) for v in by.values()) and len(by) == 8
     assert {r["law"] for r in out} == {"rows"} and {r["grown_shard"] for r in out} == {None}
+
+
+def test_long_texts_are_learned(spark):
+    """Languages whose texts are all long are learned from them, and the pipeline keeps documents if nothing was learned."""
+    texts = {"en": "the cat sat on the mat and the dog ran over the hill ", "de": "der hund lief durch den wald und die katze sah zu "}
+    rows = [(i, lang, t * (400 + i)) for i in range(6) for lang, t in texts.items()]
+    docs = spark.createDataFrame([(2 * i + (lang == "de"), t, lang, "s", len(t)) for i, lang, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    trees = language.train(docs)
+    assert trees.languages == ["de", "en"]
+    out = language.identify(docs, trees)
+    assert out.where("lang = lang_pred").count() == len(rows)
+    unknown = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, unknown, SF).count() == len(rows)
+
+
+def test_pipeline_of_awkward_tables(spark, edge, empty, tmp_path):
+    """Nulls, repeated ids, empty texts and extra columns pass all stages; an empty table gives no rows."""
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    for name, docs in (("edge", edge), ("empty", empty)):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        items.write.parquet(f"{folder}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, folder).collect()
+        assert bool(out) == (name == "edge")
+        assert {r["doc_id"] for r in out} <= {r["doc_id"] for r in docs.select("doc_id").collect()}
