@@ -13,8 +13,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go."""
+    """Documents without a language go; if no language could be learned, all stay."""
     trees = language.train(docs, usable=remainder(F.col("doc_id"), 3) != 1)
+    if not trees.languages:
+        return docs.select(*COLUMNS)
     return language.identify(docs.select(*COLUMNS), trees).where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
 
 
