@@ -220,11 +220,12 @@ def _retry_links(run_id: Column, attempt: Column) -> Column:
     return F.when(attempt > 1, F.array(link))
 
 
-def billable_by_run(timing: DataFrame) -> DataFrame:
-    """Map of ``billable.<os>_ms`` per run from (run_id, os, total_ms) rows."""
+def billable_by_run(timing: DataFrame, runs: DataFrame) -> DataFrame:
+    """Map of ``billable.<os>_ms`` per completed run from (run_id, os, total_ms) rows; a run that goes on has none yet."""
     key = F.concat(F.lit("billable."), F.lower("os"), F.lit("_ms"))
+    done = runs.where(F.col("status") == "completed").select("run_id")
     return (
-        timing.where(F.col("total_ms") > 0)
+        timing.where(F.col("total_ms") > 0).join(done, "run_id", "left_semi")
         .groupBy("run_id", key.alias("key")).agg(F.sum("total_ms").cast("string").alias("value"))
         .groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("billable"))
     )
@@ -282,7 +283,7 @@ def workflow_spans(
     none = F.create_map().cast("map<string,string>")
     more = []
     if timing is not None:
-        rows = rows.join(billable_by_run(timing), "run_id", "left")
+        rows = rows.join(billable_by_run(timing, runs), "run_id", "left")
         more.append(F.coalesce("billable", none))
     if artifacts is not None:
         rows = rows.join(artifacts_by_run(artifacts), "run_id", "left")

@@ -108,10 +108,9 @@ SELECT w.run_id, md5(w.run_id || '-' || run_attempt) AS trace_id, lpad(lower(to_
   CASE WHEN run_attempt > 1 THEN md5(w.run_id || '-' || (run_attempt - 1)) || ':' || substr(md5('wf-attempt-' || w.run_id || '-' || (run_attempt - 1)), 1, 16) ELSE '' END AS link
 FROM windows w LEFT JOIN fmt USING (run_id)""")
 def workflow_spans(spark, folder):
-    done = fx.runs(spark, folder).where(F.col("status") == "completed").select("run_id")
     spans = ci_spans.workflow_spans(
         fx.runs(spark, folder), fx.clean_jobs(spark, folder), fx.sources(spark, folder),
-        fx.timing(spark, folder).join(done, "run_id"), fx.artifacts(spark, folder),
+        fx.timing(spark, folder), fx.artifacts(spark, folder),
     )
     a = F.col("attrs")
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import gzip
 import uuid
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.operators import ci_spans, metrics
+from spanloom.operators import ci_spans, enrich, metrics, trends
 from spanloom.plans import fixtures as fx
 from spanloom.plans.q_ci import facts_of
-from spanloom.plans.q_sources import otlp_docs, shown, want
+from spanloom.plans.q_sources import otlp_docs, shown, stdout_docs, want
 from spanloom.plans.registry import query
 from spanloom.session import ensure_checkpoint_dir
 from spanloom.sinks import spans as sink
@@ -120,7 +123,62 @@ def read_traces_auto(spark, folder):
     return shown(traces.read_traces(spark, files))
 
 
-@query("R1_R2_streamed_spans", ["spans"], """
+@query("S8_S14_mixed_folder", ["spans"], want())
+def mixed_folder(spark, folder):
+    """One folder of OTLP and stdout lines, plain and compressed, where no name tells which."""
+
+    def packed(make):
+        def run(batches):
+            for batch in batches:
+                lines = [t + b"\n" for t in batch.column("data").to_pylist()]
+                if lines:
+                    yield pa.RecordBatch.from_arrays([pa.array([make(b"".join(lines))], pa.binary())], ["data"])
+
+        return run
+
+    out = landing(spark, "mixed")
+    spans = fx.generic_spans(spark, folder)
+    part = F.pmod("seq", F.lit(4))
+    for i, (docs, make) in enumerate([(otlp_docs, None), (otlp_docs, gzip.compress), (stdout_docs, None), (stdout_docs, zstandard.compress)]):
+        rows = docs(spans.where(part == i)).select("text")
+        if make is not None:
+            rows = rows.select(F.col("text").cast("binary").alias("data")).mapInArrow(packed(make), "data binary").select(F.col("data").cast("string").alias("text"))
+        rows.write.option("maxRecordsPerFile", 1 if make else 0).mode("append").text(out)
+    return shown(traces.read_traces(spark, out))
+
+
+@query("R2_live_totals", ["spans"], """
+SELECT count(*) AS spans, count(CASE WHEN event_type = 'error' OR (event_type = 'view' AND http_status >= 400 AND end_ns > start_ns) THEN 1 END) AS failures FROM spans""")
+def live_totals(spark, folder):
+    """Payload files taken in over several triggers; the totals of the last one are those of all spans."""
+    files = landed(otlp_docs(fx.generic_spans(spark, folder)).repartition(4), "live")
+    spans = ingest.stream_spans(ingest.stream_lines(spark, files, files_per_trigger=1))
+    seen = enrich.enrich(spans, enrich.chain(ci=False))
+    totals = seen.agg(F.count(F.lit(1)).alias("spans"), F.count_if(F.col("hints.outcome") == "failure").alias("failures"))
+    summary = ingest.live_summary(spans)
+    out, parts = landing(spark, "totals"), landing(spark, "summary")
+
+    def keep(path):
+        return lambda batch, number: batch.withColumn("trigger", F.lit(number)).write.mode("append").parquet(path)
+
+    for df, path in ((totals, out), (summary, parts)):
+        df.writeStream.outputMode("complete").option("checkpointLocation", landing(spark, "progress")).trigger(availableNow=True).foreachBatch(keep(path)).start().awaitTermination()
+    last = spark.read.parquet(parts).select(F.max("trigger").alias("trigger"))
+    return spark.read.parquet(out).join(last, "trigger").select("spans", "failures")
+
+
+@query("R4_repeated_payloads", ["spans"], "SELECT span_id, name FROM spans")
+def repeated_payloads(spark, folder):
+    """Every payload is delivered twice; each span is taken in once."""
+    docs = otlp_docs(fx.generic_spans(spark, folder)).select("text")
+    files = landed(docs.unionByName(docs), "twice")
+    out = landing(spark, "once")
+    once = ingest.once_per_span(ingest.stream_spans(ingest.stream_lines(spark, files)), "3650 days")
+    once.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", landing(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("span_id", "name")
+
+
+@query("R1_streamed_spans", ["spans"], """
 SELECT 'span' AS part, span_id AS key, name FROM spans UNION ALL SELECT 'reject', CAST(event_id AS VARCHAR), 'bad ' || event_id FROM events WHERE event_type = 'error'""")
 def streamed_spans(spark, folder):
     """Payload files, with lines that are none, taken in by streams that stop when all is read."""
@@ -135,7 +193,7 @@ def streamed_spans(spark, folder):
     return taken.unionByName(lines.select(F.lit("reject").alias("part"), F.regexp_extract("text", r"(\d+)", 1).alias("key"), F.col("text").alias("name")))
 
 
-@query("R4_webhook_sources", [], """
+@query("R3_webhook_sources", [], """
 SELECT 'o/r' || (user_id % 5) || '/commit/' || md5(CAST(event_id AS VARCHAR)) AS source, event_type AS action FROM events WHERE user_id % 5 > 0""")
 def webhook_sources(spark, folder):
     """Every event as a run or job hook; those of one user in five name no repository and are rejected."""
@@ -156,7 +214,7 @@ def span_json_round_trip(spark, folder):
     return shown(traces.read_traces(spark, out, "stdout")).select("trace_id", "span_id", "parent_span_id", "name", "kind", "start_ns", "end_ns", "status_code")
 
 
-@query("K6_K7_written_report", ["facts"], """
+@query("K7_written_report", ["facts"], """
 WITH s AS (SELECT source_id, count(*) AS jobs FROM facts GROUP BY 1)
 SELECT 'run_summary' AS part, source_id, 0 AS n FROM s UNION ALL SELECT 'pending', source_id, count(*) FROM facts WHERE is_pending GROUP BY source_id""")
 def written_report(spark, folder):
@@ -170,3 +228,45 @@ def written_report(spark, folder):
     names = spark.read.schema("display_name string").json(f"{out}/pending")
     pending = names.select(F.regexp_extract("display_name", r"(\d+)", 1).cast("int").alias("source_id")).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
     return runs.unionByName(pending.select(F.lit("pending").alias("part"), "source_id", "n"))
+
+
+@query("K6_trends_document", ["runs"], """
+SELECT strftime(make_timestamp(created_ms * 1000), '%Y-%m-%d') AS day, count(*) AS runs,
+  round(count(CASE WHEN conclusion = 'success' THEN 1 END) * 100.0 / count(*), 6) AS success_rate FROM runs GROUP BY 1""")
+def trends_document(spark, folder):
+    """Series of a trend result written as one document of parts and read back."""
+    runs = fx.runs(spark, folder)
+    parts = {"duration_trend": trends.duration_series(runs), "success_trend": trends.success_series(runs), "summary": trends.trend_summary(runs)}
+    out = landing(spark, "trends")
+    sink.trends_document(parts).write.json(out)
+    back = spark.read.schema("part string, json string").json(out).where("part = 'success_trend'")
+    row = back.select(F.from_json("json", "day date, value double, count bigint").alias("r"))
+    return row.select(F.date_format("r.day", "yyyy-MM-dd").alias("day"), F.col("r.count").alias("runs"), F.round("r.value", 6).alias("success_rate"))
+
+
+@query("X4_exporters", ["spans"], """
+SELECT 'json' AS exporter, span_id FROM spans UNION ALL SELECT 'table', span_id FROM spans UNION ALL SELECT 'own', trace_id || ':' || count(*) FROM spans GROUP BY trace_id""")
+def exporters(spark, folder):
+    """The same spans through two of the library's exporters and one of the caller's."""
+    spans = fx.generic_spans(spark, folder)
+    objects, table, own = landing(spark, "objects"), landing(spark, "table"), landing(spark, "own")
+
+    def counts(df):
+        df.groupBy("trace_id").count().write.parquet(own)
+
+    sink.export(spans, [lambda df: sink.write_span_json(df, objects), lambda df: sink.write_span_table(df, table), counts])
+    read = traces.read_traces(spark, objects, "stdout").select(F.lit("json").alias("exporter"), "span_id")
+    read = read.unionByName(spark.read.parquet(table).select(F.lit("table").alias("exporter"), "span_id"))
+    return read.unionByName(spark.read.parquet(own).select(F.lit("own").alias("exporter"), F.concat("trace_id", F.lit(":"), F.col("count").cast("string")).alias("span_id")))
+
+
+@query("X5_own_provider", ["facts"], """
+SELECT job_id, name, start_ms, end_ms FROM facts WHERE NOT is_pending""")
+def own_provider(spark, folder):
+    """Runs and jobs of a caller's own store (Parquet with its own names), given as tables of the provider schema."""
+    run_store, job_store = landing(spark, "own-runs"), landing(spark, "own-jobs")
+    fx.runs(spark, folder).withColumnRenamed("run_id", "build").write.parquet(run_store)
+    fx.jobs(spark, folder).withColumnRenamed("run_id", "build").write.parquet(job_store)
+    runs, jobs = (spark.read.parquet(p).withColumnRenamed("build", "run_id") for p in (run_store, job_store))
+    facts = ci_spans.job_facts(runs, jobs)
+    return facts.where(~F.col("is_pending")).select("job_id", "name", "start_ms", "end_ms")

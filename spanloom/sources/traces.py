@@ -7,8 +7,12 @@ line each, and parses them with ``from_json``; other columns named in ``keep``
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -350,6 +354,8 @@ def chrome_spans(docs: DataFrame) -> DataFrame:
 # Markers of the formats in the order they are tried.
 FORMATS = ["otlp", "jaeger", "chrome", "zipkin", "flat", "stdout"]
 LINE_FORMATS = {"otlp": otlp_spans, "flat": flat_spans, "stdout": stdout_spans}
+MAGIC = {"gzip": b"\x1f\x8b", "zstd": b"\x28\xb5\x2f\xfd"}
+PACKED = "packed"
 DOCUMENT_FORMATS = {"jaeger": jaeger_spans, "chrome": chrome_spans, "zipkin": zipkin_spans}
 
 
@@ -370,7 +376,9 @@ def document_format(text: Column) -> Column:
 
 def file_formats(lines: DataFrame) -> DataFrame:
     """Format of every file from its lines; one flag row per file and task is shuffled."""
-    flags, cases = [], []
+    begins = [F.substring(F.col("text").cast("binary"), 1, len(magic)) == F.lit(magic) for magic in MAGIC.values()]
+    flags = [F.bool_or(reduce(lambda a, b: a | b, begins)).alias("_packed")]
+    cases = [(F.col("_packed"), F.lit(PACKED))]
     for name, tests in _markers(F.col("text")):
         seen = []
         for i, test in enumerate(tests):
@@ -380,6 +388,36 @@ def file_formats(lines: DataFrame) -> DataFrame:
     return lines.groupBy("file").agg(*flags).select("file", first_case(cases, F.lit("stdout")).alias("format"))
 
 
+def _unpacked(data: bytes) -> bytes:
+    """Every member of gzip or zstd data; what follows the last one (a line end) is left."""
+    out = []
+    while True:
+        if data.startswith(MAGIC["gzip"]):
+            one = zlib.decompressobj(wbits=31)
+        elif data.startswith(MAGIC["zstd"]):
+            one = zstandard.ZstdDecompressor().decompressobj()
+        else:
+            return b"".join(out)
+        out.append(one.decompress(data))
+        data = one.unused_data
+
+
+def unpack(files: DataFrame) -> DataFrame:
+    """(file, text) of compressed files, whatever their names; broken data fails with the file's name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a file at a time
+                name = batch.column("file")[i].as_py()
+                try:
+                    text = _unpacked(batch.column("data")[i].as_py()).decode("utf-8", "replace")
+                except (zlib.error, zstandard.ZstdError) as e:
+                    raise ValueError(f"{name}: {e}") from e
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([text])], ["file", "text"])
+
+    return files.select("file", F.col("text").cast("binary").alias("data")).mapInArrow(run, "file string, text string")
+
+
 def parse_documents(docs: DataFrame) -> DataFrame:
     """Documents of any mix of formats, told apart one by one."""
     kinds = docs.withColumn("_format", document_format(F.col("text")))
@@ -397,7 +435,7 @@ def read_traces(
     spark: SparkSession, path: str | list[str], format: str = "auto", sources: DataFrame | None = None,
     pretty: bool = False,
 ) -> DataFrame:
-    """Spans of trace files.  ``.gz`` and ``.zst`` files are read by extension.
+    """Spans of trace files.  ``.gz`` and ``.zst`` files are read by extension, with ``auto`` also by their first bytes.
 
     OTLP lines, stdout and flat spans are split by line.  Jaeger, Zipkin and
     Chrome files (and pretty-printed OTLP) are documents, one row per file.
@@ -422,15 +460,22 @@ def read_traces(
         files = kinds.where(F.col("format") == name).select("file")
         parts.append(parser(tagged(lines.join(files, "file", "left_semi"))))
     # A document is one row however it is read; its lines meet by file.
-    placed = spark.read.text(path).select(
+    placed = spark.read.text(path, lineSep="\n").select(
         F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"),
         F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"),
     )
-    chosen = placed.join(kinds.where(F.col("format").isin(*DOCUMENT_FORMATS)), "file")
+    chosen = placed.join(kinds.where(F.col("format").isin(*DOCUMENT_FORMATS, PACKED)), "file")
     documents = chosen.groupBy("file", "format").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("lines"))
     documents = documents.select("file", "format", F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("text"))
+    # Compressed files come as the bytes their lines make up, and show their format when unpacked.
+    packed = documents.where(F.col("format") == PACKED).select("file", F.concat("text", F.lit("\n")).alias("text"))
+    opened = unpack(packed).withColumn("format", document_format(F.col("text")))
     for name, parser in DOCUMENT_FORMATS.items():
-        parts.append(parser(tagged(documents.where(F.col("format") == name).drop("format"))))
+        both = documents.unionByName(opened).where(F.col("format") == name)
+        parts.append(parser(tagged(both.drop("format"))))
+    for name, parser in LINE_FORMATS.items():
+        own = opened.where(F.col("format") == name).select("file", F.explode(F.split("text", "\r\n|\r|\n")).alias("text"))
+        parts.append(parser(tagged(own)))
     return reduce(DataFrame.unionByName, parts)
 
 
