@@ -8,7 +8,9 @@ are whole milliseconds, so results do not depend on summation order.
 from __future__ import annotations
 
 import datetime as dt
+import heapq
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -424,17 +426,18 @@ def sampling_info(runs: DataFrame, sample: bool = True, confidence: float = 0.95
 
 
 def _quotas(sizes: list[int], size: int) -> list[int]:
-    """Proportional quotas per bucket, moved one by one until they add up."""
+    """Whole shares of ``size`` in proportion to ``sizes`` that add up to it; ``size`` is below the sum of ``sizes``.
+
+    What rounding leaves over goes to the places first in order of room, a bucket with room r having the places
+    r, r - 1, ..., 1; what it gives too much is taken from the largest shares in the same way.
+    """
     total = sum(sizes)
-    quota = [min(n, math.floor(n / total * size + 0.5)) for n in sizes]
-    while sum(quota) < size:
-        slack = [n - q for n, q in zip(sizes, quota)]
-        if max(slack) <= 0:
-            break
-        quota[slack.index(max(slack))] += 1
-    while sum(quota) > size:
-        quota[quota.index(max(quota))] -= 1
-    return quota
+    share = [(2 * n * size + total) // (2 * total) for n in sizes]
+    rest = size - sum(share)
+    room = [n - q if rest > 0 else q for n, q in zip(sizes, share)]
+    places = ((r - k, -i) for i, r in enumerate(room) for k in range(min(r, abs(rest))))
+    moved = Counter(-i for _, i in heapq.nlargest(abs(rest), places))
+    return [q + (moved[i] if rest > 0 else -moved[i]) for i, q in enumerate(share)]
 
 
 def with_time_bucket(runs: DataFrame, low_ms: int, high_ms: int, buckets: int) -> DataFrame:

@@ -25,7 +25,9 @@ stepped AS (SELECT said.*, CASE WHEN short THEN 2 WHEN t BETWEEN base + day AND
     WHEN t >= base + 15 * day THEN 2 ELSE 1 END AS number FROM said, c),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY job_id, number ORDER BY pos) AS line_num FROM stepped),
 b AS (SELECT numbered.*, base + CASE number WHEN 1 THEN day ELSE 15 * day END AS step_start, base + CASE number WHEN 1 THEN 13 * day ELSE 27 * day END AS step_end FROM numbered, c),
-lines AS (SELECT * FROM b WHERE NOT short)
+lines AS (SELECT *, CASE WHEN bool_or(starts_with(content, '> Task :')) OVER w THEN 'gradle' WHEN bool_or(starts_with(content, '[')) OVER w THEN 'bazel'
+    WHEN bool_or(content IN ('Getting action download info', 'Prepare workflow directory')) OVER w THEN 'setup-job' ELSE 'timestamp' END AS fmt
+  FROM b WHERE NOT short WINDOW w AS (PARTITION BY job_id, number))
 """
 
 
@@ -33,9 +35,11 @@ def lines_of(spark, folder):
     return logs.parse_lines(logs.assign_steps(fx.raw_log_lines(spark, folder), fx.log_steps(spark, folder)))
 
 
-def bounded(spark, folder, kind):
-    rows = lines_of(spark, folder).where(F.col("job_id") % 4 == kind)
-    return rows.join(logs.step_bounds(fx.log_steps(spark, folder)), logs.STEP)
+def of_format(spark, folder, name):
+    """The lines of every step that is told to be of a format, with the step's bounds."""
+    rows = lines_of(spark, folder)
+    told = logs.detect_formats(rows).where(F.col("format") == name).select(*logs.STEP)
+    return rows.join(told, logs.STEP).join(logs.step_bounds(fx.log_steps(spark, folder)), logs.STEP)
 
 
 def shown(spans, *keys):
@@ -59,16 +63,16 @@ def format_detection(spark, folder):
 @query("G2_W8_gradle_spans", [], LINES + """
 SELECT job_id, CAST(number AS INTEGER) AS number, regexp_extract(content, '^> Task (:\\S+)(.*)$', 1) AS name, t AS start_t,
   coalesce(lead(t) OVER (PARTITION BY job_id, number ORDER BY line_num), step_end) AS end_t, CASE WHEN e = 'view' THEN 'UP-TO-DATE' ELSE 'SUCCESS' END AS outcome,
-  CAST(line_num AS VARCHAR) AS line FROM lines WHERE kind = 0 AND e IN ('view', 'click')""")
+  CAST(line_num AS VARCHAR) AS line FROM lines WHERE fmt = 'gradle' AND e IN ('view', 'click')""")
 def gradle_spans(spark, folder):
-    return shown(logs.gradle_spans(bounded(spark, folder, 0)), ("gradle.task.outcome", "outcome"), ("log.line_number", "line"))
+    return shown(logs.gradle_spans(of_format(spark, folder, "gradle")), ("gradle.task.outcome", "outcome"), ("log.line_number", "line"))
 
 
 @query("G3_W11_W14_bazel_spans", [], LINES + """,
-f AS (SELECT job_id, number, min(line_num) AS first_action FROM lines WHERE kind = 1 AND e IN ('view', 'click') GROUP BY 1, 2),
+f AS (SELECT job_id, number, min(line_num) AS first_action FROM lines WHERE fmt = 'bazel' AND e IN ('view', 'click') GROUP BY 1, 2),
 m AS (SELECT l.*, CASE e WHEN 'view' THEN 'Compiling f' || (event_id % 2) WHEN 'click' THEN k || ' / 9 tests; no actions running' ELSE 'Loading' END AS label,
     CASE e WHEN 'view' THEN 'Compiling f' || (event_id % 2) WHEN 'click' THEN 'waiting (no actions running)' ELSE 'Loading' END AS mk
-  FROM lines l LEFT JOIN f USING (job_id, number) WHERE kind = 1 AND (e IN ('view', 'click') OR (e = 'signup' AND (first_action IS NULL OR line_num < first_action)))),
+  FROM lines l LEFT JOIN f USING (job_id, number) WHERE fmt = 'bazel' AND (e IN ('view', 'click') OR (e = 'signup' AND (first_action IS NULL OR line_num < first_action)))),
 g AS (SELECT *, sum(CASE WHEN p IS NOT DISTINCT FROM mk THEN 0 ELSE 1 END) OVER (PARTITION BY job_id, number ORDER BY line_num) AS run
   FROM (SELECT *, lag(mk) OVER (PARTITION BY job_id, number ORDER BY line_num) AS p FROM m)),
 r AS (SELECT job_id, number, run, first(label ORDER BY line_num) AS label, any_value(mk) AS mk, first(t ORDER BY line_num) AS t, min(line_num) AS line_num, count(*) AS n,
@@ -77,20 +81,20 @@ SELECT job_id, CAST(number AS INTEGER) AS number, label || CASE WHEN n > 1 THEN
   coalesce(lead(t) OVER (PARTITION BY job_id, number ORDER BY line_num), step_end) AS end_t, mk AS description, CAST(line_num AS VARCHAR) AS line FROM r
 UNION ALL SELECT job_id, CAST(number AS INTEGER), 'Starting', step_start, t, 'Bazel startup and initialization', '1' FROM r WHERE run = 1 AND t - step_start > 10000000""")
 def bazel_spans(spark, folder):
-    return shown(logs.bazel_spans(bounded(spark, folder, 1)), ("bazel.action.description", "description"), ("log.line_number", "line"))
+    return shown(logs.bazel_spans(of_format(spark, folder, "bazel")), ("bazel.action.description", "description"), ("log.line_number", "line"))
 
 
 @query("G4_W15_setup_spans", [], LINES + """,
-m AS (SELECT *, CASE e WHEN 'view' THEN 'Resolve actions' WHEN 'click' THEN 'Download actions' ELSE 'Prepare workspace' END AS phase FROM lines WHERE kind = 2 AND e IN ('view', 'click', 'signup')),
+m AS (SELECT *, CASE e WHEN 'view' THEN 'Resolve actions' WHEN 'click' THEN 'Download actions' ELSE 'Prepare workspace' END AS phase FROM lines WHERE fmt = 'setup-job' AND e IN ('view', 'click', 'signup')),
 d AS (SELECT *, lag(phase) OVER (PARTITION BY job_id, number ORDER BY line_num) AS p FROM m)
 SELECT job_id, CAST(number AS INTEGER) AS number, phase AS name, t AS start_t, coalesce(lead(t) OVER (PARTITION BY job_id, number ORDER BY line_num), step_end) AS end_t,
   CAST(line_num AS VARCHAR) AS line FROM d WHERE p IS DISTINCT FROM phase""")
 def setup_spans(spark, folder):
-    return shown(logs.setup_spans(bounded(spark, folder, 2)), ("log.line_number", "line"))
+    return shown(logs.setup_spans(of_format(spark, folder, "setup-job")), ("log.line_number", "line"))
 
 
 REGIONS = LINES + """,
-p AS (SELECT *, CASE WHEN starts_with(content, '##[group]') THEN 'group' WHEN starts_with(content, '##[endgroup]') THEN 'end' END AS mark FROM lines WHERE kind = 3),
+p AS (SELECT *, CASE WHEN starts_with(content, '##[group]') THEN 'group' WHEN starts_with(content, '##[endgroup]') THEN 'end' END AS mark FROM lines WHERE fmt = 'timestamp'),
 n AS (SELECT *, lead(mark) OVER (PARTITION BY job_id, number ORDER BY line_num) AS nxt FROM p WHERE mark IS NOT NULL),
 lost AS (SELECT job_id, number, line_num AS gl FROM n WHERE mark = 'group' AND nxt = 'group'),
 o AS (SELECT *, coalesce(last_value(CASE mark WHEN 'group' THEN line_num WHEN 'end' THEN 0 END IGNORE NULLS) OVER (PARTITION BY job_id, number ORDER BY line_num), 0) AS gl FROM p),
@@ -109,7 +113,7 @@ pieces AS (SELECT * FROM pe WHERE pieces > 1 AND end_t - t >= 36000000000)
 @query("W10_W13_G6_gap_pieces", [], REGIONS + """
 SELECT job_id, CAST(number AS INTEGER) AS number, CAST(region AS INTEGER) AS region, name, t AS start_t, end_t, line_count FROM pieces""")
 def gap_pieces(spark, folder):
-    marked = logs.mark_regions(bounded(spark, folder, 3)).where(F.col("region").isNotNull())
+    marked = logs.mark_regions(of_format(spark, folder, "timestamp")).where(F.col("region").isNotNull())
     groups = logs._next_start(marked.where(F.col("mark") == "group").drop("mark"), logs.STEP, F.col("step_end"))
     ends = groups.select(*logs.STEP, F.col("line_num").alias("region"), F.col("end_t").alias("group_end"))
     plain = marked.where(F.col("mark").isNull()).drop("mark").join(ends, logs.REGION, "left")
@@ -144,7 +148,7 @@ ts AS (
 @query("G5_W12_F15_F16_timestamp_spans", [], TIMESTAMP + """
 SELECT job_id, CAST(number AS INTEGER) AS number, depth, key, parent_key, name, start_t, end_t FROM ts""")
 def timestamp_spans(spark, folder):
-    out = logs.timestamp_spans(bounded(spark, folder, 3), GAPS)
+    out = logs.timestamp_spans(of_format(spark, folder, "timestamp"), GAPS)
     return out.select("job_id", "number", "depth", "key", "parent_key", "name", "start_t", "end_t")
 
 
@@ -157,7 +161,7 @@ d2 AS (SELECT a.* FROM ts a JOIN d1 p ON a.job_id = p.job_id AND a.number = p.nu
 SELECT job_id, CAST(number AS INTEGER) AS number, depth, key, name FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2)""")
 def significant_log_spans(spark, folder):
     bounds = logs.step_bounds(fx.log_steps(spark, folder))
-    out = logs.significant(logs.timestamp_spans(bounded(spark, folder, 3), GAPS).select(*logs.SPANS), bounds)
+    out = logs.significant(logs.timestamp_spans(of_format(spark, folder, "timestamp"), GAPS).select(*logs.SPANS), bounds)
     return out.select("job_id", "number", "depth", "key", "name")
 
 
