@@ -152,8 +152,8 @@ def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     distinct = windows.groupBy("key", "cut").agg(F.first("bag").alias("bag"))
     prints = fingerprints(distinct.select("key", "cut", F.explode("bag").alias("h")), ["key", "cut"], "h")
     item_prints = fingerprints(spelled.select("item_id", F.explode("item_shingles").alias("h")), ["item_id"], "h")
-    # not broadcast: 2,788 rows an item
-    found = prints.select("key", "cut", "fp", F.inline(_blocks(F.col("fp")))).join(_near(item_prints), ["block", "value"])
+    # 2,788 rows an item: the planner takes them for as small as the items and would send them to all
+    found = prints.select("key", "cut", "fp", F.inline(_blocks(F.col("fp")))).join(_near(item_prints).hint("shuffle_hash"), ["block", "value"])
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     found = found.where(distance <= RADIUS).select("key", "cut", "item_id", distance.alias("distance")).distinct()
     pairs = found.join(distinct, ["key", "cut"]).join(spelled.select("item_id", "item_shingles"), "item_id")
