@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import all_of, first_case, glob
+from spanloom.operators.rules import GIVES, NAME, conditions, given, matched
 
 FIELDS = {
     "category": "string", "outcome": "string", "icon": "string", "bar_char": "string",
@@ -25,6 +26,7 @@ FIELDS = {
     "vcs_revision": "string", "run_id": "string", "detail": "string", "service_name": "string",
     "environment": "string",
 }
+RULES_INLINE = 32
 _DEFAULT = {"string": "", "boolean": False, "int": 0}
 
 
@@ -36,6 +38,12 @@ class Span:
     zero_duration: Column
     kind: Column
     keys: dict[str, str] = field(default_factory=dict)
+    values: list[Column] = field(default_factory=list)
+
+    def once(self, value: Column) -> Column:
+        """A value worked out once, beside the attributes looked up."""
+        self.values.append(value)
+        return F.col(f"_value_{len(self.values) - 1}")
 
     def raw(self, key: str) -> Column:
         """Attribute value, null when absent."""
@@ -242,33 +250,30 @@ def rule_enricher(rules: list[dict]) -> Enricher:
     """User rules ``{"match": {"attributes", "span_name"}, "hints"}``, first match wins.
 
     A rule without conditions never matches.  A match whose category is empty
-    ends the list, and the chain goes on to the next enricher.
+    ends the list, and the chain goes on to the next enricher.  A few rules
+    become a CASE; a CASE of thousands would outgrow the plan, so more than
+    ``RULES_INLINE`` are found through an index, with the same result.
     """
 
-    def enricher(span: Span) -> tuple[Column, Fields]:
+    def inline(span: Span) -> tuple[Column, Fields]:
         cases: list[tuple[Column, dict]] = []
         for rule in rules:
-            match, give = rule.get("match") or {}, rule.get("hints") or {}
             tests = [
-                F.coalesce(glob(span.raw(key), pattern), F.lit(False))
-                for key, pattern in (match.get("attributes") or {}).items()
+                F.coalesce(glob(span.name if key == NAME else span.raw(key), pattern), F.lit(False))
+                for key, pattern in conditions(rule)
             ]
-            if match.get("span_name"):
-                tests.append(glob(span.name, match["span_name"]))
             if tests:
-                cases.append((all_of(tests), {
-                    "category": give.get("category", ""), "icon": give.get("icon") or "● ",
-                    "color": give.get("color", ""), "bar_char": give.get("bar_char") or "█",
-                    "outcome": give.get("outcome", ""), "is_root": bool(give.get("is_root")),
-                    "is_leaf": bool(give.get("is_leaf")), "is_marker": bool(give.get("is_marker")),
-                }))
+                cases.append((all_of(tests), given(rule)))
         if not cases:
             return F.lit(False), {}
-        names = list(cases[0][1])
-        found = {n: first_case([(c, F.lit(v[n])) for c, v in cases], F.lit(_DEFAULT[FIELDS[n]])) for n in names}
+        found = {n: first_case([(c, F.lit(v[n])) for c, v in cases], F.lit(_DEFAULT[FIELDS[n]])) for n in GIVES}
         return found["category"] != "", found
 
-    return enricher
+    def indexed(span: Span) -> tuple[Column, Fields]:
+        rule = span.once(matched(span.name, F.col("attrs"), rules))
+        return F.coalesce(rule["category"] != "", F.lit(False)), {n: rule[n] for n in GIVES}
+
+    return inline if len(rules) <= RULES_INLINE else indexed
 
 
 def load_rules(spark: SparkSession, path: str) -> list[dict]:
@@ -291,6 +296,7 @@ def enrich(spans: DataFrame, enrichers: list[Enricher] | None = None) -> DataFra
     span = Span(F.col("name"), F.col("_zero"), F.col("kind"))
     found = [e(span) for e in (enrichers or chain())]
     flat = {name: F.col("attrs")[key] for key, name in span.keys.items()}
+    flat |= {f"_value_{i}": v for i, v in enumerate(span.values)}
     flat["_zero"] = F.col("end_ns") <= F.col("start_ns")
     flat["_status"] = F.when(F.col("status_code") != "UNSET", F.col("status_code"))
     flat["_service"] = F.coalesce(F.col("resource")["service.name"], F.lit(""))

@@ -58,6 +58,23 @@ def rule_enrichment(spark, folder):
     return out.select("span_id", h["category"].alias("category"), h["outcome"].alias("outcome"), h["is_leaf"].alias("is_leaf"))
 
 
+@query("E5_X3_many_rules", ["spans"], """
+SELECT span_id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'group ' || substr(trace_id, 1, 2) END AS category,
+  CASE WHEN event_type <> 'error' AND ends_with(trace_id, 'f') THEN 'red' ELSE '' END AS color FROM spans""")
+def many_rules(spark, folder):
+    """513 rules: errors first, then two for each beginning of a trace id, the narrower one before the wider."""
+    spans = fx.generic_spans(spark, folder).withColumns({
+        "attrs": F.map_concat("attrs", F.create_map(F.lit("trace"), F.col("trace_id"), F.lit("tail"), F.substring("trace_id", 30, 3))),
+    })
+    rules = [{"match": {"span_name": "*rror*"}, "hints": {"category": "error"}}]
+    for n in range(256):
+        low, group = f"{n:02x}*", f"group {n:02x}"
+        rules.append({"match": {"attributes": {"trace": low, "tail": "*f"}}, "hints": {"category": group, "color": "red"}})
+        rules.append({"match": {"attributes": {"trace": low}}, "hints": {"category": group}})
+    out = enrich.enrich(spans, [enrich.rule_enricher(rules)])
+    return out.select("span_id", F.col("hints.category").alias("category"), F.col("hints.color").alias("color"))
+
+
 def ci_spans_of(spark, folder, reviews=True):
     from spanloom.operators import ci_spans
 
