@@ -137,11 +137,13 @@ w2 AS (SELECT *, count(*) OVER v AS size, min(line_num) OVER v AS run_line, min(
   WINDOW v AS (PARTITION BY job_id, number, region, wrun)),
 x AS (SELECT *, word <> '' AND size >= 3 AS ins FROM w2),
 ts AS (
-  SELECT job_id, number, 0 AS depth, 'g-' || line_num AS key, '' AS parent_key, substr(content, 10) AS name, t AS start_t, end_t FROM heads
+  SELECT job_id, number, 0 AS depth, 'g-' || line_num AS key, '' AS parent_key, substr(content, 10) AS name, t AS start_t, end_t, line_num * 2 AS place, line_num AS line FROM heads
   UNION ALL SELECT job_id, number, CASE WHEN region > 0 THEN 1 ELSE 0 END + CASE WHEN ins THEN 1 ELSE 0 END, 'l-' || line_num,
-    CASE WHEN ins THEN 'p-' || run_line WHEN region > 0 THEN 'g-' || region ELSE '' END, CASE WHEN ins THEN trim(substr(name, length(word) + 1)) ELSE name END, t, end_t FROM x
+    CASE WHEN ins THEN 'p-' || run_line WHEN region > 0 THEN 'g-' || region ELSE '' END, CASE WHEN ins THEN trim(substr(name, length(word) + 1)) ELSE name END, t, end_t,
+    line_num * 2 + 1, CASE WHEN region > 0 THEN region ELSE line_num END FROM x
   UNION ALL SELECT job_id, number, CASE WHEN region > 0 THEN 1 ELSE 0 END, 'p-' || run_line, CASE WHEN region > 0 THEN 'g-' || region ELSE '' END,
-    word || ' (x' || size || ', ' || format('{:.1f}m', round_even(((run_end - run_start) // 10000) / 6000.0, 0) / 10.0) || ')', run_start, run_end FROM x WHERE ins AND line_num = run_line)
+    word || ' (x' || size || ', ' || format('{:.1f}m', round_even(((run_end - run_start) // 10000) / 6000.0, 0) / 10.0) || ')', run_start, run_end,
+    line_num * 2 + 1, CASE WHEN region > 0 THEN region ELSE line_num END FROM x WHERE ins AND line_num = run_line)
 """
 
 
@@ -165,8 +167,44 @@ def significant_log_spans(spark, folder):
     return out.select("job_id", "number", "depth", "key", "name")
 
 
-@query("G7_P28_X2_log_spans")
+LOG_SPANS = TIMESTAMP + """,
+gr AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY job_id, number ORDER BY line_num), step_end) AS end_t FROM lines WHERE fmt = 'gradle' AND e IN ('view', 'click')),
+bf AS (SELECT job_id, number, min(line_num) AS first_action FROM lines WHERE fmt = 'bazel' AND e IN ('view', 'click') GROUP BY 1, 2),
+bm AS (SELECT l.*, CASE e WHEN 'view' THEN 'Compiling f' || (event_id % 2) WHEN 'click' THEN k || ' / 9 tests; no actions running' ELSE 'Loading' END AS label,
+    CASE e WHEN 'view' THEN 'Compiling f' || (event_id % 2) WHEN 'click' THEN 'waiting (no actions running)' ELSE 'Loading' END AS mk
+  FROM lines l LEFT JOIN bf USING (job_id, number) WHERE fmt = 'bazel' AND (e IN ('view', 'click') OR (e = 'signup' AND (first_action IS NULL OR line_num < first_action)))),
+bg AS (SELECT *, sum(CASE WHEN p IS NOT DISTINCT FROM mk THEN 0 ELSE 1 END) OVER (PARTITION BY job_id, number ORDER BY line_num) AS run
+  FROM (SELECT *, lag(mk) OVER (PARTITION BY job_id, number ORDER BY line_num) AS p FROM bm)),
+br AS (SELECT job_id, number, run, first(label ORDER BY line_num) AS label, first(t ORDER BY line_num) AS t, min(line_num) AS line_num, count(*) AS n,
+  any_value(step_start) AS step_start, any_value(step_end) AS step_end FROM bg GROUP BY 1, 2, 3),
+sd AS (SELECT *, lag(phase) OVER (PARTITION BY job_id, number ORDER BY line_num) AS p FROM (SELECT *, CASE e WHEN 'view' THEN 'Resolve actions' WHEN 'click' THEN 'Download actions'
+  ELSE 'Prepare workspace' END AS phase FROM lines WHERE fmt = 'setup-job' AND e IN ('view', 'click', 'signup'))),
+al AS (
+  SELECT * FROM ts
+  UNION ALL SELECT job_id, number, 0, 'l-' || line_num, '', regexp_extract(content, '^> Task (:\\S+)(.*)$', 1), t, end_t, line_num, line_num FROM gr
+  UNION ALL SELECT job_id, number, 0, 'l-' || line_num, '', label || CASE WHEN n > 1 THEN ' (×' || n || ')' ELSE '' END, t,
+    coalesce(lead(t) OVER (PARTITION BY job_id, number ORDER BY line_num), step_end), line_num, line_num FROM br
+  UNION ALL SELECT job_id, number, 0, 'l-0', '', 'Starting', step_start, t, 0, 1 FROM br WHERE run = 1 AND t - step_start > 10000000
+  UNION ALL SELECT job_id, number, 0, 'l-' || line_num, '', phase, t, coalesce(lead(t) OVER (PARTITION BY job_id, number ORDER BY line_num), step_end), line_num, line_num
+    FROM sd WHERE p IS DISTINCT FROM phase),
+d0 AS (SELECT * FROM al WHERE depth = 0 AND (end_t - start_t) * 100 >= (12 * 864000000000 * 100) // 100),
+d1 AS (SELECT a.* FROM al a JOIN d0 p ON a.job_id = p.job_id AND a.number = p.number AND a.parent_key = p.key WHERE a.depth = 1
+  AND (p.end_t <= p.start_t OR (a.end_t - a.start_t) * 100 >= ((p.end_t - p.start_t) * 100) // 100)),
+d2 AS (SELECT a.* FROM al a JOIN d1 p ON a.job_id = p.job_id AND a.number = p.number AND a.parent_key = p.key WHERE a.depth = 2
+  AND (p.end_t <= p.start_t OR (a.end_t - a.start_t) * 100 >= ((p.end_t - p.start_t) * 100) // 100)),
+nu AS (SELECT *, CASE number WHEN 1 THEN 'Build' ELSE 'Run tests' END AS step, row_number() OVER (PARTITION BY job_id, number, parent_key ORDER BY start_t, place, key) - 1 AS i
+  FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2)),
+s AS (SELECT *, substr(md5(job_id || '-' || step || '-' || name || '-' || depth || '-' || i), 1, 16) AS span_id FROM nu)
+SELECT md5(s.job_id || '-1') AS trace_id, s.span_id, coalesce(p.span_id, substr(md5(s.job_id || '-' || s.step), 1, 16)) AS parent_span_id, s.name,
+  s.start_t * 100 AS start_ns, s.end_t * 100 AS end_ns, 'https://github.com/o/r/actions/runs/1/job/' || s.job_id || '#step:' || s.number || ':' || s.line AS url
+FROM s LEFT JOIN s p ON p.job_id = s.job_id AND p.number = s.number AND p.key = s.parent_key
+"""
+
+
+@query("G7_P28_X2_log_spans", [], LOG_SPANS)
 def log_spans(spark, folder):
-    return logs.log_spans(
-        fx.raw_log_lines(spark, folder), fx.log_steps(spark, folder), fx.log_jobs(spark, folder), gaps=GAPS
+    """All spans of the logs, by the built-in formats given as a caller would give them."""
+    spans = logs.log_spans(
+        fx.raw_log_lines(spark, folder), fx.log_steps(spark, folder), fx.log_jobs(spark, folder), parsers=logs.default_parsers(), gaps=GAPS
     )
+    return spans.select("trace_id", "span_id", "parent_span_id", "name", "start_ns", "end_ns", F.col("attrs")["github.url"].alias("url"))
