@@ -47,6 +47,7 @@ STEP = 16
 ROWS_AT_ONCE = 1024
 TOLERANCE = 1e-7
 BLOCK = 256
+AT_ONCE = 1 << 19
 _SLICE = 1 << 20
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -208,14 +209,21 @@ def exact(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if len(a) <= 4 * len(sets):
         common = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b, strict=True)], np.int64)
     else:
-        place = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        owner = np.repeat(np.arange(len(sets)), size)
         table = np.zeros((len(sets), len(sets)), np.float32)
-        for low in range(0, int(place.max()) + 1, 4096):  # bounded columns at a time
-            own = (place >= low) & (place < low + 4096)
-            part = np.zeros((len(sets), 4096), np.float32)
-            part[owner[own], place[own] - low] = 1
-            table += part @ part.T
+        # shingles of some values at a time, so that long texts do not meet in one array
+        stretches = -(-int(size.sum()) // AT_ONCE)
+        edges = [(k << 32) // stretches for k in range(stretches)]
+        starts = np.array([np.searchsorted(s, np.array(edges, np.uint32)) for s in sets])
+        ends = np.column_stack((starts[:, 1:], size))
+        for k in range(stretches):
+            own = [s[i:j] for s, i, j in zip(sets, starts[:, k], ends[:, k], strict=True)]
+            values, place = np.unique(np.concatenate(own), return_inverse=True)
+            owner = np.repeat(np.arange(len(sets)), [len(x) for x in own])
+            for low in range(0, len(values), 4096):  # bounded columns at a time
+                here = (place >= low) & (place < low + 4096)
+                part = np.zeros((len(sets), 4096), np.float32)
+                part[owner[here], place[here] - low] = 1
+                table += part @ part.T
         common = table[a, b].astype(np.int64)
     # in whole numbers: 10 * common >= 8 * union
     return 10 * common >= round(10 * THRESHOLD) * (size[a] + size[b] - common)
@@ -226,7 +234,7 @@ def _verify(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        for batch in batches:
+        for batch in pieces(batches, 2 * BLOCK):  # rows become Python objects
             out: list[tuple[int, int, int]] = []
             for row in batch.to_pylist():
                 if held and held[0]["unit"] != row["unit"]:
