@@ -61,9 +61,11 @@ def strip_terminal(text: Column) -> Column:
     return F.regexp_replace(text, _TERMINAL, "")
 
 
-def truncate(text: Column, size: int) -> Column:
-    """Trim and cut to ``size`` bytes, the last three being dots."""
+def truncate(text: Column, size: int | None) -> Column:
+    """Trim and cut to ``size`` bytes, the last three being dots; None only trims."""
     clean = trim_space(text)
+    if size is None:
+        return clean
     keep = size if size <= 3 else size - 3
     dots = "" if size <= 3 else "..."
     head = F.make_valid_utf8(F.substring(F.encode(clean, "UTF-8"), 1, keep).cast("string"))

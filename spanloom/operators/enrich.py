@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -185,8 +186,8 @@ def _join_if(condition: Column, value: Column) -> Column:
     return F.when(condition, value).otherwise(F.lit(""))
 
 
-def generic_enricher(span: Span) -> tuple[Column, Fields]:
-    """Any span, by the general semantic conventions."""
+def generic_enricher(span: Span, statement_bytes: int | None = STATEMENT_BYTES) -> tuple[Column, Fields]:
+    """Any span, by the general semantic conventions; database statements are cut to ``statement_bytes`` (None: whole)."""
     method = span.first("http.request.method", "http.method")
     route = span.first("http.route", "url.path")
     server, port = span.get("server.address"), span.get("server.port")
@@ -206,10 +207,10 @@ def generic_enricher(span: Span) -> tuple[Column, Fields]:
         F.coalesce(F.concat(F.lit(" ["), code.cast("string"), F.lit("]")), F.lit("")),
     )
     statement, operation, table = span.get("db.statement"), span.get("db.operation"), span.get("db.sql.table")
-    head = F.make_valid_utf8(
-        F.substring(F.encode(statement, "UTF-8"), 1, STATEMENT_BYTES - 3).cast("string")
-    )
-    short = F.when(F.octet_length(statement) > STATEMENT_BYTES, F.concat(head, F.lit("..."))).otherwise(statement)
+    short = statement
+    if statement_bytes is not None:
+        head = F.make_valid_utf8(F.substring(F.encode(statement, "UTF-8"), 1, statement_bytes - 3).cast("string"))
+        short = F.when(F.octet_length(statement) > statement_bytes, F.concat(head, F.lit("..."))).otherwise(statement)
     db_detail = (
         F.when(statement != "", F.concat(db, F.lit(": "), short))
         .when(operation != "", F.concat(db, F.lit(": "), operation, _join_if(table != "", F.concat(F.lit(" "), table))))
@@ -282,13 +283,14 @@ def load_rules(spark: SparkSession, path: str) -> list[dict]:
     return json.loads(text).get("enrichers") or []
 
 
-def chain(ci: bool = True, rules: list[dict] | None = None, extra: list[Enricher] | None = None) -> list[Enricher]:
+def chain(ci: bool = True, rules: list[dict] | None = None, extra: list[Enricher] | None = None,
+          statement_bytes: int | None = STATEMENT_BYTES) -> list[Enricher]:
     """Enrichers in order: CI (for CI inputs), CI/CD, user rules, extras, generic."""
     out: list[Enricher] = [ci_enricher] if ci else []
     out.append(cicd_enricher)
     if rules:
         out.append(rule_enricher(rules))
-    return out + list(extra or []) + [generic_enricher]
+    return out + list(extra or []) + [partial(generic_enricher, statement_bytes=statement_bytes)]
 
 
 def enrich(spans: DataFrame, enrichers: list[Enricher] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,8 +131,11 @@ def gradle_spans(lines: DataFrame) -> DataFrame:
     )
 
 
-def bazel_spans(lines: DataFrame) -> DataFrame:
-    """Actions, and phases before the first action; equal neighbours merge."""
+def bazel_spans(lines: DataFrame, name_bytes: int | None = NAME_BYTES) -> DataFrame:
+    """Actions, and phases before the first action; equal neighbours merge.
+
+    Names are cut to ``name_bytes``; None keeps them whole.
+    """
     content = F.col("content")
     action = content.rlike(BAZEL_ACTION)
     first = lines.where(action).groupBy(*STEP).agg(F.min("line_num").alias("_first"))
@@ -144,7 +147,7 @@ def bazel_spans(lines: DataFrame) -> DataFrame:
     phase = F.when((colon > 1) & (colon <= 40), text.trim_space(F.split_part(content, F.lit(":"), F.lit(1)))).otherwise(content)
     label = F.when(action, described).otherwise(phase)
     key = F.when(action & (waiting != ""), F.concat(F.lit("waiting ("), waiting, F.lit(")"))).otherwise(label)
-    rows = _sliced(rows.withColumns({"label": text.truncate(label, NAME_BYTES), "merge_key": key}))
+    rows = _sliced(rows.withColumns({"label": text.truncate(label, name_bytes), "merge_key": key}))
     runs = islands(rows, STEP, "_slice", ["line_num"], F.col("merge_key"), "_run")
     merged = runs.groupBy(*STEP, "_run").agg(
         F.min_by("label", "line_num").alias("label"), F.first("merge_key").alias("merge_key"),
@@ -181,11 +184,12 @@ def setup_spans(lines: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Gaps:
-    """Thresholds of the generic parser in 100 ns ticks."""
+    """Thresholds of the generic parser in 100 ns ticks, and the bytes its names are cut to (None: whole)."""
 
     gap: int = SECOND
     shortest: int = SECOND // 10
     noise: int = 2 * SECOND
+    name_bytes: int | None = NAME_BYTES
 
 
 REGION = [*STEP, "region"]
@@ -205,7 +209,7 @@ def gap_groups(lines: DataFrame, gaps: Gaps) -> DataFrame:
     pieces = rows.groupBy(*REGION, "piece").agg(
         F.min_by("t", "line_num").alias("t"), F.min("line_num").alias("line_num"),
         F.count(F.lit(1)).alias("line_count"),
-        F.min_by(F.when(telling, text.truncate(clean, NAME_BYTES)), F.when(telling, F.col("line_num"))).alias("name"),
+        F.min_by(F.when(telling, text.truncate(clean, gaps.name_bytes)), F.when(telling, F.col("line_num"))).alias("name"),
         F.first("region_end").alias("region_end"),
     )
     pieces = cut(pieces)
@@ -321,7 +325,7 @@ def timestamp_spans(lines: DataFrame, gaps: Gaps | None = None) -> DataFrame:
     heads = groups.select(
         *STEP, F.lit("timestamp").alias("parser"), F.lit(0).alias("depth"),
         F.concat_ws("-", F.lit("g"), F.col("line_num").cast("string")).alias("key"), F.lit("").alias("parent_key"),
-        (F.col("line_num") * 2).cast("bigint").alias("place"), text.truncate(label, NAME_BYTES).alias("name"),
+        (F.col("line_num") * 2).cast("bigint").alias("place"), text.truncate(label, gaps.name_bytes).alias("name"),
         F.col("t").alias("start_t"), "end_t",
         _attrs(("log.line_number", F.col("line_num")), ("log.group", label)).alias("attrs"),
     )
@@ -347,11 +351,12 @@ class Parser:
     spans: Callable[[DataFrame], DataFrame]
 
 
-def default_parsers() -> list[Parser]:
+def default_parsers(name_bytes: int | None = NAME_BYTES) -> list[Parser]:
+    """The built-in formats; Bazel's names are cut to ``name_bytes`` (None: whole)."""
     content = F.col("content")
     return [
         Parser("gradle", lambda: content.rlike(GRADLE_TASK) | content.contains("BUILD SUCCESSFUL") | content.contains("BUILD FAILED"), gradle_spans),
-        Parser("bazel", lambda: content.rlike(BAZEL_ACTION) | content.rlike(BAZEL_ANALYZED), bazel_spans),
+        Parser("bazel", lambda: content.rlike(BAZEL_ACTION) | content.rlike(BAZEL_ANALYZED), partial(bazel_spans, name_bytes=name_bytes)),
         Parser("setup-job", lambda: content.contains("Getting action download info") | content.contains("Prepare workflow directory"), setup_spans),
     ]
 

@@ -244,6 +244,17 @@ def trends_document(spark, folder):
     return row.select(F.date_format("r.day", "yyyy-MM-dd").alias("day"), F.col("r.count").alias("runs"), F.round("r.value", 6).alias("success_rate"))
 
 
+@query("K2_S16_trace_lookup", ["spans"], "SELECT span_id FROM spans WHERE user_id IN (3, 14)")
+def trace_lookup(spark, folder):
+    """Two traces out of a table by date, found by the dates on which they have spans."""
+    spans = fx.generic_spans(spark, folder)
+    table, dates = landing(spark, "table"), landing(spark, "dates")
+    sink.write_span_table(spans, table)
+    sink.write_trace_dates(spans, dates)
+    wanted = spark.range(1).select(F.explode(F.array(F.md5(F.lit("3")), F.md5(F.lit("14")))).alias("trace_id"))
+    return traces.of_traces(spark.read.parquet(table), wanted, spark.read.parquet(dates)).select("span_id")
+
+
 @query("X4_exporters", ["spans"], """
 SELECT 'json' AS exporter, span_id FROM spans UNION ALL SELECT 'table', span_id FROM spans UNION ALL SELECT 'own', trace_id || ':' || count(*) FROM spans GROUP BY trace_id""")
 def exporters(spark, folder):

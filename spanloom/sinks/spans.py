@@ -68,8 +68,21 @@ def write_span_json(spans: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def write_span_table(spans: DataFrame, path: str, mode: str = "append") -> None:
-    """Spans as Parquet by start date, so that time filters prune folders."""
-    spans.withColumn("start_date", F.to_date("start_time")).write.mode(mode).partitionBy("start_date").parquet(path)
+    """Spans as Parquet by start date, and by trace inside a date.
+
+    Time filters prune folders.  A date's traces are spread over files by range and sorted in them, so a lookup of
+    traces skips files and row groups by their bounds, and by Bloom filters where a wanted id falls inside them.
+    """
+    by = ["start_date", "trace_id"]
+    dated = spans.withColumn("start_date", F.to_date("start_time")).repartitionByRange(*by).sortWithinPartitions(*by)
+    writer = dated.write.mode(mode).partitionBy("start_date")
+    writer.option("parquet.bloom.filter.enabled#trace_id", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
+
+
+def write_trace_dates(spans: DataFrame, path: str, mode: str = "append") -> None:
+    """(trace_id, start_date): the dates on which each trace has spans, for :func:`spanloom.sources.traces.of_traces`."""
+    dates = spans.select("trace_id", F.to_date("start_time").alias("start_date")).distinct()
+    dates.repartitionByRange("trace_id").sortWithinPartitions("trace_id").write.mode(mode).parquet(path)
 
 
 def export(spans: DataFrame, exporters: list[Exporter]) -> None:
@@ -103,8 +116,8 @@ def _hex_track(span_id: Column) -> Column:
     return (F.conv(F.substring(span_id, 9, 8), 16, 10).cast("bigint") % TRACK_MODULUS).cast("bigint")
 
 
-def assign_tracks(spans: DataFrame) -> DataFrame:
-    """Process and thread track, times since the earliest span and cleaned texts.
+def assign_tracks(spans: DataFrame, max_value: int | None = MAX_VALUE) -> DataFrame:
+    """Process and thread track, times since the earliest span and cleaned texts; values are cut to ``max_value`` (None: whole).
 
     The earliest time is one number; it is read first and becomes a constant.
     """
@@ -129,10 +142,12 @@ def assign_tracks(spans: DataFrame) -> DataFrame:
     end = F.greatest(F.col("end_ns") - first, start)
     wide = F.when((kind != "marker") & (end <= start), start + MIN_TRACK_NS).otherwise(end)
     # An overlong value is cut from its raw text; others are cleaned.
-    cut = F.transform_values(
-        "attrs",
-        lambda _, v: F.when(F.octet_length(v) > MAX_VALUE, F.concat(F.substring(v, 1, MAX_VALUE), F.lit("..."))).otherwise(text.strip_terminal(v)),
-    )
+    def value(_: Column, v: Column) -> Column:
+        if max_value is None:
+            return text.strip_terminal(v)
+        return F.when(F.octet_length(v) > max_value, F.concat(F.substring(v, 1, max_value), F.lit("..."))).otherwise(text.strip_terminal(v))
+
+    cut = F.transform_values("attrs", value)
     return spans.select(
         "source_id", "trace_id", "span_id", pid.cast("bigint").alias("pid"), tid.cast("bigint").alias("tid"),
         track.alias("track_name"), name.alias("name"), start.alias("start_ns"), wide.alias("end_ns"),

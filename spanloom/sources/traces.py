@@ -485,8 +485,21 @@ def with_source(spans: DataFrame, source_id: int) -> DataFrame:
     return spans.withColumn("source_id", F.lit(source_id)).withColumn("attrs", F.map_concat("attrs", tag))
 
 
-def of_traces(spans: DataFrame, trace_ids: list[str] | DataFrame) -> DataFrame:
-    """Spans of given traces: a pushed-down list, or a semi join with an id table."""
+def of_traces(spans: DataFrame, trace_ids: list[str] | DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    """Spans of given traces: a pushed-down list, or a semi join with an id table.
+
+    For a table written by date, ``dates`` (trace_id, start_date) tells where the traces are; the scan then reads
+    those dates only, and the folder of spans without a start.
+    """
     if isinstance(trace_ids, DataFrame):
-        return spans.join(trace_ids.select("trace_id").distinct(), "trace_id", "left_semi")
-    return spans.where(F.col("trace_id").isin([t.lower() for t in trace_ids]))
+        wanted = trace_ids.select("trace_id").distinct()
+        chosen = spans.join(wanted, "trace_id", "left_semi")
+        known = None if dates is None else dates.join(wanted, "trace_id", "left_semi")
+    else:
+        among = F.col("trace_id").isin([t.lower() for t in trace_ids])
+        chosen = spans.where(among)
+        known = None if dates is None else dates.where(among)
+    if known is None:
+        return chosen
+    placed = chosen.join(known.select("trace_id", "start_date").distinct(), ["trace_id", "start_date"], "left_semi")
+    return placed.unionByName(chosen.where(F.col("start_date").isNull()))

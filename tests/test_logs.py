@@ -73,3 +73,22 @@ def test_lines_find_their_step(spark):
     raw = spark.createDataFrame([(1, i, f"{stamp(t)} x") for i, (t, _) in enumerate(times)] + [(1, 90, "short"), (1, 91, "x" * 40)], "job_id bigint, pos bigint, line string")
     got = {r["pos"]: r["number"] for r in logs.assign_steps(raw, steps).collect()}
     assert got == {**{i: n for i, (_, n) in enumerate(times)}, 90: 3}
+
+
+def test_texts_stay_whole_on_request(spark):
+    from spanloom.functions import text
+    from spanloom.operators import enrich
+    from spanloom.sinks import spans as sink
+
+    long = "select " + "x" * 3000
+    one = spark.createDataFrame([(long,)], "t string")
+    assert one.select(text.truncate(F.col("t"), None)).first()[0] == long and len(one.select(text.truncate(F.col("t"), 80)).first()[0]) == 80
+    span = one.select(
+        F.lit(0).alias("source_id"), F.lit("a" * 32).alias("trace_id"), F.lit("b" * 16).alias("span_id"), F.lit(None).cast("string").alias("parent_span_id"),
+        F.lit("q").alias("name"), F.lit("CLIENT").alias("kind"), F.lit(1).cast("long").alias("start_ns"), F.lit(9).cast("long").alias("end_ns"), F.lit("OK").alias("status_code"),
+        F.create_map(F.lit("db.system"), F.lit("pg"), F.lit("db.statement"), F.col("t")).alias("attrs"), F.create_map().cast("map<string,string>").alias("resource"),
+    )
+    details = [enrich.enrich(span, enrich.chain(ci=False, statement_bytes=n)).first()["hints"]["detail"] for n in (None, 80)]
+    assert details == [f"pg: {long}", f"pg: {long[:77]}..."]
+    values = [sink.assign_tracks(span, n).first()["attrs"]["db.statement"] for n in (None, 1000)]
+    assert values == [long, long[:1000] + "..."]

@@ -178,3 +178,38 @@ def test_equal_chrome_documents_stay_apart(spark):
         assert all(r["parent_span_id"] in outer and r["span_id"] != r["parent_span_id"] for r in own if r["name"] == "inner")
         assert {r["end_ns"] - r["start_ns"] for r in own if r["name"] == "outer"} == {9_000_000 if source == 1 else 5_000_000}
     assert not {r["trace_id"] for r in rows if r["source_id"] == 1} & {r["trace_id"] for r in rows if r["source_id"] == 2}
+
+
+def scanned(df):
+    """Rows that the scans of an executed plan gave out."""
+    def walk(plan):
+        if plan.nodeName().startswith("AdaptiveSparkPlan"):
+            yield from walk(plan.executedPlan())
+        elif "QueryStage" in plan.nodeName():
+            yield from walk(plan.plan())
+        elif plan.nodeName().startswith("Scan parquet"):
+            yield plan.metrics().apply("numOutputRows").value()
+        else:
+            for i in range(plan.children().size()):
+                yield from walk(plan.children().apply(i))
+
+    df._jdf.collect()
+    return sum(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_trace_lookup_skips_row_groups(spark, tmp_path):
+    n = 200_000
+    spans = spark.range(n).select(
+        F.md5((F.col("id") % 5000).cast("string")).alias("trace_id"), F.col("id").cast("string").alias("span_id"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 5000 * 60).alias("start_time"),
+    )
+    table, dates = str(tmp_path / "t"), str(tmp_path / "d")
+    sink.write_span_table(spans, table)
+    sink.write_trace_dates(spans, dates)
+    ids = [r[0] for r in spans.where("id IN (7, 4000)").select("trace_id").collect()]
+    read = spark.read.parquet(table)
+    plain = traces.of_traces(read, ids)
+    assert plain.count() == 2 * n // 5000
+    assert scanned(plain) < n / 4  # of all rows, those of row groups and pages that may hold the ids
+    looked_up = traces.of_traces(read, ids, spark.read.parquet(dates))
+    assert looked_up.count() == plain.count()
