@@ -18,7 +18,7 @@ from spanloom.plans.registry import query
 from spanloom.session import ensure_checkpoint_dir
 from spanloom.sinks import spans as sink
 from spanloom.sources import ci, traces
-from spanloom.streaming import ingest
+from spanloom.streaming import assemble, ingest
 
 
 def landing(spark, name: str) -> str:
@@ -167,6 +167,26 @@ def live_totals(spark, folder):
     return spark.read.parquet(out).join(last, "trigger").select("spans", "failures")
 
 
+@query("R1_R4_assembled_traces", ["spans"], """
+SELECT s.span_id, p.span_id IS NOT NULL AS parent_known, CASE WHEN p.span_id IS NULL THEN 0 ELSE 1 END AS depth, CAST(count(*) OVER (PARTITION BY s.trace_id) AS INTEGER) AS n_spans
+FROM spans s LEFT JOIN spans p ON p.trace_id = s.trace_id AND p.span_id = s.parent_span_id""")
+def assembled_traces(spark, folder):
+    """All spans, each delivered twice, as whole traces; a span ten years on moves event time past them."""
+    spans = fx.generic_spans(spark, folder)
+    far = spans.limit(1).withColumns({"trace_id": F.lit("f" * 32), "start_ns": F.col("start_ns") + 315_360_000 * 1_000_000_000, "end_ns": F.col("end_ns") + 315_360_000 * 1_000_000_000})
+    files = landed(otlp_docs(spans.unionByName(spans).unionByName(far)), "assembled")
+    out = landing(spark, "whole")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        whole = assemble.assemble_traces(ingest.stream_spans(ingest.stream_lines(spark, files)))
+        whole.writeStream.format("parquet").option("path", out).option("checkpointLocation", landing(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    return spark.read.parquet(out).select("span_id", "parent_known", "depth", "n_spans")
+
+
 @query("R4_repeated_payloads", ["spans"], "SELECT span_id, name FROM spans")
 def repeated_payloads(spark, folder):
     """Every payload is delivered twice; each span is taken in once."""
