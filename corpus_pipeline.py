@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,19 +12,8 @@ SHARDS = 8
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def released(spark: SparkSession) -> None:
-    """Let go of what the plans of finished stages hold on the driver.
-
-    Spark frees broadcasts, shuffle files and generated classes only when the plans that
-    made them are collected, which a driver with a large heap may put off for many stages.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go; if no language could be learned, all stay."""
-    released(spark)
     trees = language.train(docs, usable=remainder(F.col("doc_id"), 3) != 1)
     if not trees.languages:
         return docs.select(*COLUMNS)
@@ -35,26 +22,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
-    released(spark)
     return jaccard.deduplicate(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    released(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return decontaminate.clean(docs.select(*COLUMNS), items)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's weight asks for."""
-    released(spark)
     return mixing.mixed(docs.select(*COLUMNS))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their shard and their place in it."""
-    released(spark)
     return sharding.shard(docs.select(*COLUMNS), SHARDS)
 
 
