@@ -7,6 +7,7 @@ tells, and a marker stays for a time so that repeats are not taken for a new tra
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,10 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-HELD = "parent_span_id string, name string, start_ns long, end_ns long"
+HELD = ["span_id", "parent_span_id", "name", "start_ns", "end_ns"]
 OUT = "trace_id string, span_id string, parent_span_id string, name string, start_ns long, end_ns long, parent_known boolean, depth int, n_spans int"
 
-
 def depths(parents: dict[str, str | None]) -> dict[str, int]:
     """Steps to the uppermost known ancestor; a span on a cycle counts as far as the walk goes."""
     out: dict[str, int] = {}
@@ -33,44 +33,60 @@ def depths(parents: dict[str, str | None]) -> dict[str, int]:
 
 
 class TraceAssembler(StatefulProcessor):
-    """Holds one trace's spans; times are event times in milliseconds."""
+    """Holds one trace's spans; times are event times in milliseconds.
+
+    Every call to the state store is a round trip and every value is packed by itself, so a trace costs a few of them per
+    batch, however many spans it brings: a batch's spans are one text in a list and are told apart when they go out,
+    and a timer that later spans have outdated is set anew when it fires.
+    """
 
     def __init__(self, quiet_ms: int, forget_ms: int):
         self.quiet_ms, self.forget_ms = quiet_ms, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.spans = handle.getMapState("spans", "span_id string", HELD)
-        self.done = handle.getValueState("done", "n_spans int")
-
-    def _timer(self, at: int) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(at)
+        self.spans = handle.getListState("spans", "batch string")
+        self.stage = handle.getValueState("stage", "is_done boolean, until_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = None
+        stage = self.stage.get()
+        if stage is not None and stage[0]:
+            for _ in rows:
+                pass
+            return iter(())
+        fresh: dict[str, tuple] = {}
+        latest = timerValues.getCurrentWatermarkInMs()
         for part in rows:
-            for r in part.itertuples(index=False):
-                at = r.start_ns // 1_000_000
-                latest = at if latest is None else max(latest, at)
-                if not self.done.exists() and not self.spans.containsKey((r.span_id,)):
-                    self.spans.updateValue((r.span_id,), (r.parent_span_id, r.name, r.start_ns, r.end_ns))
-        if latest is not None and not self.done.exists():
-            self._timer(max(latest, timerValues.getCurrentWatermarkInMs()) + self.quiet_ms)
-        yield pd.DataFrame()
+            latest = max(latest, int(part["start_ns"].max()) // 1_000_000)
+            for r in zip(*(part[c].tolist() for c in HELD)):
+                fresh.setdefault(r[0], r)
+        until = latest + self.quiet_ms
+        if stage is None:
+            self.handle.registerTimer(until)
+        self.spans.appendValue((json.dumps(list(fresh.values())),))
+        if stage is None or until > stage[1]:
+            self.stage.update((False, until))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.done.exists():  # long enough ago: repeats no longer matter
-            self.done.clear()
-            yield pd.DataFrame()
+        is_done, until = self.stage.get()
+        now = timerValues.getCurrentWatermarkInMs()
+        if is_done:  # long enough ago: repeats no longer matter
+            self.stage.clear()
+            return
+        if until > now:  # spans have come since
+            self.handle.registerTimer(until)
             return
-        held = {k[0]: v for k, v in self.spans.iterator()}
-        deep = depths({k: v[0] for k, v in held.items()})
-        out = [(key[0], k, *v, v[0] in held, deep[k], len(held)) for k, v in held.items()]
+        held: dict[str, tuple] = {}
+        for (batch,) in self.spans.get():
+            for r in json.loads(batch):
+                held.setdefault(r[0], r)
+        deep = depths({k: r[1] for k, r in held.items()})
         self.spans.clear()
-        self.done.update((len(held),))
-        self._timer(timerValues.getCurrentWatermarkInMs() + self.forget_ms)
+        until = now + self.forget_ms
+        self.stage.update((True, until))
+        self.handle.registerTimer(until)
+        out = [(key[0], *r, r[1] in held, deep[k], len(held)) for k, r in held.items()]
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
     def close(self) -> None:

@@ -47,3 +47,81 @@ def test_late_children_join_their_parents(rocks, tmp_path):
     found = take_in()
     assert {k: v for k, v in found.items() if k[0] == "t"} == {("t", "a"): (False, 0, 3), ("t", "b"): (True, 1, 3), ("t", "c"): (True, 2, 3)}
     assert spark.read.parquet(out).where("trace_id = 't'").count() == 3
+
+
+class Handle:
+    """A state store that counts the calls to it."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = 0, {}, []
+
+    def _state(self, name, *_):
+        store = self
+
+        class State:
+            def exists(self):
+                store.calls += 1
+                return name in store.held
+
+            def get(self):
+                store.calls += 1
+                return store.held.get(name)
+
+            def update(self, value):
+                store.calls += 1
+                store.held[name] = value
+
+            def clear(self):
+                store.calls += 1
+                store.held.pop(name, None)
+
+            def appendValue(self, value):
+                store.calls += 1
+                store.held.setdefault(name, []).append(value)
+
+            def containsKey(self, key):
+                store.calls += 1
+                return key in store.held.get(name, {})
+
+            def updateValue(self, key, value):
+                store.calls += 1
+                store.held.setdefault(name, {})[key] = value
+
+        return State()
+
+    getListState = getValueState = getMapState = _state
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+class Times:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_calls_to_the_store_do_not_grow_with_the_spans_of_a_batch():
+    import pandas as pd
+
+    handle, processor = Handle(), assemble.TraceAssembler(60_000, 3_600_000)
+    processor.init(handle)
+    rows = [("t", f"s{i % 300}", f"s{i % 300 - 1}" if i % 300 else None, "n", i % 300 * SECOND, (i % 300 + 1) * SECOND) for i in range(600)]
+    columns = ["trace_id", "span_id", "parent_span_id", "name", "start_ns", "end_ns"]
+    for part in (rows[:500], rows[500:]):
+        list(processor.handleInputRows(("t",), iter([pd.DataFrame(part, columns=columns)]), Times(0)))
+    assert handle.calls < 20
+    out = pd.concat(processor.handleExpiredTimer(("t",), Times(400_000), None))
+    assert len(out) == 300 and set(out["n_spans"]) == {300} and out["depth"].max() == 299 and handle.calls < 20
+    assert not list(processor.handleInputRows(("t",), iter([pd.DataFrame(rows, columns=columns)]), Times(400_000)))  # repeats
