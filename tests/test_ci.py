@@ -130,3 +130,12 @@ def test_landed_pages_become_spans(spark, tmp_path):
     assert reviews.first()["pr_number"] == 7 and pulls.first()["source_id"] == 6
     events = ci_spans.review_events(reviews, reviews.limit(0), pulls)
     assert {(r["source_id"], r["type"]) for r in events.collect()} == {(6, "review"), (6, "merged")}
+
+
+def test_job_facts_read_jobs_once(spark, tmp_path):
+    runs, jobs = one_run(spark, 2, job_attempts=((200, 1, "17:50:00", "17:52:00", "failure"), (201, 1, "17:50:00", "17:53:00", "cancelled"), (202, 2, "18:00:00", "18:59:00", "success")))
+    jobs.write.parquet(str(tmp_path / "jobs"))
+    facts = ci_spans.job_facts(runs, spark.read.parquet(str(tmp_path / "jobs")))
+    assert facts._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    ends = {r["job_id"]: (r["attempt"], r["span_end_ms"] - r["start_ms"]) for r in facts.collect()}
+    assert ends == {200: (1, 120_000), 201: (1, 180_000), 202: (2, 59 * 60_000)}
