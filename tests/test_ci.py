@@ -139,3 +139,14 @@ def test_job_facts_read_jobs_once(spark, tmp_path):
     assert facts._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
     ends = {r["job_id"]: (r["attempt"], r["span_end_ms"] - r["start_ms"]) for r in facts.collect()}
     assert ends == {200: (1, 120_000), 201: (1, 180_000), 202: (2, 59 * 60_000)}
+
+
+def test_jobs_are_numbered_in_their_attempt(spark):
+    from spanloom.functions import codes
+    from spanloom.sinks import trace_events
+
+    facts = spark.createDataFrame([(1, 1, 7, "a", None), (1, 1, 5, "b", "x"), (1, 2, 6, "c", "x"), (2, 1, 9, "d", None)], "run_id long, attempt long, job_id long, name string, v string")
+    numbered = trace_events.numbered_jobs(facts)
+    assert {(r["job_id"], r["name"], r["tid"]) for r in numbered.collect()} == {(5, "b", 10), (7, "a", 11), (6, "c", 10), (9, "d", 10)}
+    maps = facts.select("job_id", codes.present([("name", F.col("name")), ("v", F.col("v"))]).alias("m")).collect()
+    assert {r["job_id"]: r["m"] for r in maps} == {7: {"name": "a"}, 5: {"name": "b", "v": "x"}, 6: {"name": "c", "v": "x"}, 9: {"name": "d"}}
