@@ -10,6 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom import session
 from spanloom.operators import ci_spans, enrich, metrics, trends
 from spanloom.plans import fixtures as fx
 from spanloom.plans.q_ci import facts_of
@@ -234,14 +235,19 @@ def span_json_round_trip(spark, folder):
     return shown(traces.read_traces(spark, out, "stdout")).select("trace_id", "span_id", "parent_span_id", "name", "kind", "start_ns", "end_ns", "status_code")
 
 
+def report_parts(spark, folder) -> dict[str, DataFrame]:
+    """Sections of the report; the job facts, which steps and most sections read, are written once."""
+    facts = session.landed(facts_of(spark, folder))
+    steps = ci_spans.step_facts(facts, fx.steps(spark, folder))
+    return metrics.report(fx.runs(spark, folder), facts, steps, fx.sources(spark, folder), fx.review_events(spark, folder), fx.clean_jobs(spark, folder))
+
+
 @query("K7_written_report", ["facts"], """
 WITH s AS (SELECT source_id, count(*) AS jobs FROM facts GROUP BY 1)
 SELECT 'run_summary' AS part, source_id, 0 AS n FROM s UNION ALL SELECT 'pending', source_id, count(*) FROM facts WHERE is_pending GROUP BY source_id""")
 def written_report(spark, folder):
     """The report's sections written as JSON folders and read back."""
-    from spanloom.plans.q_ci import step_facts_of
-
-    parts = metrics.report(fx.runs(spark, folder), facts_of(spark, folder), step_facts_of(spark, folder), fx.sources(spark, folder), fx.review_events(spark, folder), fx.clean_jobs(spark, folder))
+    parts = report_parts(spark, folder)
     out = landing(spark, "report")
     sink.write_report(parts, out)
     runs = spark.read.schema("source_id int").json(f"{out}/run_summary").select(F.lit("run_summary").alias("part"), "source_id", F.lit(0).cast("long").alias("n"))

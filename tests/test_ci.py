@@ -150,3 +150,11 @@ def test_jobs_are_numbered_in_their_attempt(spark):
     assert {(r["job_id"], r["name"], r["tid"]) for r in numbered.collect()} == {(5, "b", 10), (7, "a", 11), (6, "c", 10), (9, "d", 10)}
     maps = facts.select("job_id", codes.present([("name", F.col("name")), ("v", F.col("v"))]).alias("m")).collect()
     assert {r["job_id"]: r["m"] for r in maps} == {7: {"name": "a"}, 5: {"name": "b", "v": "x"}, 6: {"name": "c", "v": "x"}, 9: {"name": "d"}}
+
+
+def test_report_works_out_its_facts_once(spark):
+    from spanloom.plans.q_landed import report_parts
+
+    parts = report_parts(spark, "/root/testdata/sf0.001")
+    assert not any("lineitem" in f for name in ("pending", "slowest_jobs", "run_summary") for f in parts[name].inputFiles())
+    assert parts["summary"].first()["total_jobs"] > 0
