@@ -138,3 +138,28 @@ def test_a_star(spark):
     assert flat.where(F.col("pre") == F.col("start_ns")).count() == n
     top = tree.effective_times(flat, F.lit(False)).where("node = 'c0'").first()
     assert (top["effective_start_ns"], top["effective_end_ns"]) == (1, n)
+
+
+def test_ended_paths_do_not_meet_in_one_task(spark):
+    state = spark.range(4_000).select("id", F.when(F.col("id") % 100 == 1, F.col("id") - 1).alias("up"))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        sizes = [r["count"] for r in tree._ancestors(state, state, []).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 4_000 and max(sizes) < 2_000
+
+
+def test_rows_whose_parent_was_taken_out_drop_out(spark):
+    rows = [(f"{i:016x}", f"{i - 1:016x}" if i > 1 else None, f"n{i}", i) for i in range(1, 7)]
+    spans = conform_spans(spark.createDataFrame(rows, "span_id string, parent_span_id string, name string, seq long").withColumns({
+        "source_id": F.lit(0), "trace_id": F.lit("a" * 32), "kind": F.lit("INTERNAL"), "start_ns": F.col("seq") * 1000, "end_ns": F.col("seq") * 1000 + 10,
+    }))
+    built = tree.build_span_tree(enrich.enrich(spans, enrich.chain(ci=False)))
+    names = {r["row_id"]: r["name"] for r in built.collect()}
+    assert {(r["name"], names.get(r["parent_row"])) for r in built.collect()} == {(f"n{i}", f"n{i - 1}" if i > 1 else None) for i in range(1, 7)}
+    left = tree.flatten(built.where("name <> 'n4'")).collect()
+    assert {(r["name"], r["depth"], r["last"]) for r in left} == {("n1", 0, 2), ("n2", 1, 2), ("n3", 2, 2)}
