@@ -16,6 +16,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions.codes import attribute
 from spanloom.functions.text import all_of, first_case, glob
 from spanloom.operators.rules import GIVES, NAME, conditions, given, matched
 
@@ -293,19 +294,27 @@ def chain(ci: bool = True, rules: list[dict] | None = None, extra: list[Enricher
     return out + list(extra or []) + [partial(generic_enricher, statement_bytes=statement_bytes)]
 
 
+def looked_up(enrichers: list[Enricher] | None = None) -> list[str]:
+    """Attributes that enrichers look at."""
+    span = Span(F.col("name"), F.col("_zero"), F.col("kind"))
+    for e in enrichers or chain():
+        e(span)
+    return list(span.keys)
+
+
 def enrich(spans: DataFrame, enrichers: list[Enricher] | None = None) -> DataFrame:
     """Add ``hints`` by the first enricher that matches, then fill in resource context."""
     span = Span(F.col("name"), F.col("_zero"), F.col("kind"))
     found = [e(span) for e in (enrichers or chain())]
-    flat = {name: F.col("attrs")[key] for key, name in span.keys.items()}
+    flat = {name: attribute(spans, key) for key, name in span.keys.items()}
     flat |= {f"_value_{i}": v for i, v in enumerate(span.values)}
     flat["_zero"] = F.col("end_ns") <= F.col("start_ns")
     flat["_status"] = F.when(F.col("status_code") != "UNSET", F.col("status_code"))
     flat["_service"] = F.coalesce(F.col("resource")["service.name"], F.lit(""))
     flat["_place"] = F.coalesce(F.col("resource")["deployment.environment"], F.lit(""))
-    looked_up = spans.withColumns(flat)
+    rows = spans.withColumns(flat)
     which = {f"_is_{i}": matches for i, (matches, _) in enumerate(found)}
-    tested = looked_up.withColumns(which)
+    tested = rows.withColumns(which)
     context = {"service_name": "_service", "environment": "_place"}
     cols = []
     for name, kind in FIELDS.items():

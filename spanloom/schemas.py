@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import ids
@@ -63,17 +63,16 @@ def columns(ddl: str) -> list[tuple[str, str]]:
 
 def conform(df: DataFrame, ddl: str) -> DataFrame:
     """Select the schema's columns, filling missing ones with typed nulls."""
+    return df.select(*_typed(df, ddl))
+
+
+def _typed(df: DataFrame, ddl: str) -> list[Column]:
     have = set(df.columns)
-    return df.select(
-        *[
-            (F.col(name) if name in have else F.lit(None)).cast(kind).alias(name)
-            for name, kind in columns(ddl)
-        ]
-    )
+    return [(F.col(name) if name in have else F.lit(None)).cast(kind).alias(name) for name, kind in columns(ddl)]
 
 
-def conform_spans(df: DataFrame) -> DataFrame:
-    """Span rows with every column present and times derived from nanoseconds."""
+def conform_spans(df: DataFrame, *more: str) -> DataFrame:
+    """Span rows with every column present and times derived from nanoseconds; ``more`` columns stay."""
     have = set(df.columns)
     out = df.withColumns({k: F.lit(v) for k, v in _EMPTY.items() if k not in have})
     out = out.withColumns(
@@ -86,4 +85,4 @@ def conform_spans(df: DataFrame) -> DataFrame:
     for name in ("attrs", "attr_types", "resource"):
         if name not in have:
             out = out.withColumn(name, empty_map)
-    return conform(out, SPANS)
+    return out.select(*_typed(out, SPANS), *[F.col(f"`{c}`") for c in more])
