@@ -2,9 +2,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from spanloom.functions import codes
-from spanloom.operators import ci_spans, enrich, metrics
-from spanloom.schemas import RUNS, conform
+from spanloom.functions import codes, ids
+from spanloom.operators import ci_spans, enrich, metrics, tree
+from spanloom.schemas import RUNS, conform, conform_spans
 
 START = dt.datetime(2026, 3, 18, 17)
 
@@ -80,3 +80,26 @@ def test_a_kind_of_known_spans_is_chosen_without_the_others(spark):
     chosen = spans.where(codes.attribute(spans, "type") == "job").groupBy(codes.attribute(spans, "github.status")).count()
     plan = chosen._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and "map(" not in plan
+
+
+def test_packed_ids_come_back(spark):
+    texts = ["a" * 32, "0123456789abcdef", "0123456789ABCDEF", "", "abc", "é" * 8, "ab" * 4, "\x00" * 8, "0123456789abcdef0", None, "x" * 16, "ab" * 17]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("p", ids.packed(F.col("t")))
+    got = df.select("t", "p", ids.unpacked(F.col("p")).alias("back")).collect()
+    assert all(r["t"] == r["back"] for r in got)
+    packs = [bytes(r["p"]) for r in got if r["t"] is not None]
+    assert len(set(packs)) == len(packs) and len(packs[0]) == 16 and len(packs[1]) == 8
+
+
+def test_steps_of_jobs_travel_packed(spark):
+    rows = [("job", "T1", "a", None, "7"), ("job", "f" * 32, "0" * 15 + "1", None, "8"), ("step", "T1", "b", "a", "1"), ("step", "f" * 32, "0" * 15 + "2", "0" * 15 + "1", "2"), ("step", "t1", "c", "a", "3")]
+    df = spark.createDataFrame(rows, "kind string, trace_id string, span_id string, parent_span_id string, n string")
+    spans = conform_spans(df.withColumns({
+        "source_id": F.lit(0), "name": F.col("span_id"), "start_ns": F.lit(0), "end_ns": F.lit(1),
+        "attrs": F.create_map(F.lit("type"), F.col("kind"), F.lit("github.job_id"), F.col("n"), F.lit("github.step_number"), F.col("n")),
+    }).drop("kind", "n"))
+    found = tree.steps_of_jobs(spans)
+    got = {(r["trace_id"], r["parent_span_id"], r["span_id"], r["job_id"], r["number"], r["job_name"]) for r in found.collect()}
+    assert got == {("T1", "a", "b", 7, 1, "a"), ("f" * 32, "0" * 15 + "1", "0" * 15 + "2", 8, 2, "0" * 15 + "1")}
+    plan = found.select("span_id", "job_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "unhex" in plan
