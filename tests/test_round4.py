@@ -103,3 +103,28 @@ def test_steps_of_jobs_travel_packed(spark):
     assert got == {("T1", "a", "b", 7, 1, "a"), ("f" * 32, "0" * 15 + "1", "0" * 15 + "2", 8, 2, "0" * 15 + "1")}
     plan = found.select("span_id", "job_id")._jdf.queryExecution().optimizedPlan().toString()
     assert "unhex" in plan
+
+
+def test_formats_that_no_file_has_cost_nothing(spark, tmp_path):
+    import gzip
+    import json
+
+    from spanloom.sources import traces
+
+    def line(i):
+        return json.dumps({"Name": f"n{i}", "SpanContext": {"TraceID": "a" * 32, "SpanID": f"{i + 1:016x}"}, "StartTime": "2026-03-18T17:00:00Z", "EndTime": "2026-03-18T17:00:01Z"}) + "\n"
+
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain" / "a").write_text(line(0) + line(1))
+    plain = traces.read_traces(spark, str(tmp_path / "plain"))
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["name"] for r in plain.collect()) == ["n0", "n1"] and "Union" not in plan
+    # a compressed file without a name that tells is unpacked once, not again for each format
+    (tmp_path / "plain" / "b").write_bytes(gzip.compress((line(2) + line(3)).encode()) + b"\n")
+    both = traces.read_traces(spark, str(tmp_path / "plain"))
+    assert sorted(r["name"] for r in both.collect()) == ["n0", "n1", "n2", "n3"]
+    assert "MapInArrow" not in both._jdf.queryExecution().optimizedPlan().toString()
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "empty").write_text("")
+    nothing = traces.read_traces(spark, str(tmp_path / "none"))
+    assert nothing.columns == plain.columns and nothing.count() == 0
