@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import WORD, fresh
+from spanloom.llm.common import WORD, fresh, written
 
 SHINGLE = 5
 RADIUS = 15
@@ -125,7 +125,8 @@ def _least(n: Column) -> Column:
 def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Windows that match: doc_id, hash (of the text), item_id, similarity, distance, start, end, moved (no shingle at its place)."""
     spelled = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= SHINGLE)
-    spelled = spelled.select("item_id", F.size("w").alias("n"), shingles(F.col("w")).alias("item_shingles"))
+    # items and windows are read several times: plans that repeat what makes them would be large
+    spelled = written(spelled.select("item_id", F.size("w").alias("n"), shingles(F.col("w")).alias("item_shingles")), "items")
     known = spelled.select("n", F.explode("item_shingles").alias("h")).distinct()
     n_known = known.count()
     # an id may stand for several texts
@@ -148,7 +149,7 @@ def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     windows = windows.select("doc_id", "hash", "start", "end", "cut", bag.alias("bag"))
 
     # equal windows of many documents have one fingerprint and are checked once
-    windows = windows.withColumn("key", F.xxhash64("bag"))
+    windows = written(windows.withColumn("key", F.xxhash64("bag")), "windows")
     distinct = windows.groupBy("key", "cut").agg(F.first("bag").alias("bag"))
     prints = fingerprints(distinct.select("key", "cut", F.explode("bag").alias("h")), ["key", "cut"], "h")
     item_prints = fingerprints(spelled.select("item_id", F.explode("item_shingles").alias("h")), ["item_id"], "h")

@@ -280,28 +280,28 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each connected component; ``edges`` has a and b.
 
     Alternates large and small stars, each a shuffle of the edges; the edges never grow
-    and the rounds grow with the logarithm of the longest path.
+    and the rounds grow with the logarithm of the longest path.  They end when every node
+    has either one neighbour, a smaller one, or none but greater ones: edges that are
+    stars from the beginning take no round.
     """
     edges = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        if both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).where("m < a AND n > 1").isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
         small = large.join(low, F.col("a") == F.col("n"))
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        new = written(small.where("a != b").distinct(), "edges")
-        same = new.count() == edges.count() and new.join(edges, ["a", "b"], "left_anti").isEmpty()
-        edges = new
-        if same:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        edges = written(small.where("a != b").distinct(), "edges")
 
 
-def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (name, key) and classes (key, root, name of the group, n_links); ``docs`` has name and text.
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows (name, key), classes (key, first name, rep, copies), links of classes (rep, links) and (node, root); ``docs`` has name and text.
 
-    A group's name is the smallest of its rows' names; its root is a row number.
+    A class is known by a row number, ``rep``; a group's root is the smallest of its classes, which has no node of its own.
     """
     spark = docs.sparkSession
     # row numbers are written with the rows, so they stay
@@ -311,6 +311,7 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = written(classes, "classes")
     lead = classes.where("n > 0").select("rep", "copies")
     one = spelled.select("row", "sig").join(lead, F.col("row") == F.col("rep")).select("rep", "sig")
+    one = written(one, "leads")  # read three times
     bands = one.select("rep", "sig", F.posexplode(F.array(*[F.substring("sig", 2 * ROWS * j + 1, 2 * ROWS) for j in range(BANDS)])).alias("band", "value"))
     bands = bands.select("rep", "band", F.xxhash64("value").alias("bucket"))
     buckets = bands.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -332,21 +333,21 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     full = members.join(spelled.select("row", "shingles"), F.col("rep") == F.col("row"))
     full = full.repartition(partitions(spark), "unit").sortWithinPartitions("unit", "pos")
     found = written(_verify(full.select("unit", "pos", "rep", "a", "b", "shingles", "copies")), "links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    return spelled.select("name", "key"), classes, found.select("rep", "links"), roots
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (smallest id of the linked group) and n_links of every row."""
+    rows, classes, found, roots = _linked(docs.select(F.col("doc_id").alias("name"), "text"))
+    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     # groups of several classes: their names
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     names = roots.join(classes.select("rep", "first"), F.col("rep") == F.col("node")).groupBy("root").agg(F.min("first").alias("name"))
     roots = roots.join(names, "root")
     named = classes.join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
     name = F.when(F.col("node").isNull(), F.col("first")).otherwise(F.col("name"))
-    named = named.select("key", F.coalesce("root", "rep").alias("root"), name.alias("name"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return spelled.select("name", "key"), named
-
-
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (smallest id of the linked group) and n_links of every row."""
-    rows, named = _linked(docs.select(F.col("doc_id").alias("name"), "text"))
+    named = named.select("key", name.alias("name"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = rows.withColumnRenamed("name", "doc_id").join(named, "key")
     return out.select("doc_id", F.col("name").alias("class_id"), "n_links")
 
@@ -363,10 +364,12 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     known = [none, number, h, h2]
     several = rows.where(~F.col(none)).groupBy(number).agg(F.min(h).alias(first), F.max(h).alias(nth)).where(F.col(first) != F.col(nth))
     later = several.select(F.col(number).alias("_id"), F.col(first).alias("_first"))
-    rows = rows.join(later, ~F.col(none) & (F.col(number) == F.col("_id")) & (F.col(h) > F.col("_first")), "left_anti")
-    _, named = _linked(rows.select(F.struct(*known).alias("name"), "text"))
-    keep = named.select(F.col("name").alias("_name")).distinct().select("_name.*").toDF(*(f"_{i}" for i in range(len(known))))
+    first_texts = rows.join(later, ~F.col(none) & (F.col(number) == F.col("_id")) & (F.col(h) > F.col("_first")), "left_anti")
+    _, classes, _, roots = _linked(first_texts.select(F.struct(*known).alias("name"), "text"))
+    groups = classes.join(roots, F.col("rep") == F.col("node"), "left").groupBy(F.coalesce("root", "rep").alias("root"))
+    keep = groups.agg(F.min("first").alias("_name")).select("_name.*").toDF(*(f"_{i}" for i in range(len(known))))
     same = [F.col(c) == F.col(f"_{i}") for i, c in enumerate(known)]
     order = Window.partitionBy(*known).orderBy(F.xxhash64(*docs.columns))
+    # rows of later texts are in no class, so they need not be told apart again
     kept = rows.join(keep, same, "left_semi").withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
     return kept.drop(*names).select(*docs.columns)

@@ -165,7 +165,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     rows = written(docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("t")), "sizes")
     n = rows.count()
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("source_docs"))
-    wanted = targets(sizes, weights, share, most)
+    wanted = written(targets(sizes, weights, share, most), "targets")  # read twice below
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size", "t"))
     # ids are few per source row; the sources' table is joined as adaptive execution sees fit
     ready = rows.select("doc_id", "source", "size", nth.cast("int").alias("nth")).join(
