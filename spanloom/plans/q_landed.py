@@ -34,8 +34,16 @@ def landed(rows: DataFrame, name: str, **options: str) -> str:
     return folder
 
 
+def landed_pages(rows: DataFrame, name: str) -> str:
+    """API pages repeat their field names in every row; readers tell the codec by the files' extension."""
+    return landed(rows, name, compression="lz4")
+
+
+ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+
+
 def iso(col):
-    return F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return F.date_format(col, ISO)
 
 
 def run_pages(spark, folder) -> DataFrame:
@@ -47,21 +55,19 @@ def run_pages(spark, folder) -> DataFrame:
 
 
 def job_pages(spark, folder) -> DataFrame:
-    """A page for each run, with its jobs of any attempt."""
-    job = F.struct(
-        F.col("job_id").alias("id"), "run_id", "run_attempt", "name", "status", "conclusion", *[iso(F.col(c)).alias(c) for c in ("created_at", "started_at", "completed_at")],
-        "runner_name", "html_url",
-    )
+    """A page for each run, with its jobs of any attempt; times are spelled once the jobs are together."""
+    times = ("created_at", "started_at", "completed_at")
+    job = F.struct(F.col("job_id").alias("id"), "run_id", "run_attempt", "name", "status", "conclusion", *times, "runner_name", "html_url")
     pages = fx.jobs(spark, folder).groupBy("run_id").agg(F.collect_list(job).alias("jobs"))
-    return pages.select(F.to_json(F.struct("jobs")).alias("text"))
+    return pages.select(F.to_json(F.struct("jobs"), {"timestampFormat": ISO}).alias("text"))
 
 
 @query("S9_S10_landed_ci_pages", ["facts"], """
 SELECT source_id, run_id, job_id, attempt, name, is_pending, is_failed, start_ms, end_ms, duration_ms FROM facts""")
 def landed_ci_pages(spark, folder):
     repositories = fx.sources(spark, folder).select("source_id", "owner", "repo")
-    runs = ci.read_runs(spark, landed(run_pages(spark, folder), "runs"), repositories)
-    jobs = ci.read_jobs(spark, landed(job_pages(spark, folder), "jobs"))
+    runs = ci.read_runs(spark, landed_pages(run_pages(spark, folder), "runs"), repositories)
+    jobs = ci.read_jobs(spark, landed_pages(job_pages(spark, folder), "jobs"))
     facts = ci_spans.job_facts(runs, jobs)
     return facts.select("source_id", "run_id", "job_id", "attempt", "name", "is_pending", "is_failed", "start_ms", "end_ms", "duration_ms")
 
@@ -84,7 +90,7 @@ def landed_reviews(spark, folder):
     pull = F.struct(F.col("event_id").alias("number"), F.concat(F.lit("change "), number).alias("title"), iso(F.col("ts")).alias("merged_at"), user.alias("merged_by"), web.alias("html_url"))
 
     def page(kind, of, name):
-        return landed(events.where(F.col("event_type") == kind).select(F.to_json(of).alias("text")), name)
+        return landed_pages(events.where(F.col("event_type") == kind).select(F.to_json(of).alias("text")), name)
 
     reviews = ci.read_reviews(spark, page("signup", review, "reviews"), where)
     comments = ci.read_comments(spark, page("click", comment, "comments"), where)
@@ -103,11 +109,11 @@ def landed_checks(spark, folder):
     one = F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint").alias("id"), F.col("l_returnflag").alias("name"))
     sha = F.md5(F.col("l_orderkey").cast("string"))
     grouped = item.groupBy("l_orderkey").agg(F.collect_list(one).alias("rows"), F.count(F.lit(1)).alias("n"))
-    checks = landed(grouped.select(F.to_json(F.struct(sha.alias("head_sha"), F.col("rows").alias("check_runs"))).alias("text")), "checks")
-    files = landed(grouped.select(F.to_json(F.struct(F.col("l_orderkey").alias("run_id"), F.col("rows").alias("artifacts"))).alias("text")), "artifacts")
-    commits = landed(grouped.select(F.to_json(F.struct(sha.alias("sha"), F.struct(F.col("n").alias("total")).alias("stats"))).alias("text")), "commits")
+    checks = landed_pages(grouped.select(F.to_json(F.struct(sha.alias("head_sha"), F.col("rows").alias("check_runs"))).alias("text")), "checks")
+    files = landed_pages(grouped.select(F.to_json(F.struct(F.col("l_orderkey").alias("run_id"), F.col("rows").alias("artifacts"))).alias("text")), "artifacts")
+    commits = landed_pages(grouped.select(F.to_json(F.struct(sha.alias("sha"), F.struct(F.col("n").alias("total")).alias("stats"))).alias("text")), "commits")
     took = F.create_map(F.lit("UBUNTU"), F.struct((F.col("n") * 1000).alias("total_ms")))
-    timing = landed(grouped.select(F.to_json(F.struct(F.col("l_orderkey").alias("run_id"), took.alias("billable"))).alias("text")), "timing")
+    timing = landed_pages(grouped.select(F.to_json(F.struct(F.col("l_orderkey").alias("run_id"), took.alias("billable"))).alias("text")), "timing")
     none = F.lit("")
     return (
         ci.read_check_runs(spark, checks).select(F.lit("check").alias("part"), F.col("check_run_id").alias("id"), F.col("head_sha").alias("key"), "name")
