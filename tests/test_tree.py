@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import enrich, tree
 from spanloom.schemas import conform_spans
-from spanloom.session import cut
+from spanloom.session import cut, landed
 
 
 def test_repeated_ids_keep_their_rows(spark):
@@ -163,3 +163,22 @@ def test_rows_whose_parent_was_taken_out_drop_out(spark):
     assert {(r["name"], names.get(r["parent_row"])) for r in built.collect()} == {(f"n{i}", f"n{i - 1}" if i > 1 else None) for i in range(1, 7)}
     left = tree.flatten(built.where("name <> 'n4'")).collect()
     assert {(r["name"], r["depth"], r["last"]) for r in left} == {("n1", 0, 2), ("n2", 1, 2), ("n3", 2, 2)}
+
+
+def test_written_row_numbers_are_not_broadcast(spark):
+    # 300,000 rows that pack to a fraction of the 10 MB up to which Spark broadcasts
+    links = landed(spark.range(300_000).select("id", F.when(F.col("id") > 0, F.floor(F.col("id") / 5)).alias("up")))
+    plans = [tree._ancestors(links.withColumn("size", F.lit(1)), links, [])]
+    places = landed(spark.range(1000).select(
+        F.col("id").cast("string").alias("node"), F.col("id").alias("pre"), F.when(F.col("id") == 0, 999).otherwise(F.col("id")).alias("last"),
+        F.lit("n").alias("name"),
+    ))
+    chosen = places.where(F.col("pre") % 7 == 0).select("node")
+    plans += [tree.descendants(places, chosen), tree.ancestors(places, chosen), tree.search(places, "n"), tree.below_expanded(places, chosen)]
+    rows = [("r", None, 0, 9, "r")] + [(f"c{i}", "r", i, i + 2, "c") for i in range(20)]
+    built = shape(spark, rows)
+    plans += [tree.flatten(built), tree.effective_times(built, F.col("start_ns") % 3 == 0)]
+    for df in plans:
+        plan = df._jdf.queryExecution().toString()
+        assert "SortMergeJoin" in plan and not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "_slice" not in x]
+    assert plans[0].where(F.col("up_2") == F.floor(F.col("up_1") / 5)).count() == 299_995
