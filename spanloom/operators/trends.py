@@ -19,7 +19,7 @@ from spanloom.functions import ids, text
 from spanloom.operators.ordered import (
     global_rank, order_stats, range_slices, rank_sliced, sliced_window,
 )
-from spanloom.session import cut
+from spanloom.session import cut, landed
 
 DIRECTION_PERCENT = 5.0
 CHANGE_PERCENT = 10.0
@@ -267,27 +267,23 @@ def flaky_jobs(jobs: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def job_observations(jobs: DataFrame, by: list[str]) -> DataFrame:
-    """Timed jobs in run order with rank, count, running sum and previous commit."""
+    """Timed jobs in run order with rank ``rn`` and count ``n``; written in slices of that order, packed."""
     valid = jobs.where(F.col("duration_ms") > 0).select(
         *by, *JOB_ORDER, "duration_ms", "head_sha", "html_url", "owner", "repo"
     )
-    sliced = rank_sliced(range_slices(valid, by, JOB_ORDER), by)
-    return sliced_window(
-        sliced, by, "_slice", ["_ord"],
-        sums={"upto": F.col("duration_ms")},
-        lags={"prev_sha": F.col("head_sha"), "prev_url": F.col("html_url")},
-        write_input=False,
-    )
+    return rank_sliced(range_slices(valid, by, JOB_ORDER, landed), by, few=True)
 
 
 def _changepoints(obs: DataFrame, by: list[str]) -> DataFrame:
     """Half means and the best split of every key, in one grouped pass.
 
     The split with the least squared error is the one with the greatest
-    between-group sum of squares, which needs running sums only.
+    between-group sum of squares, which needs running sums only: ranks and durations
+    travel, and what is told of a split is looked up where it was found.
     """
-    totals = obs.groupBy(*by).agg(F.sum("duration_ms").alias("total_ms"))
-    rows = obs.join(totals, by)
+    totals = landed(obs.groupBy(*by).agg(F.sum("duration_ms").alias("total_ms")))
+    narrow = obs.select(*by, "_slice", "_ord", "rn", "n", "duration_ms").join(totals, by)
+    rows = sliced_window(narrow, by, "_slice", ["_ord"], sums={"upto": F.col("duration_ms")}, write_input=False)
     at = F.col("rn") - 1
     before = F.col("upto") - F.col("duration_ms")
     gap = before - at * (F.col("total_ms") / F.col("n"))
@@ -297,22 +293,35 @@ def _changepoints(obs: DataFrame, by: list[str]) -> DataFrame:
     split = F.max_by(
         F.struct(
             at.alias("index"),
-            F.col("run_created_at").alias("date"),
-            F.col("prev_sha").alias("before_sha"),
-            F.col("head_sha").alias("after_sha"),
-            F.col("prev_url").alias("before_run_url"),
-            F.col("html_url").alias("after_run_url"),
             (before / at / 1000.0).alias("before_avg"),
             ((F.col("total_ms") - before) / (F.col("n") - at) / 1000.0).alias("after_avg"),
-            ids.compare_url(F.col("owner"), F.col("repo"), F.col("prev_sha"), F.col("head_sha")).alias("diff_url"),
         ),
         F.when(allowed, F.struct(gain.alias("gain"), (-at).alias("first"))),
     )
-    return rows.groupBy(*by).agg(
+    found = landed(rows.groupBy(*by).agg(
         F.first("n").alias("observations"),
         F.first("total_ms").alias("total_ms"),
         F.max(F.when(F.col("rn") == half, F.col("upto"))).alias("first_ms"),
-        split.alias("changepoint"),
+        split.alias("split"),
+    ))
+    # the first observation after the split and the one before it
+    sides = found.where(F.col("split").isNotNull()).select(
+        *by, F.explode(F.array(F.col("split.index"), F.col("split.index") + 1)).alias("rn"), F.col("split.index").alias("_index")
+    )
+    told = F.struct("run_created_at", "head_sha", "html_url", "owner", "repo")
+    about = obs.join(sides, [*by, "rn"]).groupBy(*by).agg(
+        F.max(F.when(F.col("rn") == F.col("_index"), told)).alias("_b"), F.max(F.when(F.col("rn") > F.col("_index"), told)).alias("_a")
+    )
+    b, a, s = F.col("_b"), F.col("_a"), F.col("split")
+    changepoint = F.struct(
+        s["index"].alias("index"), a["run_created_at"].alias("date"),
+        b["head_sha"].alias("before_sha"), a["head_sha"].alias("after_sha"),
+        b["html_url"].alias("before_run_url"), a["html_url"].alias("after_run_url"),
+        s["before_avg"].alias("before_avg"), s["after_avg"].alias("after_avg"),
+        ids.compare_url(a["owner"], a["repo"], b["head_sha"], a["head_sha"]).alias("diff_url"),
+    )
+    return found.join(about, by, "left").select(
+        *by, "observations", "total_ms", "first_ms", F.when(s.isNotNull(), changepoint).alias("changepoint")
     )
 
 

@@ -125,3 +125,23 @@ def test_analyze_trends_parts(spark):
     assert parts["regressions"].first()["name"] == "j" and parts["improvements"].count() == 0
     with pytest.raises(ValueError):
         trends.analyze_trends(runs, jobs, dt.date(2030, 1, 1))
+
+
+def test_changepoints_are_told_from_where_they_were_found(spark):
+    # two names, one of them with another commit and address in every run; the jump is after the sixth run
+    rows = [
+        (name, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), i, i, 1000 + 9000 * (i > 6), f"{name}{i}", f"u{name}{i}", "o", "r")
+        for name in "ab" for i in range(1, 13)
+    ] + [("c", dt.datetime(2024, 1, 1), 1, 1, 1000, "c1", None, "o", "r")]
+    jobs = spark.createDataFrame(
+        rows, "name string, run_created_at timestamp, run_id long, job_id long, duration_ms long, head_sha string, html_url string, owner string, repo string"
+    ).repartition(3)
+    obs = trends.job_observations(jobs, ["name"])
+    # wide rows are read where they were written: only ranks and durations travel
+    assert "LogicalRDD" not in obs._jdf.queryExecution().optimizedPlan().toString() and "prev_sha" not in obs.columns
+    out = {r["name"]: r for r in trends.changepoints(jobs).collect()}
+    assert sorted(out) == ["a", "b"]
+    for name, r in out.items():
+        assert (r["total_points"], r["index"], r["before_sha"], r["after_sha"]) == (12, 6, f"{name}6", f"{name}7")
+        assert (r["before_run_url"], r["after_run_url"], r["before_avg"], r["after_avg"]) == (f"u{name}6", f"u{name}7", 1.0, 10.0)
+        assert r["date"] == dt.datetime(2024, 1, 1, 7) and r["diff_url"].endswith(f"/compare/{name}6...{name}7")
